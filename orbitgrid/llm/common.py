@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: ASCII white space: 0x20 and 0x09 to 0x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Most rows and bytes of an Arrow batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,15 @@ def fold_bucket(doc_id: Column, buckets: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % buckets, F.lit(0))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES at most: texts can be long."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.match(r"-?\d+", spark.conf.get(key, str(most + 1)))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[Column],
@@ -64,6 +76,7 @@ def add_columns(
     one array for each field. Columns of `df` named like a new field are replaced; all
     others pass through unchanged.
     """
+    bound_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in fields.names]
     names = [f"__in{i}" for i in range(len(inputs))]
     wide = df.select(*kept, *(c.alias(n) for c, n in zip(inputs, names, strict=True)))
