@@ -35,7 +35,7 @@ CHUNKS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 MAYBE_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Punctuation that PATTERN splits from a word before it.
 MARKS = frozenset(".,;:!?")
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 120_000
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -66,26 +66,17 @@ class Memo:
         return list(absent - again)
 
 
-class PairIndexEncoder:
-    """A byte-level BPE vocabulary with its merge ranks."""
+class PairIndex:
+    """Merge ranks of a byte-level BPE vocabulary, applied to many words at once."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, before = spec["model"], spec["pre_tokenizer"]
-        if spec["normalizer"] or before != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model.get("ignore_merges") or model.get("dropout"):
-            raise ValueError(f"not a plain byte-level BPE file: {path}")
+    def __init__(self, model: dict):
+        if model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix"):
+            raise ValueError("not a plain byte-level BPE model")
         vocab: dict[str, int] = model["vocab"]
-        symbols = byte_symbols()
-        back = {c: b for b, c in symbols.items()}
-        size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token)
-        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        for content, i in self.special.items():
-            self.bytes_of[i] = content
-        self.of_byte = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
+        symbols, suffix = byte_symbols(), model.get("end_of_word_suffix") or ""
+        self.of_byte = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
+        #: the symbol of a word's last byte
+        self.of_last = np.array([vocab[symbols[b] + suffix] for b in range(256)], np.int64)
         rank: dict[int, int] = {}  # (left << 20 | right) -> rank
         #: rank -> (left, right, merged)
         self.merge: list[tuple[int, int, int]] = []
@@ -97,9 +88,6 @@ class PairIndexEncoder:
         pairs = sorted(rank.items())
         self.pairs = np.array([k for k, _ in pairs], np.int64)
         self.pair_rank = np.array([r for _, r in pairs], np.int64)
-        self.split = regex.compile(PATTERN)
-        self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
-        self.memo = Memo()
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it is no merge or touches a word's edge."""
@@ -117,7 +105,10 @@ class PairIndexEncoder:
         inside = np.ones(len(seq), bool)
         inside[0] = False
         inside[ends] = False
-        seq[inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        seq[inside] = self.of_byte[raw]
+        stop = ends[lengths > 0]
+        seq[stop - 1] = self.of_last[raw[(np.cumsum(lengths) - 1)[lengths > 0]]]
         before = np.arange(-1, len(seq) - 1)
         after = np.arange(1, len(seq) + 1)
         at: dict[int, list[np.ndarray]] = {}
@@ -177,11 +168,35 @@ class PairIndexEncoder:
         nth = np.arange(len(places)) - first[np.cumsum(new) - 1]
         return places[nth % 2 == 0]
 
+
+class PairIndexEncoder:
+    """A byte-level BPE file: pre-tokens, special tokens and a pair index."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if spec["normalizer"] or spec["pre_tokenizer"] != plain:
+            raise ValueError(f"not a plain byte-level BPE file: {path}")
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        self.index = PairIndex(spec["model"])
+        back = {c: b for b, c in byte_symbols().items()}
+        size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        self.bytes_of: list[bytes] = [b""] * size
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(back[c] for c in token)
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        for content, i in self.special.items():
+            self.bytes_of[i] = content
+        self.split = regex.compile(PATTERN)
+        self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
+        self.memo = Memo()
+
     def learn(self, pieces: list[bytes]) -> None:
         """Put the ids of each piece into the memo."""
         split = [self.words(p) for p in pieces]
         words = list(set(chain.from_iterable(split)))
-        ids = dict(zip(words, self.encode_words(words), strict=True))
+        ids = dict(zip(words, self.index.encode_words(words), strict=True))
         self.memo.new.update((p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True))
 
     def words(self, piece: bytes) -> list[bytes]:
@@ -197,7 +212,7 @@ class PairIndexEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes."""
         out: list[bytes] = []
-        for run in sub_batches(texts, 8 << 20):
+        for run in sub_batches(texts):
             parts = []
             for text in run:
                 if self.at_special and self.at_special.search(text):
