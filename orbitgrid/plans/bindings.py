@@ -38,6 +38,26 @@ TABLES: dict[str, str] = {
     "pixels": """SELECT l_suppkey AS image, l_orderkey % 64 AS x, l_partkey % 64 AS y, (13 * l_partkey) % 256 AS r, (7 * l_orderkey) % 256 AS g,
         (31 * l_linenumber + cast(l_quantity AS bigint)) % 256 AS b, CASE WHEN l_linenumber = 7 THEN 0 ELSE 255 END AS a FROM lineitem""",
     "mask_pixels": "SELECT l_suppkey AS image, l_orderkey % 64 AS x, l_partkey % 64 AS y, l_returnflag = 'A' AS truth, l_linestatus = 'F' AS predicted FROM lineitem",
+    "graded_frames": """SELECT session_id, frame_idx, event_id, name, k, sharpness, (event_id * 37 % 120) / 10e0 AS blur_score, (event_id * 53 % 256) * 1e0 AS exposure_score, k % 13 > 0 AS has_mask,
+        (event_id * 29 % 100) / 100e0 AS occupancy, (event_id * 41 % 100) / 100e0 AS center_dist, event_id % 17 = 0 AS is_clipped, event_id * 7 % 8 AS fragment_count, (event_id * 61 % 100) / 100e0 AS largest_contour_ratio,
+        (event_id * 67 % 100) / 100e0 AS solidity, (event_id * 71 % 100) / 100e0 AS mask_confidence, (event_id * 73 % 100) / 100e0 AS purity_score, (event_id * 79 % 70) / 100e0 AS border_touch_ratio,
+        (event_id * 83 % 50) / 100e0 AS bottom_band_ratio, (event_id * 89 % 100) / 100e0 AS bottom_span_ratio, (event_id * 97 % 25) / 100e0 AS support_area_ratio, event_id % 19 = 0 AS support_suspected, event_id % 5 = 0 AS fallback_used,
+        (event_id * 47 % 256) * 1e0 AS luminance, (event_id * 59 % 40) / 100e0 AS clipping_score, (event_id * 31 % 100) / 100e0 AS color_match_score, (event_id * 43 % 900) * 1e0 AS sharp FROM frames""",
+    "graded_assets": """SELECT asset_id, product_id, poly_count, state, approved, created_at, m,
+        CASE asset_id % 5 WHEN 0 THEN 'mobile_preview' WHEN 1 THEN 'mobile_high' WHEN 2 THEN 'desktop_high' WHEN 3 THEN 'raw_archive' ELSE 'other' END AS delivery_profile,
+        CASE WHEN asset_id % 11 = 0 THEN NULL ELSE (asset_id * 13 % 700) * 1e0 - 5 END AS width, (asset_id * 17 % 300) * 1e0 + 1 AS height, (asset_id * 19 % 300) * 1e0 + 1 AS depth, (asset_id * 23 % 50) / 10e0 - 2 AS ground_offset,
+        CASE asset_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'degraded' WHEN 2 THEN 'missing' END AS texture_integrity_status, CASE WHEN asset_id % 3 = 0 THEN NULL ELSE asset_id % 3 = 1 END AS has_uv, asset_id % 7 > 1 AS has_material,
+        CASE asset_id % 6 WHEN 0 THEN 'pbr_complete' WHEN 1 THEN 'diffuse_textured' WHEN 2 THEN 'uv_only' WHEN 3 THEN 'geometry_only' WHEN 4 THEN 'pbr_partial' END AS material_semantic_status,
+        CASE WHEN asset_id % 8 = 0 THEN NULL ELSE asset_id % 4 END AS texture_count, asset_id % 2 = 0 AS texture_applied,
+        CASE WHEN asset_id % 9 = 0 THEN NULL ELSE (asset_id * 29 % 100) / 100e0 END AS component_share, (asset_id * 31 % 100) / 100e0 AS face_ratio, 1 + asset_id % 9 AS component_count, (asset_id * 37 % 50) / 100e0 AS plane_share,
+        (asset_id * 41 % 60) / 100e0 AS plane_vertex_ratio, (asset_id * 43 % 100) / 1000e0 AS compactness, (asset_id * 47 % 100) / 100e0 AS selected_score, CASE asset_id % 10 WHEN 0 THEN 'fail' WHEN 1 THEN 'review' ELSE 'pass' END AS isolation_status,
+        asset_id % 13 > 0 AS has_position, asset_id % 14 > 0 AS has_normal, asset_id % 5 > 0 AS has_texcoord, CASE WHEN asset_id % 6 = 5 THEN NULL ELSE asset_id % 3 END AS geometry_count, CASE WHEN asset_id % 7 = 0 THEN NULL ELSE asset_id % 12 END AS fragment_count,
+        CASE asset_id % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'unknown' WHEN 2 THEN 'failed_texture_quality' WHEN 3 THEN 'odd' END AS export_status, CASE WHEN asset_id % 4 = 0 THEN NULL ELSE asset_id % 4 > 1 END AS export_ready,
+        CASE asset_id % 5 WHEN 0 THEN 'object_isolated' WHEN 1 THEN 'failed' WHEN 2 THEN 'scene_raw' END AS filtering_status, CASE asset_id % 7 WHEN 0 THEN 'failed_visual_integrity' WHEN 1 THEN 'io error' WHEN 2 THEN 'failed_uv_preservation' ELSE 'ok' END AS decimation_status,
+        asset_id % 3 > 0 AS uv_preserved, asset_id % 4 > 0 AS material_preserved, CASE asset_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'warning' WHEN 2 THEN 'contaminated' END AS texture_quality_status, (asset_id * 53 % 100) / 100e0 AS background_ratio,
+        (asset_id * 59 % 101) / 100e0 AS observed_ratio, (asset_id * 61 % 101) / 100e0 AS synthesized_ratio, asset_id % 3 > 0 AS completion_enabled, CASE WHEN asset_id % 5 = 0 THEN 'none' ELSE 'meshy' END AS provider,
+        (asset_id * 67 % 200) / 10e0 AS size_mb, asset_id * 71 % 400000 AS face_count, CASE WHEN asset_id % 6 = 0 THEN NULL ELSE asset_id * 73 % 120000 END AS vertex_count, CASE asset_id % 3 WHEN 0 THEN 1024 WHEN 1 THEN 2048 END AS texture_resolution,
+        CASE asset_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'ok' ELSE 'busy' END AS provider_status, CASE WHEN asset_id % 7 = 0 THEN NULL ELSE asset_id % 7 > 1 END AS glb_valid, asset_id % 9 > 0 AS has_output, asset_id % 2 = 1 AS review_required FROM assets""",
     "fixtures": """SELECT d.doc_id AS fixture_id, CASE WHEN l.quality = 1 THEN 'accept' ELSE 'recapture' END AS expected, CASE WHEN d.n_chars >= 300 THEN 'accept' ELSE 'recapture' END AS predicted,
         d.source, d.lang AS product_type, CASE WHEN l.toxic = 1 THEN 'contamination_high' WHEN d.n_chars % 3 = 0 THEN 'masking_fallback' WHEN d.n_chars % 3 = 1 THEN 'low_diversity' ELSE 'scale_flat' END AS issue,
         (d.n_chars % 100) / 100e0 AS coverage_score FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
@@ -74,7 +94,8 @@ def with_tables(sql: str) -> str:
     sql = re.sub(r"R\[((?:[^\[\]]|\[[^\]]*\])*)\]", r"round(\1, 6)", sql.strip())
     if not used:
         return sql
-    return f"WITH {text}{',' if sql.startswith('WITH ') else ''}\n{sql[5:] if sql.startswith('WITH ') else sql}"
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if sql.startswith(h)), "")
+    return f"{head or 'WITH '}{text}{',' if head else ''}\n{sql[len(head):]}"
 
 
 def _duck(sql: str) -> str:

@@ -34,9 +34,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"}) if any(t == "double" for _, t in df.dtypes) else df
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = 6):
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)), digits)
         if sql:
             ORACLE_SQL[name] = with_tables(sql)
         return build
