@@ -55,7 +55,7 @@ TABLES: dict[str, str] = {
         CASE asset_id % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'unknown' WHEN 2 THEN 'failed_texture_quality' WHEN 3 THEN 'odd' END AS export_status, CASE WHEN asset_id % 4 = 0 THEN NULL ELSE asset_id % 4 > 1 END AS export_ready,
         CASE asset_id % 5 WHEN 0 THEN 'object_isolated' WHEN 1 THEN 'failed' WHEN 2 THEN 'scene_raw' END AS filtering_status, CASE asset_id % 7 WHEN 0 THEN 'failed_visual_integrity' WHEN 1 THEN 'io error' WHEN 2 THEN 'failed_uv_preservation' ELSE 'ok' END AS decimation_status,
         asset_id % 3 > 0 AS uv_preserved, asset_id % 4 > 0 AS material_preserved, CASE asset_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'warning' WHEN 2 THEN 'contaminated' END AS texture_quality_status, (asset_id * 53 % 100) / 100e0 AS background_ratio,
-        (asset_id * 59 % 101) / 100e0 AS observed_ratio, (asset_id * 61 % 101) / 100e0 AS synthesized_ratio, asset_id % 3 > 0 AS completion_enabled, CASE WHEN asset_id % 5 = 0 THEN 'none' ELSE 'meshy' END AS provider,
+        (asset_id * 59 % 101) / 100e0 AS observed_ratio, (asset_id * 61 % 101) / 100e0 AS synthesized_ratio, asset_id % 3 > 0 AS completion_enabled, CASE WHEN asset_id % 5 = 0 THEN 'none' ELSE 'remote' END AS provider,
         (asset_id * 67 % 200) / 10e0 AS size_mb, asset_id * 71 % 400000 AS face_count, CASE WHEN asset_id % 6 = 0 THEN NULL ELSE asset_id * 73 % 120000 END AS vertex_count, CASE asset_id % 3 WHEN 0 THEN 1024 WHEN 1 THEN 2048 END AS texture_resolution,
         CASE asset_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'ok' ELSE 'busy' END AS provider_status, CASE WHEN asset_id % 7 = 0 THEN NULL ELSE asset_id % 7 > 1 END AS glb_valid, asset_id % 9 > 0 AS has_output, asset_id % 2 = 1 AS review_required FROM assets""",
     "fixtures": """SELECT d.doc_id AS fixture_id, CASE WHEN l.quality = 1 THEN 'accept' ELSE 'recapture' END AS expected, CASE WHEN d.n_chars >= 300 THEN 'accept' ELSE 'recapture' END AS predicted,
