@@ -24,7 +24,7 @@ TRANSITIONS = {
     "processing_budget_exceeded": ("reconstructed", "recapture_required", "failed"),
     "failed": (),
 }
-PROCESSING = ("created", "captured", "reconstructed", "cleaned", "exported", "processing_budget_exceeded")
+PROCESSING = ("created", "captured", "reconstructed", "cleaned", "exported", "validated")
 
 
 def lifecycle_check(history: DataFrame, transitions: dict = TRANSITIONS) -> DataFrame:

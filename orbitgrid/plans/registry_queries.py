@@ -240,7 +240,7 @@ def _(t):
 
 
 @query("stage_progress", """WITH h AS (SELECT *, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER w) / 1e6 AS st FROM history WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)), g AS (SELECT session_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS l, max(st) AS longest FROM h GROUP BY 1)
-SELECT session_id, status, round(longest, 3) AS longest_stage_s, round(epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6, 3) AS stale_s, status IN ('created', 'captured', 'reconstructed', 'cleaned', 'exported', 'processing_budget_exceeded') AND epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6 > 7200 AS stalled FROM g""", digits=3)
+SELECT session_id, status, round(longest, 3) AS longest_stage_s, round(epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6, 3) AS stale_s, status IN ('created', 'captured', 'reconstructed', 'cleaned', 'exported', 'validated') AND epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6 > 7200 AS stalled FROM g""", digits=3)
 def _(t):
     return op.stage_progress(t.history, F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
