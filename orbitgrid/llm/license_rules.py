@@ -127,6 +127,6 @@ k AS (SELECT doc_id, string_agg(id, '|' ORDER BY i) AS ids FROM s JOIN known
   ON plain = trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id),
 l AS (SELECT doc_id, coalesce(ids, '') AS ids, '|' || coalesce(ids, '') || '|' AS line FROM documents LEFT JOIN k USING (doc_id))
 SELECT doc_id, replace(ids, '|', ',') AS sentence_ids,
-  array_to_string(list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(line, '|{'|'.join(r[2])}|')" for r in RULES if r[0] == name) + f" THEN '{name}' END" for name in sorted(_FIRST, key=_FIRST.get))}], x -> x IS NOT NULL), ',') AS licenses,
+  array_to_string(list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(line, '|{'|'.join(r[2])}|')" for r in RULES if r[0] == name) + f" THEN '{name}' END" for name in sorted(_FIRST, key=_FIRST.get))}], lambda x: x IS NOT NULL), ',') AS licenses,
   {_case(0)} AS license, {_case(1)} AS license_class FROM l
 """
