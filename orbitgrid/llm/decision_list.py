@@ -14,6 +14,7 @@ labels or none teaches nothing. Without labelled rows the base rule alone decide
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,52 +36,63 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shifted(values: Column, by: int) -> Column:
-    return F.slice(values, by + 1, F.greatest(F.lit(0), F.size(values) - by))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def window_hashes(words: Column) -> Column:
     """A 64-bit hash of each window of eight words, by doubling: 1, 2, 4, then 8 words."""
+    def doubled(width: int) -> Callable[[Column], Column]:
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + width)))
+
     out = F.transform(words, lambda w: F.xxhash64(w))
     for width in (1, 2, 4):
-        rest = F.greatest(F.lit(0), F.size(out) - width)
-        out = F.zip_with(F.slice(out, 1, rest), shifted(out, width), lambda a, b: F.xxhash64(a, b))
-    return out
+        out = let(out, doubled(width))
+    return let(out, lambda h: F.slice(h, F.lit(1), F.greatest(F.lit(0), F.size(h) - (WINDOW - 1))))
 
 
 def covered_words(hashes: Column) -> Column:
     """Words inside windows whose hash occurs twice or more."""
-    at = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i"))
-    before = F.concat(F.array(none), at)
-    after = F.concat(shifted(at, 1), F.array(none))
-    same = F.zip_with(F.zip_with(at, before, lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("b"))), after,
-                      lambda x, y: F.when(x["b"] | F.coalesce(x["h"] == y["h"], F.lit(False)), x["i"]))
-    places = F.sort_array(F.filter(same, lambda i: i.isNotNull()))
-    gaps = F.zip_with(places, shifted(places, 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def repeated(at: Column) -> Column:
+        other = lambda i, step: F.get(at, i + step)["h"]
+        twin = lambda x, i: F.coalesce(x["h"] == other(i, 1), F.lit(False)) | F.coalesce((i > 0) & (x["h"] == other(F.greatest(i - 1, F.lit(0)), 0)), F.lit(False))
+        return F.sort_array(F.transform(F.filter(at, twin), lambda x: x["i"]))
+
+    def covered(places: Column) -> Column:
+        gaps = F.transform(places, lambda p, i: F.coalesce(F.least(F.get(places, i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
+
+    return let(let(ordered, repeated), covered)
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and the statistics of each whole text; kept columns named like one are replaced."""
     keep = [c for c in keep if c not in STATISTICS]
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
-    rows = rows.withColumn("__w", words_of(F.col("__t")))
-    rows = rows.withColumn("__h", F.when(F.size("__w") >= 2 * 1 + WINDOW - 1, window_hashes(F.col("__w"))).otherwise(F.array().cast("array<bigint>")))
-    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
-    rows = rows.withColumn("__l", lines)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     long = lambda c: c.cast("long")
+
+    def repeats(words: Column) -> Column:
+        hashes = F.when(F.size(words) > WINDOW, window_hashes(words)).otherwise(F.array().cast("array<bigint>"))
+        twice = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered_words(h)).otherwise(F.lit(0).cast("long"))
+        return F.struct(long(F.size(words)).alias("n"), let(hashes, twice).alias("repeated"))
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # one struct of all counts, each array inside bound once
+    counts = F.struct(
+        let(words_of(text), repeats).alias("w"),
+        long(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))).alias("word_chars"),
+        long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
+        long(F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).alias("n_upper"),
+        long(F.regexp_count(text, F.lit("[!?]"))).alias("n_marks"),
+        let(lines, lambda x: F.struct(long(F.size(x)).alias("n"), long(F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
+    )
+    rows = docs.select(*keep, F.explode(F.array(counts)).alias("__s"))  # a generator: its value is not recomputed above
+    s = lambda name: F.col(f"__s.{name}")
     return rows.select(
-        *keep,
-        long(F.size("__w")).alias("n_words"),
-        long(F.length(F.regexp_replace("__t", r"[\x20\x09-\x0D]+", ""))).alias("word_chars"),
-        long(F.regexp_count("__t", F.lit(SYMBOLS))).alias("n_symbols"),
-        long(F.size("__l") - F.size(F.array_distinct("__l"))).alias("n_dup_lines"),
-        F.when(repeats, covered_words(F.col("__h"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        long(F.length("__t") - F.length(F.regexp_replace("__t", "[A-Z]+", ""))).alias("n_upper"),
-        long(F.regexp_count("__t", F.lit("[!?]"))).alias("n_marks"),
-        long(F.size("__l")).alias("n_lines"),
+        *keep, s("w.n").alias("n_words"), s("word_chars"), s("n_symbols"), s("l.dup").alias("n_dup_lines"), s("w.repeated").alias("n_repeat_words"), s("n_upper"), s("n_marks"), s("l.n").alias("n_lines")
     )
 
 
