@@ -29,11 +29,20 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("__score") >= quality_knn.THRESHOLD).select(*docs.columns)
 
 
+def apart(docs: DataFrame, names: tuple[str, ...] | list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns that are called like one of `names` renamed, and how to name them back."""
+    taken = {n.lower() for n in names}
+    back = {f"__own_{c}": c for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    docs, back = apart(docs, decision_list.STATISTICS)
     stats = decision_list.with_statistics(docs, keep=docs.columns)
     measured = materialize(stats.drop(*(c for c in docs.columns if c != "doc_id")), "statistics")
     rules = decision_list.learn(decision_list.labelled(measured, read_table(spark, sf_dir, "labels")))
-    return stats.filter(decision_list.kept(rules)).select(*docs.columns)
+    return stats.filter(decision_list.kept(rules)).select(*docs.columns).withColumnsRenamed(back).select(*columns)
 
 
 def by_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +50,11 @@ def by_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    docs, back = apart(docs, decontam.FIELDS.names)
     judged = decontam.matches(docs, read_table(spark, sf_dir, "benchmark"))
-    return judged.filter(~decontam.contaminated(decontam.hit_words(), F.col("n_words"))).select(*docs.columns)
+    clean = judged.filter(~decontam.contaminated(decontam.hit_words(), F.col("n_words")))
+    return clean.select(*docs.columns).withColumnsRenamed(back).select(*columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,3 +415,17 @@ def test_pipeline_stages(spark):
         docs, before = out, out.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.count() == before and last.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_keeps_columns_that_clash(spark):
+    docs = read_table(spark, FOLDER, "documents").withColumns({"N_Words": F.lit("mine"), "hit_spans": F.lit(7), "score": F.lit(None).cast("string")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, FOLDER), name)
+        assert out.columns == docs.columns and out.exceptAll(docs).count() == 0, name
+        docs = out
+
+
+def test_pipeline_of_nothing(spark, nothing):
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, FOLDER)
+        assert out.count() == 0
