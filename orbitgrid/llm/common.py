@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,15 +70,17 @@ def add_columns(
     inputs: list[Column],
     fields: T.StructType,
     start: Callable[[], Callable[..., list[pa.Array]]],
+    gather: int = 1,
 ) -> DataFrame:
     """`df` with `fields` computed from Arrow batches of `inputs`.
 
     `start()` runs once in each task and returns a function of the input arrays that gives
-    one array for each field. Columns of `df` named like a new field are replaced; all
+    one array for each field; it gets `gather` batches at a time. Columns of `df` named like a new field are replaced; all
     others pass through unchanged.
     """
     bound_batches(df.sparkSession)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in fields.names]
+    taken = {n.lower() for n in fields.names}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     names = [f"__in{i}" for i in range(len(inputs))]
     wide = df.select(*kept, *(c.alias(n) for c, n in zip(inputs, names, strict=True)))
     schema = T.StructType([f for f in wide.schema.fields if f.name not in names] + fields.fields)
@@ -85,10 +88,12 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
-            if batch.num_rows:
-                made = step(*batch.columns[-n:])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-n], *made], names=schema.names)
+        full = (b for b in batches if b.num_rows)
+        while held := list(islice(full, gather)):
+            batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+            del held
+            made = step(*batch.columns[-n:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-n], *made], names=schema.names)
 
     return wide.mapInArrow(run, schema)
 
