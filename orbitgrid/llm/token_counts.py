@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitgrid.llm.common import add_columns, tokenizer_path
+from orbitgrid.llm.common import add_columns, materialize, tokenizer_path
 
 #: Lengths in a block of the two-level suffix sum.
 BLOCK = 4096
@@ -51,6 +51,7 @@ def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     the limit), share_at_or_below (the limit's quantile).
     """
     hist = lengths.groupBy(F.col(col).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    hist = materialize(hist, "lengths")  # one row for each length; the two branches below read it
     hist = hist.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     inner = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each block of lengths: the longest text / BLOCK rows at most
