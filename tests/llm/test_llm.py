@@ -372,6 +372,26 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
     assert few == sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in context_tree.scored(docs).collect())
 
 
+def test_tree_scores_do_not_depend_on_hot_contexts(spark, odd, monkeypatch):
+    docs = odd.unionByName(read_table(spark, FOLDER, "documents").select(*odd.columns).filter("doc_id between 20 and 60"))
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    train = [(bytearray(t),) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    tree = context_tree.fit_tree(spark.createDataFrame(train, "text binary"))
+    want = sorted((-1 if i is None else i, len(t), tree.score(t)) for i, t in rows)
+    for hot in (0, 50, 1 << 18):
+        monkeypatch.setattr(context_tree, "HOT_CONTEXTS", hot, raising=False)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.bits_per_byte is None else round(-r.score * math.log2(10) / r.bits_per_byte) - 1, r.score) for r in context_tree.scored(docs).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(g[2] == pytest.approx(w[2], rel=1e-5, abs=1e-3) for g, w in zip(got, want, strict=True))
+
+
+def test_many_contexts_keep_their_depth(spark):
+    rnd = random.Random(5)
+    text = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz012345", k=320_000)) * 4  # over 262,144 contexts of four bytes
+    row = context_tree.scored(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert not row.held_out and row.bits_per_byte < 3  # 5 from three bytes, which tell nothing here
+
+
 def test_language_model_edges(odd, nothing):
     assert context_tree.scored(odd).count() == odd.count() and context_tree.scored(nothing).count() == 0
 
