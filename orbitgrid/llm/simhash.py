@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group: that of its smallest id; of a group of null ids, any one row.
 
+    An id that is the smallest of several groups, its rows having different texts, stays once for each.
+
     Rows that share the surviving id are told apart by their fingerprint and text; of equal
     ones the first stays.
     """
@@ -258,6 +260,6 @@ def survivors(docs: DataFrame) -> DataFrame:
     # only documents of ids that survive are fingerprinted again, to tell rows of one id apart
     named = best.filter("__first is not null")
     by_id = docs.join(named, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
-    by_id = with_fingerprint(by_id, out_col="__fp").join(named, (F.col("doc_id").cast("long") == F.col("__first")) & (F.col("__fp") == F.col("__best"))).dropDuplicates(["doc_id"])
+    by_id = with_fingerprint(by_id, out_col="__fp").join(named, (F.col("doc_id").cast("long") == F.col("__first")) & (F.col("__fp") == F.col("__best"))).dropDuplicates(["doc_id", "__fp"])
     nameless = with_fingerprint(docs.filter("doc_id is null"), out_col="__fp").join(best.filter("__first is null"), F.col("__fp") == F.col("__best")).dropDuplicates(["__fp"])
     return by_id.select(*docs.columns).unionByName(nameless.select(*docs.columns))

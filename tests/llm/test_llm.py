@@ -144,6 +144,12 @@ def test_simhash_edges(odd, nothing):
     assert kept.count(0) == 1 and not {1, 2, 3} & set(kept) and kept.count(None) == 1
 
 
+def test_survivors_of_groups_that_share_their_smallest_id(spark):
+    rows = [(1, "red apples grow on old trees"), (1, "nine ships sail to far islands"), (2, "red apples grow on old trees"), (3, "nine ships sail to far islands")]
+    kept = sorted((r.doc_id, r.text) for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(rows[:2])
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = quality_knn.scored(read_table(spark, folder, "documents"), read_table(spark, folder, "labels")).filter("held_out")
