@@ -1,13 +1,16 @@
 """License scans by sentence-rule recognition (operator 7).
 
-Sentences of a text are normalised (lower case, runs of other characters than a-z and 0-9 to
-one space) and mapped to identifiers of known licence sentences. The sequence of identifiers
-in a text is then matched against ordered licence rules: a rule is a sequence of identifiers
-that must occur side by side, known sentences being all that counts as a neighbour.
-
-It runs within each row: no shuffle, no join. Only sentences with one of `KEYWORDS` are
-normalised; every known sentence has one. Null and empty texts have no sentence and no licence.
-Sentences that repeat are recognised each time; a licence is reported once.
+A text is cut into pieces at line ends and after marks, and the pieces are normalised (lower case,
+runs of other characters than a-z and 0-9 to one space). A known licence sentence is a run of whole
+pieces that, joined by spaces, is its normalised form: so it may be wrapped over lines and hold marks
+of its own ("v. 2.0"). Of known sentences that begin at one piece the longest counts. The sequence of
+their identifiers in a text is then matched against ordered licence rules: a rule is a sequence of
+identifiers that must occur side by side, known sentences being all that counts as a neighbour.
+
+It runs within each row: no shuffle, no join. Only texts with one of `KEYWORDS` are normalised;
+every known sentence has one, in one word. Null and empty texts have no sentence and no licence.
+Sentences that repeat are recognised each time; a licence is reported once. The DuckDB form knows
+only sentences of one piece.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ RULES = (
     ("proprietary", "restricted", ("rights-reserved",)),
 )
 KEYWORDS = "(?i)licen[sc]e|permission|redistribut|warrant|copyright"
-#: A sentence ends at a line's end, or at a mark that white space follows.
+#: A piece ends at a line's end, or at a mark that white space follows.
 END = r"([.!?:])[\x20\x09-\x0D]+"
 
 
@@ -76,18 +79,20 @@ def known_sentences() -> dict[str, str]:
     return {normalised(s): i for i, s in SENTENCES.items()}
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, END, "$1\n"), "\n")
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, a line end before and after each; empty ones are left out."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    plain = F.regexp_replace(F.translate(F.regexp_replace(text, END, "$1\n"), upper, lower), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), plain, F.lit("\n")), " ?\n[ \n]*", "\n")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    some = F.when(F.coalesce(text.rlike(KEYWORDS), F.lit(False)), sentences(text)).otherwise(F.array().cast("array<string>"))
-    some = F.filter(some, lambda s: s.rlike(KEYWORDS))
-    plain = F.transform(some, lambda s: F.trim(F.regexp_replace(F.translate(s, upper, lower), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    longest_first = "|".join(s.replace(" ", "[ \n]") for s in sorted(known_sentences(), key=len, reverse=True))
+    found = F.regexp_extract_all(pieces(text), F.lit(f"(?<=\n)({longest_first})(?=\n)"), F.lit(1))
+    found = F.when(F.coalesce(text.rlike(KEYWORDS), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

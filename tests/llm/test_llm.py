@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -259,6 +260,17 @@ def test_license_sequences(spark):
     assert all(re.search(license_rules.KEYWORDS, s) for s in license_rules.SENTENCES.values())
 
 
+def test_every_license_sentence_and_rule(spark):
+    forms = [lambda s: s, lambda s: textwrap.fill(s, 30), lambda s: textwrap.indent(textwrap.fill(s, 40), " * ").replace("\n", "\r\n")]
+    known = license_rules.SENTENCES
+    rows = [(f"{i} {k}", f"/* Head\n\n{form(s)}\n\nTail. */", i) for i, s in known.items() for k, form in enumerate(forms)]
+    rows += [(f"{n} {k}", "\n\n".join(form(known[i]) for i in ids), ",".join(ids)) for n, (_, _, ids) in enumerate(license_rules.RULES) for k, form in enumerate(forms)]
+    got = {r.doc_id: r for r in license_rules.scanned(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
+    assert {i: got[i].sentence_ids for i, _, _ in rows} == {i: want for i, _, want in rows}
+    for n, (name, kind, _) in enumerate(license_rules.RULES):
+        assert all((got[f"{n} {k}"].license, got[f"{n} {k}"].license_class) == (name, kind) for k in range(len(forms)))
+
+
 def plain_statistics(text):
     words = [w for w in text.encode().split()]
     lines = [x for x in text.split("\n") if x.encode().split()]
