@@ -43,6 +43,7 @@ SENTENCES = {
     "cc0-notice": "This work is licensed under CC0 1.0.",
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved under copyright.",
+    "rights-reserved-all": "All rights reserved.",
 }
 #: (licence, class, identifiers that follow each other), in order: the first rule that fits names a text's main licence.
 RULES = (
@@ -64,8 +65,9 @@ RULES = (
     ("CC-BY-4.0", "permissive", ("cc-by-notice",)),
     ("CC0-1.0", "permissive", ("cc0-notice",)),
     ("proprietary", "restricted", ("rights-reserved",)),
+    ("proprietary", "restricted", ("rights-reserved-all",)),
 )
-KEYWORDS = "(?i)licen[sc]e|permission|redistribut|warrant|copyright"
+KEYWORDS = "(?i)licen[sc]e|permission|redistribut|warrant|copyright|reserved"
 #: A piece ends at a line's end, or at a mark that white space follows.
 END = r"([.!?:])[\x20\x09-\x0D]+"
 

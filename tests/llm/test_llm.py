@@ -260,6 +260,12 @@ def test_license_sequences(spark):
     assert all(re.search(license_rules.KEYWORDS, s) for s in license_rules.SENTENCES.values())
 
 
+def test_all_rights_reserved_is_proprietary(spark):
+    rows = [(1, "Some prose here.\nAll rights reserved."), (2, "All rights reserved.\n" + license_rules.SENTENCES["bsd-grant"])]
+    got = {r.doc_id: (r.licenses, r.license, r.license_class) for r in license_rules.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("proprietary", "proprietary", "restricted"), 2: ("BSD,proprietary", "BSD", "permissive")}
+
+
 def test_every_license_sentence_and_rule(spark):
     forms = [lambda s: s, lambda s: textwrap.fill(s, 30), lambda s: textwrap.indent(textwrap.fill(s, 40), " * ").replace("\n", "\r\n")]
     known = license_rules.SENTENCES
