@@ -296,14 +296,15 @@ def nearest_point_support(elements: DataFrame, points: DataFrame, radius: float
     return elements.join(hit, ["job", "element"], "left").groupBy("job", "component").agg(F.count("hit").alias("supported"), F.count("*").alias("total")).withColumn("ratio", F.col("supported") / F.col("total"))
 
 
-def view_mask_support(points: DataFrame, cameras: DataFrame, mask_pixels: DataFrame, n: int = 500, min_visible: int = 10) -> DataFrame:
+def view_mask_support(points: DataFrame, cameras: DataFrame, mask_pixels: DataFrame, n: int | None = 500, min_visible: int = 10) -> DataFrame:
     """Support of components by masks: points projected by each camera (rows p0, p1, p2 of four), kept in front and inside, looked up in the mask.
 
-    The first n points of a component by hash stand for it. A view counts from `min_visible` visible points.
+    The first n points of a component by hash stand for it, all of them if n is None. A view counts from `min_visible` visible points.
     """
-    w = Window.partitionBy("job", "component").orderBy(F.xxhash64("job", "element"), "element")
-    picked = points.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
-    seen = picked.join(cameras, "job")
+    if n is not None:
+        w = Window.partitionBy("job", "component").orderBy(F.xxhash64("job", "element"), "element")
+        points = points.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+    seen = points.join(cameras, "job")
     dot = lambda row: F.col(row)[0] * F.col("x") + F.col(row)[1] * F.col("y") + F.col(row)[2] * F.col("z") + F.col(row)[3]
     seen = seen.withColumn("depth", dot("p2")).filter("depth > 0.01")
     seen = seen.withColumns({"px": F.floor(dot("p0") / F.col("depth")), "py": F.floor(dot("p1") / F.col("depth"))}).filter("px >= 0 and py >= 0 and px < width and py < height")

@@ -180,7 +180,7 @@ def _(t):
     span = F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))
     masks = cameras.select("job", "camera", F.explode(span).alias("px")).select("*", F.explode(span).alias("py"))
     lit = (c("px") * 7 + c("py") * 3 + c("camera")) % 5 < 3
-    return op.view_mask_support(points, cameras, masks.withColumn("value", F.when(lit, 255).otherwise(0)), min_visible=2)
+    return op.view_mask_support(points, cameras, masks.withColumn("value", F.when(lit, 255).otherwise(0)), n=None, min_visible=2)
 
 
 @query("normalization_audit", """WITH b AS (SELECT mesh, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM vertices GROUP BY 1)

@@ -53,3 +53,19 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, str(FOLDER)).count() > 0
+
+
+def test_mask_support_of_many_points_equals_its_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (vec_id + 1000000 * i AS vec_id, 1 AS label) FROM '{FOLDER}/embeddings.parquet', range(20) r(i)) TO '{tmp_path}/embeddings.parquet'")
+    for p in FOLDER.glob("*.parquet"):
+        if p.stem != "embeddings":
+            (tmp_path / p.name).symlink_to(p)
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert con.execute("SELECT min(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 3)").fetchone()[0] > 500
+    df = QUERIES["view_mask_support"](spark, str(tmp_path))
+    answer = con.execute(ORACLE_SQL["view_mask_support"])
+    names = [d[0] for d in answer.description]
+    want = sorted(tuple(plain(v) for v in r) for r in answer.fetchall())
+    got = sorted(tuple(plain(r[n]) for n in names) for r in df.collect())
+    assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
