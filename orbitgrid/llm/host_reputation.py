@@ -3,12 +3,20 @@
 Labelled page outcomes are counted by host. Beta-binomial priors shrink them level by level:
 suffixes towards the whole, registered domains towards their suffix, hosts towards their
 registered domain. Each level's prior strength comes from its members' spread (method of
-moments). A host is blocked if even the upper bound of its posterior good share stays below
-`min_good`. Allow and block rules for hosts and path prefixes go before that.
+moments), `MAX_STRENGTH` outcomes at most, so that a host's own record prevails as it grows.
+
+The filter is one of admission: a host is blocked if the lower bound of its posterior good share
+stays below `min_share` of the good share of all outcomes, and either its own outcomes pull it
+below its domain or its domain's mean is below that limit itself. So a host without outcomes is
+blocked with a bad domain only. Allow and block rules for hosts and path prefixes go before that.
+
+A page's outcome is the quality label of the document whose number ends its url's path: those
+pages carry that document's text.
 
 Null urls and urls without `://` have an empty host and path; they share the reputation of the
 empty host. Outcomes without a label say nothing. Without any outcome nothing is blocked but
-by rule. Rows that repeat are judged and counted each.
+by rule. Rows that repeat are judged and counted each. An empty table of pages gives no rows.
+Other columns of the tables, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +30,9 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Suffixes of two labels under which domains are registered; others have one label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "org.au", "org.uk")
-MIN_GOOD, Z = 0.5, 1.645
+MIN_SHARE, Z, MAX_STRENGTH = 0.75, 1.645, 10
+#: Spread between members at which the prior is worth MAX_STRENGTH outcomes.
+LEAST_SPREAD = 1 / (MAX_STRENGTH + 1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,14 +75,14 @@ def with_domain(df: DataFrame, host: str = "host") -> DataFrame:
 def strength(members: DataFrame, mean: str) -> DataFrame:
     """One row with the beta prior's strength s: from the spread of k/n about `mean`, by moments.
 
-    rho = (sum n (k/n - m)^2 / (m (1 - m)) - members) / sum (n - 1), kept in [0.001, 0.9]; s = 1/rho - 1.
+    rho = (sum n (k/n - m)^2 / (m (1 - m)) - members) / sum (n - 1), kept in [LEAST_SPREAD, 0.9]; s = 1/rho - 1.
     """
     m = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(mean)))
     seen = members.filter("n > 0")
     spread = F.sum(F.col("n") * (F.col("k") / F.col("n") - m) ** 2 / (m * (1 - m)))
     free = F.sum(F.col("n") - 1)
     rho = F.when(free > 0, (spread - F.count("*")) / free).otherwise(F.lit(0.1))
-    return seen.agg((1 / F.greatest(F.lit(0.001), F.least(F.lit(0.9), rho)) - 1).alias("s"))
+    return seen.agg((1 / F.greatest(F.lit(LEAST_SPREAD), F.least(F.lit(0.9), rho)) - 1).alias("s"))
 
 
 def shrunk(members: DataFrame, mean: str, out: str) -> DataFrame:
@@ -82,29 +92,35 @@ def shrunk(members: DataFrame, mean: str, out: str) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior of each host from (host, good): host, n, k, alpha, beta, mean, lower, upper. Null `good`: not labelled."""
+    """Posterior of each host from (host, good): host, n, k, alpha, beta, mean, lower, upper, and its domain's and all outcomes' good share. Null `good`: not labelled."""
     hosts = with_domain(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
-    suffixes = shrunk(suffixes.join(F.broadcast(top)), "m0", "m1").select("suffix", "m1")
-    domains = shrunk(domains.join(suffixes, "suffix"), "m1", "m2").select("domain", "m2")
+    suffixes = shrunk(suffixes.join(F.broadcast(top)), "m0", "m1").select("suffix", "m0", "m1")
+    domains = shrunk(domains.join(suffixes, "suffix"), "m1", "m2").select("domain", "m0", "m2")
     hosts = shrunk(hosts.join(domains, "domain"), "m2", "mean")
     a, b = F.col("alpha"), F.col("beta")
     sd = F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
     return (
         hosts.withColumns({"alpha": F.col("k") + F.col("s") * F.col("m2"), "beta": F.col("n") - F.col("k") + F.col("s") * (1 - F.col("m2"))})
         .withColumns({"lower": F.greatest(F.lit(0.0), F.col("mean") - Z * sd), "upper": F.least(F.lit(1.0), F.col("mean") + Z * sd)})
-        .select("host", "domain", "suffix", "n", "k", "alpha", "beta", "mean", "lower", "upper")
+        .select("host", "domain", "suffix", "n", "k", "alpha", "beta", "mean", "lower", "upper", F.col("m2").alias("domain_mean"), F.col("m0").alias("all_mean"))
     )
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, min_good: float = MIN_GOOD, rules=RULES) -> DataFrame:
+def not_admitted(min_share: float = MIN_SHARE) -> Column:
+    """Whether a host of `host_reputation` is blocked."""
+    limit = min_share * F.col("all_mean")
+    return (F.col("lower") < limit) & ((F.col("k") < F.col("n") * F.col("domain_mean")) | (F.col("domain_mean") < limit))
+
+
+def judged(pages: DataFrame, outcomes: DataFrame, min_share: float = MIN_SHARE, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; `outcomes` has (host, good) of labelled pages."""
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
     every = rows.select("host", F.lit(None).cast("int").alias("good")).unionByName(outcomes.select("host", "good"))
-    bad = host_reputation(every).filter(F.col("upper") < min_good).select("host", F.lit("block").alias("by_host"))
+    bad = host_reputation(every).filter(not_admitted(min_share)).select("host", F.lit("block").alias("by_host"))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
     return rows.join(bad, "host", "left").withColumn("rule", rule).select(
         "page_id", "host", "path", "rule", F.coalesce(rule_action(F.col("rule"), rules), "by_host", F.lit("allow")).alias("verdict")
@@ -126,7 +142,7 @@ def _fits(rule: str) -> str:
 
 
 def _shrink(table: str, mean: str) -> str:
-    return f"""(SELECT 1 / greatest(0.001, least(0.9, CASE WHEN sum(n - 1) > 0 THEN
+    return f"""(SELECT 1 / greatest({LEAST_SPREAD}::double, least(0.9, CASE WHEN sum(n - 1) > 0 THEN
       (sum(n * (k / n - greatest(1e-6, least(1 - 1e-6, {mean}))) ** 2 / (greatest(1e-6, least(1 - 1e-6, {mean})) * (1 - greatest(1e-6, least(1 - 1e-6, {mean}))))) - count(*)) / sum(n - 1)
       ELSE 0.1 END)) - 1 FROM {table} WHERE n > 0)"""
 
@@ -145,14 +161,14 @@ d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix, do
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 s1 AS (SELECT *, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s0) AS m0 FROM s0),
 s2 AS (SELECT *, {_shrink("s1", "m0")} AS s FROM s1),
-s AS (SELECT suffix, (k + s * m0) / (n + s) AS m1 FROM s2),
-d1 AS (SELECT domain, n, k, m1 FROM d JOIN s USING (suffix)),
+s AS (SELECT suffix, m0, (k + s * m0) / (n + s) AS m1 FROM s2),
+d1 AS (SELECT domain, n, k, m0, m1 FROM d JOIN s USING (suffix)),
 d2 AS (SELECT *, {_shrink("d1", "m1")} AS s FROM d1),
-dm AS (SELECT domain, (k + s * m1) / (n + s) AS m2 FROM d2),
-h2 AS (SELECT host, n, k, m2 FROM h JOIN dm USING (domain)),
+dm AS (SELECT domain, m0, (k + s * m1) / (n + s) AS m2 FROM d2),
+h2 AS (SELECT host, n, k, m0, m2 FROM h JOIN dm USING (domain)),
 h3 AS (SELECT *, {_shrink("h2", "m2")} AS s FROM h2),
-ab AS (SELECT host, k + s * m2 AS a, n - k + s * (1 - m2) AS b FROM h3),
-bad AS (SELECT host FROM ab WHERE a / (a + b) + {Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) < {MIN_GOOD}),
+ab AS (SELECT *, k + s * m2 AS a, n - k + s * (1 - m2) AS b FROM h3),
+bad AS (SELECT host FROM ab WHERE greatest(0, a / (a + b) - {Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))) < {MIN_SHARE} * m0 AND (k < n * m2 OR m2 < {MIN_SHARE} * m0)),
 r AS (SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(rule)} THEN '{rule}'" for _, rule in _RULES)} END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE rule {" ".join(f"WHEN '{rule}' THEN '{action}'" for action, rule in RULES)}
   ELSE CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END END AS verdict FROM r

@@ -196,10 +196,34 @@ def test_reputation_shrinks_to_the_domain(spark):
     out = [("bad.a.net", 0)] * 30 + [("good.a.net", 1)] * 30 + [("one.a.net", 0)] + [(f"h{i}.b.net", 1) for i in range(40)]
     rep = {r.host: r for r in host_reputation.host_reputation(spark.createDataFrame(out + [("new.b.net", None)], "host string, good int")).collect()}
     assert rep["bad.a.net"].upper < 0.5 < rep["good.a.net"].lower
-    assert rep["one.a.net"].mean > 0.1 and rep["one.a.net"].upper > 0.5  # one outcome does not block
+    assert rep["one.a.net"].mean > 0.1 and rep["one.a.net"].upper > 0.5  # one outcome says little
     assert rep["new.b.net"].n == 0 and rep["new.b.net"].mean > 0.8
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_reputation_blocks_some_hosts_of_the_tables(spark, folder):
+    pages = read_table(spark, folder, "pages")
+    got = host_reputation.judged(pages, host_reputation.labelled_outcomes(pages, read_table(spark, folder, "labels")))
+    by_method = got.filter("rule is null and verdict = 'block'").count()
+    assert 0 < by_method < 0.2 * got.count() == 0.2 * pages.count()
+
+
+def test_reputation_of_planted_hosts(spark):
+    pages, outcomes = [], []
+    for n in range(30):
+        for host, bad in ((f"good{n}.fine.net", 10), ("spam.fine.net", 1), ("pills.bad.info", 1), ("farm.bad.info", 1)):
+            pages.append((host, f"http://{host}/{n}"))
+            outcomes.append((host, int(n % bad > 0)))
+    pages += [("new.fine.net", "http://new.fine.net/"), ("new.bad.info", "http://new.bad.info/"), ("late.net", "http://late.net")]
+    rows = [(i, u) for i, (_, u) in enumerate(pages)]
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string").withColumns({"host": F.lit("clash"), "path": F.lit(1), "rule": F.lit("x"), "good": F.lit(0)})
+    got = host_reputation.judged(df, spark.createDataFrame(outcomes, "host string, good int").withColumn("url", F.lit(None).cast("string"))).collect()
+    assert len(got) == len(rows) + 5  # repeated rows are judged each
+    assert {r.host for r in got if r.verdict == "block"} == {"spam.fine.net", "pills.bad.info", "farm.bad.info", "new.bad.info"}
+    none = host_reputation.judged(df, spark.createDataFrame([], "host string, good int"))
+    assert none.filter("verdict = 'block'").count() == 0 and host_reputation.judged(df.limit(0), none.select("host", F.lit(0).alias("good"))).count() == 0
+
+
 def plain_decontam(texts, items):
     windows = {i: {tuple(w) for w in decontam.windows_of(decontam.words_of(t.encode()))} for i, t in items.items() if t}
     out = {}
