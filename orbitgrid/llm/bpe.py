@@ -6,6 +6,11 @@ ascending order; each merge rewrites its positions and adds the pairs that it cr
 their lists. All words that share a pair are merged in the same visit.
 
 Null texts count as empty (no ids, decoded text ""). Texts of any length are encoded whole.
+Repeated rows are encoded each, an empty table gives an empty one, and columns of the table that
+are named like the result are replaced.
+
+Words of ASCII, of Latin or of Cyrillic letters are split here; all others by the library's own
+pre-tokenizer, so that its Unicode tables count and not Python's.
 """
 
 from __future__ import annotations
@@ -18,23 +23,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbitgrid.llm.common import add_columns, sub_batches, text_bytes, tokenizer_path
 
-#: Unicode White_Space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fixed value: the pre-tokenization pattern of byte-level BPE files.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: Fixed value: the pre-tokenization pattern of byte-level BPE files, for ASCII.
+PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: Letters of which every Unicode version since 4.0 says so, that are in NFC and have one lower-case letter.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u04ff]+")
 #: Pieces between which no pre-token of PATTERN reaches, if the only white space is ASCII.
 CHUNKS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: First bytes of the white space beyond ASCII in UTF-8; their absence is quick to see.
 MAYBE_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Punctuation that PATTERN splits from a word before it.
-MARKS = frozenset(".,;:!?")
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 MEMO_ENTRIES = 120_000
 
 
@@ -50,6 +54,10 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def of_letters(word: bytes) -> bool:
+    return word.isalpha() or not word.isascii() and LETTERS.fullmatch(word.decode()) is not None
+
+
 class Memo:
     """A bounded dict in two generations: what was used lately stays."""
 
@@ -173,6 +181,8 @@ class PairIndexEncoder:
     """A byte-level BPE file: pre-tokens, special tokens and a pair index."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -180,7 +190,7 @@ class PairIndexEncoder:
             raise ValueError(f"not a plain byte-level BPE file: {path}")
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.index = PairIndex(spec["model"])
-        back = {c: b for b, c in byte_symbols().items()}
+        back = self.back = {c: b for b, c in byte_symbols().items()}
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -188,7 +198,7 @@ class PairIndexEncoder:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes_of[i] = content
-        self.split = regex.compile(PATTERN)
+        self.pre_tokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.memo = Memo()
 
@@ -201,13 +211,14 @@ class PairIndexEncoder:
 
     def words(self, piece: bytes) -> list[bytes]:
         """The pre-tokens of a piece; letters, with a mark after them or without, need no pattern."""
-        text = piece.decode()
-        letters = text[1:] if text[:1] == " " else text
-        if letters.isalpha():
+        letters = piece[1:] if piece[:1] == b" " else piece
+        if of_letters(letters):
             return [piece]
-        if letters[-1:] in MARKS and letters[:-1].isalpha():
+        if letters[-1:] in MARKS and of_letters(letters[:-1]):
             return [piece[:-1], piece[-1:]]
-        return [w.encode() for w in self.split.findall(text)]
+        if piece.isascii():
+            return PATTERN.findall(piece)
+        return [bytes(map(self.back.__getitem__, token)) for token, _ in self.pre_tokens(piece.decode())]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes."""

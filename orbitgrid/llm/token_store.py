@@ -1,7 +1,8 @@
 """Token ids in packs of separately compressed documents (operator 10).
 
-One zstandard dictionary is trained on serialized id arrays of a bounded sample
-(`DICT_SAMPLE` documents; a model, like any zstandard dictionary). Each document is a frame of
+One zstandard dictionary is trained on the serialized id arrays of a bounded sample of whole
+documents: the first `DICT_SAMPLE` by hash of the id, without those that would take their texts
+beyond `DICT_SAMPLE_BYTES` in that order (it is a model, like any zstandard dictionary). Each document is a frame of
 its own. A store is a folder with three tables that Spark writes, so that it lives in any
 file system Spark reaches and task retries leave no half-written file:
 
@@ -13,13 +14,14 @@ file system Spark reaches and task retries leave no half-written file:
 A short document is read by its pack's index: slice the payload, decompress one frame.
 
 Null texts are empty documents: they hold the end id alone. Null ids come first. Rows with
-equal ids are ordered by their ids' bytes.
+equal ids are ordered by their ids' bytes. An empty table gives an empty store. Texts of any
+length are one frame each. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,74 +30,84 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitgrid.llm.bpe import Memo, PairIndex
+from orbitgrid.llm.bpe import LETTERS, Memo, PairIndex
 from orbitgrid.llm.common import add_columns, materialize, shared_dir, sub_batches, text_bytes, tokenizer_path
 
-DICT_SAMPLE, DICT_BYTES, LEVEL = 2000, 64 << 10, 1
+DICT_SAMPLE, DICT_SAMPLE_BYTES, DICT_BYTES, LEVEL = 2000, 32 << 20, 64 << 10, 1
 #: Bytes of compressed payload and documents after which a pack is closed.
 PACK_BYTES, PACK_DOCS = 1 << 20, 1024
 
 
 #: Punctuation that may stand in a run after a word and is one pre-token then.
-MARKS = ".,;:!?#*$%&|"
+MARKS = b".,;:!?#*$%&|"
+#: What a file must say for words to be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordEncoder:
     """The tokenizers library's ids, with each word (a run without ASCII white space) encoded once.
 
-    White space is dropped by the tokenizer, so no token, normalization or split crosses it.
-    Words that are letters, with a run of marks after them or not, go to the pair index of
-    operator 1, all new ones of a batch together; the library encodes every other word. On
-    words of letters the library takes about 13 microseconds each, several times as long.
+    White space is dropped by the tokenizer, so no token, normalization or split crosses it; a file
+    that says otherwise is refused. Words that are letters, with a run of marks after them or not,
+    go to the pair index of operator 1, all new ones of a batch together; the library encodes every
+    other word. On words of letters the library takes about 13 microseconds each, several times as long.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER:
+            raise ValueError(f"not a lower-case BPE file that drops white space: {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.index = PairIndex(json.load(f)["model"])
+        self.index = PairIndex(spec["model"])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo = Memo(200_000)
 
-    def library(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def library(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     @staticmethod
-    def split(word: bytes) -> list[bytes] | None:
-        """Lower-cased pre-tokens of a word of letters; None if it is no such word."""
-        text = word.decode()
-        letters = text.rstrip(MARKS)
-        if not letters.isalpha() or not (text.isascii() or unicodedata.is_normalized("NFC", text) and "\u03a3" not in text):
-            return None
-        low = letters.lower()
-        if len(low) != len(letters):
+    def split(word: bytes) -> tuple[bytes, bytes] | None:
+        """The lower-cased letters of a word of letters and the marks after them; None if it is no such word."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():  # ASCII
+            return letters.lower(), word[len(letters) :]
+        if letters.isascii() or not LETTERS.fullmatch(text := letters.decode()):
             return None
-        return [low.encode(), text[len(letters) :].encode()] if len(letters) < len(text) else [low.encode()]
+        return text.lower().encode(), word[len(letters) :]
 
     def learn(self, words: list[bytes]) -> None:
-        parts = [(w, self.split(w)) for w in words]
-        distinct = list({p for _, ps in parts if ps for p in ps})
+        parts = list(map(self.split, words))
+        distinct = list({p for ps in parts if ps for p in ps})
         ids = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
-        self.memo.new.update((w, b"".join([ids[p] for p in ps]) if ps else self.library(w)) for w, ps in parts)
+        self.memo.new.update((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p)
+        other = [w for w, p in zip(words, parts, strict=True) if not p]
+        self.memo.new.update(zip(other, self.library(other), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for run in sub_batches(texts, 8 << 20):
-            distinct: set[bytes] = set()
-            for t in run:
-                distinct.update(t.split())
-            self.learn(self.memo.missing(distinct))
-            del distinct
+            words = [t.split() for t in run]
+            self.learn(self.memo.missing(set().union(*words)))
             get = self.memo.new.__getitem__
-            out += [b"".join(map(get, t.split())) for t in run]
+            out += [b"".join(map(get, w)) for w in words]
         return out
 
 
@@ -122,11 +134,13 @@ def serial_type(path: str | None) -> str:
 
 
 def train_dictionary(docs: DataFrame, end_id: int, path: str | None = None) -> bytes:
-    """A dictionary from the id arrays of at most DICT_SAMPLE documents; empty if they are too few."""
-    ids = docs.select("doc_id", "text")
-    picked = ids.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(DICT_SAMPLE).select("doc_id").distinct()
-    texts = ids.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 20_000).alias("text")).limit(DICT_SAMPLE)
-    samples = [np.frombuffer(bytes(r.raw), "<u4").astype(serial_type(path))[:8192].tobytes() for r in encode_ids(texts, end_id, path).select("raw").collect()]
+    """A dictionary from the id arrays of a bounded sample of whole documents; empty if they are too few."""
+    first = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy("h", "doc_id", "size").limit(DICT_SAMPLE)
+    so_far = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))  # of DICT_SAMPLE rows
+    picked = first.withColumn("so_far", so_far).filter(F.col("so_far") <= DICT_SAMPLE_BYTES).select("doc_id", "size").distinct()
+    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    texts = sized.join(F.broadcast(picked), ["doc_id", "size"], "left_semi").select("doc_id", "text").limit(DICT_SAMPLE)
+    samples = [np.frombuffer(bytes(r.raw), "<u4").astype(serial_type(path)).tobytes() for r in encode_ids(texts, end_id, path).select("raw").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, a library or held-out accuracy, and their edge cases."""
 
 import hashlib
+import json
 import math
 import random
 import textwrap
@@ -24,7 +25,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test table
 RND = random.Random(7)
 LONG = " ".join(RND.choice(["alpha", "beta", "gamma", "delta"]) + str(RND.randint(0, 999)) for _ in range(20_000))
 ODD = [
-    None, "", " ", "\n\n", "a", "<|endoftext|>x <|endoftext|>", "it's WE'LL 's", "  b\u00a0c\u3000 d", "cafe\u0301 \u00c9 \u03a3\u0391\u03a3 \u0130", "1234 \u00bd", "\U0001f600\u200b\u0085", "aaaa" * 500, "tab\t\r\nend ", LONG,
+    None, "", " ", "\n\n", "a", "<|endoftext|>x <|endoftext|>", "it's WE'LL 's", "  b\u00a0c\u3000 d", "cafe\u0301 \u00c9 \u03a3\u0391\u03a3 \u0130", "1234 \u00bd", "\U0001f600\u200b\u0085", "aaaa" * 500, "tab\t\r\nend ", LONG, "\U000323b0's", "\u0130x \u1c89\u1c8a, \ua7cb! \U000323b0\U000323b0.", "na\u00efve, \u041f\u0440\u0438\u0432\u0435\u0442! \u01c5\u0130|", "x\u0482\u0488 a\u2028b",
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,6 +76,35 @@ def test_bpe_replaces_clashing_columns_and_keeps_others(odd):
     assert bpe.decode(out).filter("decoded <> coalesce(text, '')").count() == 0
 
 
+def test_letters_are_letters_of_both_libraries():
+    byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    some = [chr(i) for i in range(0x500) if bpe.LETTERS.fullmatch(chr(i))]
+    assert len(some) > 600
+    for x in some:
+        assert len(byte.pre_tokenizer.pre_tokenize_str(f"a{x}a")) == 1 and word.normalizer.normalize_str(f"A{x}") == f"A{x}".lower(), hex(ord(x))
+        assert word.encode(f"{x}a.,").ids == np.frombuffer(token_store.word_encoder(tokenizer_path("word_bpe_49k.json")).encode([f"{x}a.,".encode()])[0], "<u4").tolist()
+
+
+@pytest.mark.parametrize("name, file", [("normalizer", "word_bpe_49k.json"), ("pre_tokenizer", "word_bpe_49k.json"), ("pre_tokenizer", "byte_bpe_50k.json")])
+def test_unknown_tokenizer_files_are_refused(tmp_path, name, file):
+    spec = json.loads(Path(tokenizer_path(file)).read_text(encoding="utf-8"))
+    (tmp_path / "file.json").write_text(json.dumps(spec | {name: {"type": "NFKC" if name == "normalizer" else "Whitespace"}}))
+    with pytest.raises(ValueError):
+        (token_store.WordEncoder if file[0] == "w" else bpe.PairIndexEncoder)(str(tmp_path / "file.json"))
+
+
+def test_dictionary_sample_is_bounded_by_whole_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * 40 * (1000 if i == 7 else 1)) for i in range(200)] + [(None, None), (3, "other"), (4, "")], "doc_id long, text string")
+    seen = []
+    real = token_store.encode_ids
+    monkeypatch.setattr(token_store, "encode_ids", lambda d, *a: seen.append({r.doc_id: r.text for r in d.collect()}) or real(d, *a))
+    monkeypatch.setattr(token_store, "DICT_SAMPLE_BYTES", 20_000)
+    token_store.train_dictionary(docs, 2)
+    (picked,) = seen
+    whole = {(r.doc_id, r.text) for r in docs.collect()}
+    assert 20 < len(picked) < 100 and set(picked.items()) <= whole and sum(len(t or "") for t in picked.values()) <= 20_000
+
+
 def test_overlapping_equal_pairs():
     index = bpe.encoder(tokenizer_path("byte_bpe_50k.json")).index
     lib = library("byte_bpe_50k.json")
@@ -211,7 +241,7 @@ def test_reputation_blocks_some_hosts_of_the_tables(spark, folder):
 def test_reputation_of_planted_hosts(spark):
     pages, outcomes = [], []
     for n in range(30):
-        for host, bad in ((f"good{n}.fine.net", 10), ("spam.fine.net", 1), ("pills.bad.info", 1), ("farm.bad.info", 1)):
+        for host, bad in ((f"good{n % 3}.fine.net", 10), ("spam.fine.net", 1), ("pills.bad.info", 1), ("farm.bad.info", 1)):
             pages.append((host, f"http://{host}/{n}"))
             outcomes.append((host, int(n % bad > 0)))
     pages += [("new.fine.net", "http://new.fine.net/"), ("new.bad.info", "http://new.bad.info/"), ("late.net", "http://late.net")]
