@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitgrid.functions.geometry import angle_bins, color_class, quat_camera_center, rgb_to_hsv, spherical_angles, yaw_pitch
+from orbitgrid.operators.asset_rules import codes
 from orbitgrid.sources.checkpoints import materialize
 
 
@@ -45,13 +46,17 @@ def pose_coverage_matrix(poses: DataFrame) -> DataFrame:
 
 
 def pose_coverage_summary(poses: DataFrame) -> DataFrame:
-    """Covered cells, coverage ratio, azimuth span and elevation spread of each session."""
-    cells = pose_coverage_matrix(poses).groupBy("session_id").agg(F.count_if(F.col("n") > 0).alias("covered"))
-    angles = _pose_angles(poses)
-    span = circular_gaps(angles.withColumnRenamed("az", "angle")).select("session_id", "span")
-    spread = angles.groupBy("session_id").agg((F.max("el") - F.min("el")).alias("elevation_spread"))
-    out = cells.join(span, "session_id", "left").join(spread, "session_id", "left")
-    return out.select("session_id", "covered", (F.col("covered") / 24).alias("coverage_ratio"), F.coalesce("span", F.lit(0.0)).alias("azimuth_span"), F.coalesce("elevation_spread", F.lit(0.0)).alias("elevation_spread"))
+    """Covered cells, coverage ratio, azimuth span and elevation spread of each session, from one pass over its angles."""
+    w = Window.partitionBy("session_id").orderBy("a")
+    first = F.min("a").over(Window.partitionBy("session_id"))
+    at = _pose_angles(poses).withColumn("b", angle_bins(F.col("az"), F.col("el"))).withColumn("a", F.pmod("az", F.lit(360.0)))
+    rows = at.withColumn("g", F.coalesce(F.lead("a").over(w) - F.col("a"), first + 360 - F.col("a")))
+    out = rows.groupBy("session_id").agg(
+        F.size(F.collect_set(F.col("b.band") * 8 + F.col("b.sector"))).cast("long").alias("covered"),  # 24 values at most
+        F.when(F.count("*") > 1, 360 - F.max("g")).otherwise(0.0).alias("azimuth_span"), (F.max("el") - F.min("el")).alias("elevation_spread"),
+    )
+    out = poses.select("session_id").distinct().join(out, "session_id", "left").na.fill(0, ["covered"]).na.fill(0.0, ["azimuth_span", "elevation_spread"])
+    return out.select("session_id", "covered", (F.col("covered") / 24).alias("coverage_ratio"), "azimuth_span", "elevation_spread")
 
 
 def view_coverage(poses: DataFrame, buckets: int = 8, low: float = -30.0, high: float = 90.0, levels: int = 5, observed: Column | None = None) -> DataFrame:
@@ -100,9 +105,23 @@ def dominant_hue(pixels: DataFrame) -> DataFrame:
 
 
 def color_profile(pixels: DataFrame) -> DataFrame:
-    """Median product and background colour of each session (truncated), colour class and confidence 0.4 + 0.6 * mask share."""
-    med = lambda inside, ch: F.floor(F.median(F.when(F.col("product") == inside, F.col(ch)))).cast("long")
-    out = pixels.groupBy("session_id").agg(*(med(True, ch).alias(f"p{ch}") for ch in "rgb"), *(med(False, ch).alias(f"b{ch}") for ch in "rgb"), F.avg(F.col("masked").cast("int")).alias("share"))
+    """Median product and background colour of each session (truncated), colour class and confidence 0.4 + 0.6 * mask share.
+
+    Medians come from counts by channel value, so no session's pixels meet in one task. The median is
+    the mean of the two middle values.
+    """
+    channels = F.array(*(F.struct(F.lit(ch).alias("ch"), F.col(ch).alias("v")) for ch in "rgb"))
+    bins = pixels.filter("product is not null").select("session_id", "product", F.explode(channels).alias("c")).filter("c.v is not null").groupBy("session_id", "product", "c.ch", "c.v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("session_id", "product", "ch")
+    upto, total = F.sum("n").over(w.orderBy("v")), F.sum("n").over(w)
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    inside = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+    ranked = bins.withColumns({"upto": upto, "total": total})
+    middle = ranked.groupBy("session_id", "product", "ch").agg(F.floor((F.max(F.when(inside(low), F.col("v"))) + F.max(F.when(inside(high), F.col("v")))) / 2).cast("long").alias("m"))
+    at = lambda p, ch: F.max(F.when((F.col("product") == p) & (F.col("ch") == ch), F.col("m")))
+    medians = middle.groupBy("session_id").agg(*(at(True, ch).alias(f"p{ch}") for ch in "rgb"), *(at(False, ch).alias(f"b{ch}") for ch in "rgb"))
+    share = pixels.groupBy("session_id").agg(F.avg(F.col("masked").cast("int")).alias("share"))
+    out = share.join(medians, "session_id", "left")
     hsv = rgb_to_hsv(F.col("pr"), F.col("pg"), F.col("pb"))
     return out.withColumns({"class": color_class(hsv["v"], hsv["s"]), "confidence": F.least(F.lit(1.0), 0.4 + 0.6 * F.col("share"))}).drop("share")
 
@@ -140,6 +159,11 @@ def mask_iou_leakage(joined: DataFrame, key: str = "image") -> DataFrame:
     return n.select(key, F.coalesce(F.try_divide("both", "either"), F.lit(0.0)).alias("iou"), leak.alias("leakage"))
 
 
+def mask_means(per_file: DataFrame) -> DataFrame:
+    """One row: how many masks were compared, their mean IoU and leakage (null without any)."""
+    return per_file.agg(F.count("*").alias("sample_count"), F.avg("iou").alias("avg_iou"), F.avg("leakage").alias("avg_leakage"))
+
+
 def temporal_stability(masks: DataFrame) -> DataFrame:
     """Area deviation, mean centroid and box-centre steps and empty masks per session and method; a step with an empty side is skipped."""
     w = Window.partitionBy("session_id", "method").orderBy("frame_idx")
@@ -176,8 +200,14 @@ def _cross() -> list[Column]:
 
 
 def mesh_metrics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Vertex and face counts, degenerate faces (area below 1e-12) and vertices equal after rounding to six digits."""
-    v = vertices.groupBy("mesh").agg(F.count("*").alias("vertices"), (F.count("*") - F.count_distinct(*(F.round(a, 6) for a in "xyz"))).alias("duplicate_vertices"))
+    """Vertex, face and geometry counts, degenerate faces (area below 1e-12) and vertices equal after rounding to six digits.
+
+    Geometries are told apart by the vertices' column `geometry`; without it a mesh is one.
+    """
+    part = F.col("geometry") if "geometry" in vertices.columns else F.lit(0)
+    places = vertices.groupBy("mesh", part.alias("g"), *(F.round(a, 6).alias(a) for a in "xyz")).agg(F.count("*").alias("n"))  # partial sums before the shuffle
+    v = places.groupBy("mesh", "g").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
+    v = v.groupBy("mesh").agg(F.sum("n").alias("vertices"), (F.sum("n") - F.sum("places")).alias("duplicate_vertices"), F.count("*").alias("geometries"))
     area = F.sqrt(sum(c * c for c in _cross())) / 2
     f = corners(vertices, faces).groupBy("mesh").agg(F.count("*").alias("faces"), F.count_if(area < 1e-12).alias("degenerate_faces"))
     return v.join(f, "mesh", "left").na.fill(0, ["faces", "degenerate_faces"])
@@ -196,33 +226,66 @@ def edge_manifold(faces: DataFrame) -> DataFrame:
     return out.withColumn("manifold_ratio", 1 - F.col("non_manifold") / F.col("edges"))
 
 
+def exact_quantiles(values: DataFrame, key: str, col: str, shares: tuple[float, ...], blocks: int = 1024) -> DataFrame:
+    """(key, q: array) of exact quantiles, interpolated between neighbours, of `col` for each key.
+
+    Equal values are counted before the shuffle. Values are dealt to `blocks` ranges of a key's
+    span; cumulative counts of the ranges (`blocks` rows a key at most) tell which ranges hold the
+    wanted ranks, and only those are ordered. So no task holds all values of a key.
+    """
+    counts = values.filter(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("v")).agg(F.count("*").alias("n"))
+    span = values.groupBy(key).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("total"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(0)
+    dealt = counts.join(span, key).select(key, "v", "n", "total", at.alias("block"))
+    w = Window.partitionBy(key).orderBy("block")
+    sums = dealt.groupBy(key, "block").agg(F.sum("n").alias("b_n"), F.max("total").alias("total")).withColumn("before", F.sum("b_n").over(w) - F.col("b_n"))
+    place = lambda q: F.lit(q) * (F.col("total") - 1)  # noqa: E731  of the sorted values, from 0
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares))))
+    held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("b_n")))
+    wanted = sums.select(key, "block", "before", held.alias("ranks")).filter(F.size("ranks") > 0)
+    inner = Window.partitionBy(key, "block").orderBy("v")
+    found = dealt.join(wanted, [key, "block"]).withColumn("end", F.col("before") + F.sum("n").over(inner)).withColumn("r", F.explode("ranks")).filter((F.col("r") < F.col("end")) & (F.col("r") >= F.col("end") - F.col("n")))
+    values_at = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"), F.max("total").alias("total"))  # two ranks a share at most
+
+    def value(q: float) -> Column:
+        low, high = F.try_element_at("m", F.floor(place(q))), F.try_element_at("m", F.ceil(place(q)))
+        return low + (high - low) * (place(q) - F.floor(place(q)))
+
+    return values_at.select(key, F.array(*map(value, shares)).alias("q"))
+
+
 def edge_aspect_stats(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Median, 99th percentile and variation of unique edge lengths; the same percentiles of longest over shortest edge of faces."""
-    lengths = face_edges(faces).distinct()
-    for name in "pq":
-        lengths = lengths.join(vertices.select("mesh", F.col("v").alias(name), F.struct("x", "y", "z").alias(f"{name}_at")), ["mesh", name])
-    el = lengths.withColumn("l", _length("p_at", "q_at"))
-    two = F.array(F.lit(0.5), F.lit(0.99))
-    edges = el.groupBy("mesh").agg(F.percentile("l", two).alias("e"), F.coalesce(F.when(F.avg("l") > 1e-12, F.stddev_pop("l") / F.avg("l")), F.lit(0.0)).alias("edge_cv"))
+    """Median, 99th percentile and variation of unique edge lengths; the same percentiles of longest over shortest edge of faces.
+
+    Edge lengths come from the corners that the faces carry, so vertices are joined once for each corner.
+    """
     ab, bc, ca = _length("a", "b"), _length("b", "c"), _length("c", "a")
-    ratio = corners(vertices, faces).withColumns({"long": F.greatest(ab, bc, ca), "short": F.least(ab, bc, ca)}).filter("short > 1e-9").withColumn("r", F.col("long") / F.col("short"))
-    aspect = ratio.groupBy("mesh").agg(F.percentile("r", two).alias("r"))
-    return edges.join(aspect, "mesh", "left").select("mesh", F.col("e")[0].alias("edge_p50"), F.col("e")[1].alias("edge_p99"), "edge_cv", F.col("r")[0].alias("aspect_p50"), F.col("r")[1].alias("aspect_p99"))
+    sides = materialize(corners(vertices, faces).select("mesh", "v0", "v1", "v2", ab.alias("ab"), bc.alias("bc"), ca.alias("ca")), "sides")
+    edge = lambda i, j, length: F.struct(F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), F.col(length).alias("l"))
+    el = sides.select("mesh", F.inline(F.array(edge("v0", "v1", "ab"), edge("v1", "v2", "bc"), edge("v0", "v2", "ca")))).groupBy("mesh", "p", "q").agg(F.min("l").alias("l"))
+    el = materialize(el, "lengths")
+    cv = el.groupBy("mesh").agg(F.coalesce(F.when(F.avg("l") > 1e-12, F.stddev_pop("l") / F.avg("l")), F.lit(0.0)).alias("edge_cv"))
+    ratio = sides.select("mesh", F.greatest("ab", "bc", "ca").alias("long"), F.least("ab", "bc", "ca").alias("short")).filter("short > 1e-9").select("mesh", (F.col("long") / F.col("short")).alias("r"))
+    edges = exact_quantiles(el, "mesh", "l", (0.5, 0.99)).select("mesh", F.col("q").alias("e"))
+    aspect = exact_quantiles(ratio, "mesh", "r", (0.5, 0.99)).select("mesh", F.col("q").alias("r"))
+    out = cv.join(edges, "mesh").join(aspect, "mesh", "left")
+    return out.select("mesh", F.col("e")[0].alias("edge_p50"), F.col("e")[1].alias("edge_p99"), "edge_cv", F.col("r")[0].alias("aspect_p50"), F.col("r")[1].alias("aspect_p99"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, component): the smallest node of each component of the edges (a, b), by large-star/small-star rounds.
 
-    Each round is written to the checkpoint folder. It raises after `max_rounds` rounds
-    rather than return half-merged labels.
+    Each round, and the minima that it joins, is written to the checkpoint folder: both sides of a
+    join are plain shuffles then, so that AQE splits a node with many neighbours. It raises after
+    `max_rounds` rounds rather than return half-merged labels.
     """
     now = materialize(edges.select("a", "b").filter("a <> b").distinct())
     last = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = materialize(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = materialize(small.filter("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -237,6 +300,12 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
+def largest_share(labels: DataFrame, elements: DataFrame) -> DataFrame:
+    """(mesh, components, share): how many components a mesh has and the share of its elements, by their `node`, in the largest; elements without a component are one each."""
+    at = elements.join(labels, "node", "left").groupBy("mesh", F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("n"))
+    return at.groupBy("mesh").agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("share"))
+
+
 def component_selection(components: DataFrame, ratio: float = 0.75) -> DataFrame:
     """Components (session_id, idx, score, faces) with `decision`: the best by score, or the largest where the best is tiny; others above `ratio` of its score."""
     w = Window.partitionBy("session_id")
@@ -316,8 +385,23 @@ def view_mask_support(points: DataFrame, cameras: DataFrame, mask_pixels: DataFr
     )
 
 
-def normalization_audit(vertices: DataFrame) -> DataFrame:
-    """Dimensions, centre and ground offset of each mesh with scale, centring and ground warnings."""
+#: Limits of the audit: least and greatest size, distance of the centre from the origin, height of the lowest point that counts as ground.
+NORMAL = {"scale": (0.001, 1000.0), "center": 1.0, "ground": 0.05}
+
+
+def normalization_audit(vertices: DataFrame, limits: dict = NORMAL) -> DataFrame:
+    """Dimensions, centre, ground offset and largest axis (the first of equal ones) of each mesh with `issues`, `warnings` and whether it lies flat on the ground (y up).
+
+    A mesh whose vertices have no coordinates has the issue no_vertices_found and nulls otherwise.
+    """
     b = vertices.groupBy("mesh").agg(*(f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
     dims = {f"d{a}": F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"} | {f"c{a}": (F.col(f"hi{a}") + F.col(f"lo{a}")) / 2 for a in "xyz"}
-    return b.withColumns(dims).withColumns({"largest": F.greatest("dx", "dy", "dz"), "center_distance": F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2 + F.col("cz") ** 2), "ground_offset": F.col("loy")})
+    out = b.withColumns(dims).withColumns({"largest": F.greatest("dx", "dy", "dz"), "center_distance": F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2 + F.col("cz") ** 2), "ground_offset": F.col("loy")})
+    out = out.withColumn("largest_axis", F.when(F.col("dx") == F.col("largest"), "x").when(F.col("dy") == F.col("largest"), "y").when(F.col("dz") == F.col("largest"), "z"))
+    least, most = limits["scale"]
+    flat = F.abs("ground_offset") < limits["ground"]
+    return out.withColumns({
+        "flat_on_ground": flat,
+        "issues": codes((F.col("largest").isNull(), "no_vertices_found"), (F.col("largest") < least, "model_too_small"), (F.col("largest") > most, "model_too_large")),
+        "warnings": codes((F.col("center_distance") > limits["center"], "model_not_centered"), (~flat, "ground_alignment_uncertain")),
+    })

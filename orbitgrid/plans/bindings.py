@@ -34,7 +34,7 @@ TABLES: dict[str, str] = {
     "faces": "SELECT l_suppkey AS mesh, l_partkey % 97 AS v0, 97 + l_orderkey % 97 AS v1, 194 + (7 * cast(l_quantity AS bigint) + l_linenumber) % 97 AS v2 FROM lineitem",
     "vertices": """SELECT DISTINCT mesh, v, cos(v * 7e-1) * (1 + v % 5) AS x, sin(v * 7e-1) * (1 + v % 3) AS y, (v % 13) / 13e0 AS z FROM (
         SELECT mesh, v0 AS v FROM faces UNION ALL SELECT mesh, v1 FROM faces UNION ALL SELECT mesh, v2 FROM faces) q""",
-    "edges": "SELECT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_quantity <= 5 AND l_discount <= 3e-2",
+    "edges": "SELECT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem",
     "pixels": """SELECT l_suppkey AS image, l_orderkey % 64 AS x, l_partkey % 64 AS y, (13 * l_partkey) % 256 AS r, (7 * l_orderkey) % 256 AS g,
         (31 * l_linenumber + cast(l_quantity AS bigint)) % 256 AS b, CASE WHEN l_linenumber = 7 THEN 0 ELSE 255 END AS a FROM lineitem""",
     "mask_pixels": "SELECT l_suppkey AS image, l_orderkey % 64 AS x, l_partkey % 64 AS y, l_returnflag = 'A' AS truth, l_linestatus = 'F' AS predicted FROM lineitem",

@@ -98,12 +98,36 @@ def sessions(t):
     return t.spark.sql(SESS.replace("array[", "array(").replace("'][", "')[").replace("FROM assets", "FROM {a}"), a=t.assets)
 
 
-@query("guidance_messages")
-def _(t):
-    return joined(op.guidance_messages(sessions(t)), "codes", "severities")
+DUCK = SESS.replace("array[", "[").replace("[asset_id % 8]", "[asset_id % 8 + 1]").replace("[asset_id * 3 % 8]", "[asset_id * 3 % 8 + 1]").replace("array(", "list_value(")
 
 
-DUCK = SESS.replace("array[", "[").replace("[asset_id % 8]", "[asset_id % 8 + 1]").replace("[asset_id * 3 % 8]", "[asset_id * 3 % 8 + 1]").replace("array(", "list_value(")
+def told(reason):
+    """The first pattern that a reason holds, as SQL."""
+    whens = " ".join(f"WHEN contains(lower({reason}), '{p.lower()}') OR contains(lower({reason}), '{code.lower()}') THEN {{'code': '{code}', 'severity': '{sev}'}}" for p, code, sev in op.PATTERNS)
+    return f"CASE {whens} END"
+
+
+def one(condition, code, severity):
+    return f"CASE WHEN {condition} THEN {{'code': '{code}', 'severity': '{severity}'}} END"
+
+
+GUIDED = ", ".join([
+    one("status = 'created'", "AWAITING_UPLOAD", "info"), one("status = 'captured'", "PROCESSING_RECONSTRUCTION", "info"), one("status = 'recapture_required'", "RECAPTURE_NEEDED", "critical"),
+    f"CASE WHEN status IN ('recapture_required', 'failed') THEN {told('failure_reason')} END", one(f"status = 'failed' AND ({told('failure_reason')}) IS NULL", "SYSTEM_FAILURE_PIPELINE", "critical"), one("status = 'validated'", "READY_FOR_REVIEW", "info"),
+])
+COVERED = f"CASE WHEN coverage_status IS NULL THEN [] ELSE list_concat(list_transform(reasons, lambda r: {told('r')}), [{one('NOT top_down', 'MISSING_TOP_VIEWS', 'warning')}, {one('ml_unavailable', 'MASKING_DEGRADED_ML', 'warning')}]) END"
+VALIDATED = f"""CASE WHEN decision IS NULL THEN [] ELSE list_concat([{one("contamination >= 0.5", "CONTAMINATION_HIGH", "critical")}, {one("uv_integrity = 'fail'", "TEXTURE_UV_FAILURE", "warning")}, {one("texture_quality_status IN ('contaminated', 'invalid')", "TEXTURE_ATLAS_CONTAMINATION", "warning")}],
+  list_transform(coalesce(texture_reasons, []), lambda r: {told('r')}), [{one("decision = 'review'", "VALIDATION_REVIEW_ADVICE", "warning")}, {one("NOT ground_aligned", "GROUND_ALIGNMENT_FAILED", "warning")}, {one("performance_grade = 'D'", "MOBILE_GRADE_LOW", "warning")}]) END"""
+OVERLAP = "coalesce(registered IS NOT NULL AND (status = 'recapture_required' OR registered / input_frames < 0.6) AND registered / input_frames < 0.5 AND registered > 0, false)"
+
+
+@query("guidance_messages", f"""WITH s AS ({DUCK}), m AS (SELECT *, {OVERLAP} AS overlap FROM s),
+g AS (SELECT *, list_filter(list_concat([{GUIDED}], {COVERED}, {VALIDATED}, [{one("overlap", "LOW_RECONSTRUCTABLE_OVERLAP", "critical")}]), lambda x: x IS NOT NULL) AS every FROM m),
+d AS (SELECT *, list_filter(every, lambda x, i: list_position(list_transform(every, lambda y: y.code), x.code) = i) AS kept, status = 'recapture_required' OR coalesce(coverage_status <> 'sufficient', false) OR overlap AS again FROM g)
+SELECT session_id, array_to_string(list_transform(kept, lambda x: x.code), ',') AS codes, array_to_string(list_transform(kept, lambda x: x.severity), ',') AS severities, again AS should_recapture,
+CASE WHEN again THEN 'recapture' WHEN status = 'validated' THEN 'review_and_approve' WHEN status = 'created' THEN 'upload_video' WHEN status = 'captured' THEN 'wait' WHEN status = 'failed' THEN 'retry_or_support' ELSE 'wait' END AS next_action FROM d""")
+def _(t):
+    return joined(op.guidance_messages(sessions(t)), "codes", "severities")
 
 
 @query("issue_class_inference", f"""WITH s AS ({DUCK}), x AS (SELECT *, lower(array_to_string(reasons, ' ')) AS r, coverage_status IS NOT NULL AS cv, decision IS NOT NULL AS vl FROM s),

@@ -1,8 +1,5 @@
 """Queries of file sources and writers: each writes files of the given tables' rows with Spark and reads them back."""
 
-import json
-import struct
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,13 +43,14 @@ def key_of(path="path"):
     return F.regexp_extract(path, r"key=([^/]*)/", 1)
 
 
-#: Keys that files of a query are dealt to: every row is in one of them.
-LINES = 50
+def line(col, n):
+    """The file that a row goes to: ids in ranges of n, so that files grow in number and not in size."""
+    return F.floor(c(col) / n)
 
 
-@query("scan_registry", f"SELECT (product_id % {LINES})::varchar AS product_id, asset_id::varchar AS asset_id, 'v' || m AS version, approved AS is_approved, max(asset_id) OVER (PARTITION BY product_id % {LINES}) = asset_id AS is_active, 1 AS logs FROM assets")
+@query("scan_registry", "SELECT (product_id // 20)::varchar AS product_id, asset_id::varchar AS asset_id, 'v' || m AS version, approved AS is_approved, max(asset_id) OVER (PARTITION BY product_id // 20) = asset_id AS is_active, 1 AS logs FROM assets")
 def _(t):
-    rows = t.assets.withColumn("product_id", c("product_id") % LINES)  # a registry is one file for each product line
+    rows = t.assets.withColumn("product_id", line("product_id", 20))  # a registry is one file for each product line
     info = F.struct(F.struct(F.concat(F.lit("v"), c("m").cast("string")).alias("version")).alias("metadata"), c("approved").alias("is_approved"), c("created_at"))
     entry = F.map_from_entries(F.collect_list(F.struct(c("asset_id").cast("string"), info)))
     logs = F.collect_list(F.struct(c("asset_id").cast("string").alias("asset_id"), c("created_at").alias("timestamp"), F.lit("registered").alias("action")))
@@ -68,10 +66,10 @@ def _(t):
 MANIFEST = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
 
 
-@query("append_manifest_log", "SELECT session_id, seq FROM manifests WHERE k % 2 = 0 UNION ALL SELECT session_id, seq FROM manifests WHERE k % 3 = 0")
+@query("append_manifest_log", "SELECT session_id, seq FROM manifests")
 def _(t):
     folder, rows = shared_folder(t.spark, "manifests"), t.manifests.select("session_id", "seq", "payload", "k")
-    for part in (rows.filter("k % 2 = 0"), rows.filter("k % 3 = 0")):
+    for part in (rows.filter("k % 2 = 0"), rows.filter("k % 2 = 1")):
         src.append_manifest_log(part.drop("k"), folder)
     return src.scan_manifest_log(t.spark, folder, MANIFEST).select("session_id", "seq")
 
@@ -93,13 +91,13 @@ def _(t):
 
 @query("log_tail", "SELECT CASE WHEN k % 4 = 0 THEN 'plain ' ELSE 'm' END || event_id AS message FROM events_k ORDER BY event_id DESC LIMIT 50")
 def _(t):
-    ordered = t.events_k.orderBy("event_id").select(F.expr(LINE).alias("value")).coalesce(1)  # one log file
+    ordered = t.events_k.repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.expr(LINE).alias("value"))  # log files in the order of their names
     return src.log_tail(src.scan_log_lines(t.spark, written(t, ordered)), 50).select("message")
 
 
-@query("scan_evidence", f"WITH p AS (SELECT asset_id % {LINES} AS job, sum(m)::bigint % 7 AS m FROM assets GROUP BY 1) SELECT CASE m WHEN 0 THEN 'unknown' WHEN 1 THEN 'production_ready' ELSE 'failed' END AS status, count(*) AS jobs, sum(m)::bigint AS dense FROM p WHERE m <> 6 GROUP BY 1")
+@query("scan_evidence", "WITH p AS (SELECT asset_id // 1000 AS job, sum(m)::bigint % 7 AS m FROM assets GROUP BY 1) SELECT CASE m WHEN 0 THEN 'unknown' WHEN 1 THEN 'production_ready' ELSE 'failed' END AS status, count(*) AS jobs, sum(m)::bigint AS dense FROM p WHERE m <> 6 GROUP BY 1")
 def _(t):
-    rows = t.assets.groupBy((c("asset_id") % LINES).alias("asset_id")).agg((F.sum("m") % 7).alias("m"))  # one report for each job
+    rows = t.assets.groupBy(line("asset_id", 1000).alias("asset_id")).agg((F.sum("m") % 7).alias("m"))  # one report for each job
     status = F.when(c("m") == 0, None).when(c("m") == 1, "production_ready").otherwise("failed")
     doc = F.to_json(F.struct(F.struct(status.alias("final_status"), c("m").alias("dense_image_count")).alias("delivery_checklist")))
     folder = documents(t, rows.select(c("asset_id").alias("key"), F.when(c("m") == 6, "{bad").otherwise(doc).alias("value")), "evidence")
@@ -111,19 +109,19 @@ def _(t):
     doc = F.struct(c("fixture_id").cast("string").alias("fixture_id"), c("expected").alias("expected_action"), F.struct("coverage_score").alias("coverage_report"))
     folders = []
     for part in (0, 1):
-        rows = t.fixtures.filter(c("fixture_id") % 2 == part).groupBy(c("product_type").alias("key")).agg(F.to_json(F.collect_list(doc)).alias("value"))
+        rows = t.fixtures.filter(c("fixture_id") % 2 == part).groupBy(line("fixture_id", 200).alias("key")).agg(F.to_json(F.collect_list(doc)).alias("value"))
         folders.append(documents(t, rows, "fixtures"))
     out = src.scan_fixtures(t.spark, [*folders, f"{folders[0]}-absent"], "*.txt")
     return out.select("fixture_id", "expected_action", "coverage_report.coverage_score")
 
 
 def small_files(t):
-    """Texts of all documents, LINES files."""
+    """Texts of all documents, a file for every 100 ids."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.regexp_replace(x["text"], "[\\r\\n]", " ")), "|")
-    return documents(t, t.documents.groupBy((c("doc_id") % LINES).alias("key")).agg(text.alias("value")), "files")
+    return documents(t, t.documents.groupBy(line("doc_id", 100).alias("key")).agg(text.alias("value")), "files")
 
 
-WHOLE = f"WITH w AS (SELECT doc_id % {LINES} AS k, string_agg(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '|' ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY 1)"
+WHOLE = "WITH w AS (SELECT doc_id // 100 AS k, string_agg(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '|' ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY 1)"
 
 
 @query("scan_file_inventory", f"{WHOLE} SELECT k::varchar AS key, '.txt' AS suffix, strlen(t)::bigint AS size FROM w")
@@ -136,10 +134,10 @@ def _(t):
     return src.file_checksums(t.spark, small_files(t), "*.txt").select(key_of().alias("key"), "sha256", "copies")
 
 
-@query("ingest_sparse_poses", "SELECT session_id::varchar AS session_id, 'f' || camera AS name, camera AS camera, R[qvec[1]] AS qw, R[tvec[3]] AS tz FROM poses")
+@query("ingest_sparse_poses", "SELECT session_id || '-' || camera // 500 AS session_id, 'f' || camera AS name, camera AS camera, R[qvec[1]] AS qw, R[tvec[3]] AS tz FROM poses")
 def _(t):
     one = F.concat_ws("\n", F.concat_ws(" ", c("camera").cast("string"), *(c("qvec")[i].cast("string") for i in range(4)), *(c("tvec")[i].cast("string") for i in range(3)), c("camera").cast("string"), F.concat(F.lit("f"), c("camera").cast("string"))), F.lit("1 2 3"))
-    docs = t.poses.groupBy(c("session_id").alias("key")).agg(F.concat(F.lit("# images\n\n"), F.concat_ws("\n", F.collect_list(one))).alias("value"))
+    docs = t.poses.groupBy(F.concat_ws("-", c("session_id").cast("string"), line("camera", 500).cast("string")).alias("key")).agg(F.concat(F.lit("# images\n\n"), F.concat_ws("\n", F.collect_list(one))).alias("value"))
     poses = src.ingest_sparse_poses(t.spark, documents(t, docs, "poses"), pattern="*.txt")
     return poses.select(F.regexp_extract("session_id", "key=(.*)", 1).alias("session_id"), "name", "camera", c("qvec")[0].alias("qw"), c("tvec")[2].alias("tz"))
 
@@ -156,23 +154,21 @@ def _(t):
     return counts.select(key_of("file").alias("mesh"), "vertices", "faces")
 
 
-@query("glb_inventory", """SELECT CASE m WHEN 0 THEN 'invalid_magic' WHEN 1 THEN 'length_mismatch' WHEN 2 THEN 'missing_meshes' WHEN 3 THEN 'json_parse_failed' ELSE '' END AS issues, count(*) AS files, count(*) FILTER (m > 3) AS valid, sum(CASE WHEN m IN (0, 3) THEN 0 ELSE 2 END)::bigint AS nodes FROM assets GROUP BY 1""")
+@query("glb_inventory", """WITH g AS (SELECT asset_id // 100 AS k, count(*) AS n FROM assets GROUP BY 1) SELECT k::varchar AS key, CASE k % 5 WHEN 0 THEN 'invalid_magic' WHEN 1 THEN 'length_mismatch' WHEN 2 THEN 'missing_meshes' WHEN 3 THEN 'json_parse_failed' ELSE '' END AS issues, k % 5 = 4 AS valid,
+CASE WHEN k % 5 IN (0, 3) THEN 0 ELSE n END AS nodes, CASE WHEN k % 5 IN (0, 3) THEN NULL ELSE true END AS has_normal FROM g""")
 def _(t):
-    def run(parts):
-        import pandas as pd
-
-        for part in parts:
-            rows = []
-            for asset, m in zip(part["asset_id"], part["m"], strict=True):
-                doc = {"scenes": [{}], "nodes": [{}, {}], "meshes": [] if m == 2 else [{}], "materials": [{"normalTexture": {"index": 0}}], "textures": [{}]}
-                body = b"{oops" if m == 3 else json.dumps(doc).encode()
-                body += b" " * (-len(body) % 4)
-                size = 20 + len(body)
-                rows.append(src.glb_report(f"{asset}.glb", struct.pack("<IIIII", 0 if m == 0 else src.MAGIC, 2, size + (m == 1), len(body), src.JSON_CHUNK) + body))
-            yield pd.DataFrame(rows)
-
-    out = t.assets.select("asset_id", "m").mapInPandas(run, src.GLB)
-    return out.groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.sum("nodes").alias("nodes"))
+    k = c("key") % 5
+    docs = t.assets.groupBy(line("asset_id", 100).alias("key")).agg(F.count("*").cast("int").alias("n"))  # a file for every 100 assets, a node for each
+    body = F.concat(F.lit('{"scenes":[{}],"nodes":['), F.array_join(F.array_repeat(F.lit("{}"), c("n")), ","), F.lit('],"meshes":['), F.when(k == 2, "").otherwise("{}"), F.lit('],"materials":[{"normalTexture":{"index":0}}],"textures":[{}]}'))
+    body = F.when(k == 3, F.concat(F.lit("{oops"), body)).otherwise(body)
+    # padded so that no byte of a length is beyond ASCII, since the files are written as text, with a line's end
+    size = (F.floor(F.length("body") / 256) + 1) * 256 + 32
+    little = lambda n: F.concat(*(F.char((F.floor(n / 256**i) % 256).cast("int")) for i in (0, 1)), F.lit("\0\0"))
+    glb = F.concat(F.when(k == 0, "gltf").otherwise("glTF"), F.lit("\x02\0\0\0"), little(21 + c("size") + F.when(k == 1, 1).otherwise(0)), little(c("size")), F.lit("JSON"), F.rpad("body", c("size").cast("int"), F.lit(" ")))
+    rows = docs.withColumn("body", body).withColumn("size", size).select("key", glb.alias("value"))
+    out = src.glb_inventory(t.spark, documents(t, rows, "glb"), "*.txt")
+    told = F.array_join(F.filter("issues", lambda x: x != "unexpected_extension"), ",")  # Spark's text files end in .txt
+    return out.select(key_of().alias("key"), told.alias("issues"), (told == "").alias("valid"), "nodes", "has_normal")
 
 
 @query("write_benchmark_results", "SELECT asset_id, provider_status, R[size_mb] AS size_mb FROM graded_assets")

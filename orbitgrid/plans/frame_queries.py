@@ -57,12 +57,14 @@ def _(t):
     return op.sequence_jumps(t.frames)
 
 
-@query("geometric_orbit", f"""WITH {JUMPS}, u AS (SELECT DISTINCT session_id, cx FROM frames), p AS (SELECT session_id, cx, lead(cx) OVER (PARTITION BY session_id ORDER BY cx) AS nx FROM u),
+ORBIT = f"""{JUMPS}, u AS (SELECT DISTINCT session_id, cx FROM frames), p AS (SELECT session_id, cx, lead(cx) OVER (PARTITION BY session_id ORDER BY cx) AS nx FROM u),
 q AS (SELECT session_id, cx, round(nx - cx, 12) AS g, round((nx + cx) / 2, 12) AS mid FROM p),
-a AS (SELECT session_id, max(cx) - min(cx) AS span, coalesce(max(g), 0) AS gap, count(*) FILTER (g > 0.25) AS n, count(*) FILTER (g > 0.25 AND mid < 0.3) AS l, count(*) FILTER (g > 0.25 AND mid > 0.7) AS r, count(*) FILTER (g > 0.25 AND mid BETWEEN 0.3 AND 0.7) AS c FROM q GROUP BY 1)
-SELECT session_id, R[span] AS span_x, R[gap] AS max_gap, R[jump_ratio] AS jump_ratio,
-CASE WHEN n > 2 THEN 'LOW_HORIZONTAL_COVERAGE' ELSE array_to_string(list_filter([CASE WHEN l > 0 THEN 'ORBIT_GAP_LEFT' END, CASE WHEN r > 0 THEN 'ORBIT_GAP_RIGHT' END, CASE WHEN c > 0 THEN 'LOW_HORIZONTAL_COVERAGE' END], lambda x: x IS NOT NULL), ',') END AS hard_codes,
-array_to_string(list_filter([CASE WHEN round(span, 12) < 0.25 THEN 'INSUFFICIENT_VIEWPOINT_SPREAD' END, CASE WHEN jump_ratio > 0.2 THEN 'WEAK_ORBIT_CONTINUITY' END], lambda x: x IS NOT NULL), ',') AS soft_codes FROM a JOIN j USING (session_id)""")
+a AS (SELECT session_id, max(cx) - min(cx) AS span, coalesce(max(g), 0) AS gap, count(*) FILTER (g > 0.25) AS n, count(*) FILTER (g > 0.25 AND mid < 0.3) AS l, count(*) FILTER (g > 0.25 AND mid > 0.7) AS r, count(*) FILTER (g > 0.25 AND mid BETWEEN 0.3 AND 0.7) AS c FROM q GROUP BY 1),
+orbit AS (SELECT session_id, span, gap, jump_ratio, CASE WHEN n > 2 THEN ['LOW_HORIZONTAL_COVERAGE'] ELSE list_filter([CASE WHEN l > 0 THEN 'ORBIT_GAP_LEFT' END, CASE WHEN r > 0 THEN 'ORBIT_GAP_RIGHT' END, CASE WHEN c > 0 THEN 'LOW_HORIZONTAL_COVERAGE' END], lambda x: x IS NOT NULL) END AS hard,
+list_filter([CASE WHEN round(span, 12) < 0.25 THEN 'INSUFFICIENT_VIEWPOINT_SPREAD' END, CASE WHEN jump_ratio > 0.2 THEN 'WEAK_ORBIT_CONTINUITY' END], lambda x: x IS NOT NULL) AS soft FROM a JOIN j USING (session_id))"""
+
+
+@query("geometric_orbit", f"WITH {ORBIT} SELECT session_id, R[span] AS span_x, R[gap] AS max_gap, R[jump_ratio] AS jump_ratio, array_to_string(hard, ',') AS hard_codes, array_to_string(soft, ',') AS soft_codes FROM orbit")
 def _(t):
     return op.geometric_orbit(t.frames).withColumns({c: F.array_join(c, ",") for c in ("hard_codes", "soft_codes")})
 

@@ -81,6 +81,12 @@ def _(t):
     return op.mask_iou_leakage(t.mask_pixels)
 
 
+@query("mask_means", """WITH n AS (SELECT image, count(*) FILTER (truth AND predicted) AS b, count(*) FILTER (truth OR predicted) AS e, count(*) FILTER (predicted AND NOT truth) AS o, count(*) FILTER (truth) AS t, count(*) FILTER (predicted) AS p FROM mask_pixels GROUP BY 1)
+SELECT count(*) AS sample_count, R[avg(coalesce(b / nullif(e, 0), 0))] AS avg_iou, R[avg(CASE WHEN t = 0 THEN (p > 0)::int ELSE o / t END)] AS avg_leakage FROM n""")
+def _(t):
+    return op.mask_means(op.mask_iou_leakage(t.mask_pixels))
+
+
 STABLE = "SELECT session_id, frame_idx, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS method, CASE WHEN k % 11 = 0 THEN 0 ELSE area END AS area, cx, cy, aspect AS bcx, confidence AS bcy FROM frames"
 
 
@@ -100,10 +106,10 @@ TRI = "tri AS (SELECT f.mesh, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS
 AREA = "sqrt(((by_-ay)*(cz-az)-(bz-az)*(cy-ay))**2 + ((bz-az)*(cx-ax)-(bx-ax)*(cz-az))**2 + ((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))**2) / 2"
 
 
-@query("mesh_metrics", f"""WITH {TRI}, f AS (SELECT mesh, count(*) AS faces, count(*) FILTER ({AREA} < 1e-12) AS degenerate_faces FROM tri GROUP BY 1), v AS (SELECT mesh, count(*) AS vertices, count(*) - count(DISTINCT (round(x, 6), round(y, 6), round(z, 6))) AS duplicate_vertices FROM vertices GROUP BY 1)
-SELECT mesh, vertices, duplicate_vertices, coalesce(faces, 0) AS faces, coalesce(degenerate_faces, 0) AS degenerate_faces FROM v LEFT JOIN f USING (mesh)""")
+@query("mesh_metrics", f"""WITH {TRI}, f AS (SELECT mesh, count(*) AS faces, count(*) FILTER ({AREA} < 1e-12) AS degenerate_faces FROM tri GROUP BY 1), d AS (SELECT mesh, v % 3 AS g, count(*) AS n, count(DISTINCT (round(x, 6), round(y, 6), round(z, 6))) AS k FROM vertices GROUP BY 1, 2), v AS (SELECT mesh, sum(n)::bigint AS vertices, sum(n - k)::bigint AS duplicate_vertices, count(*) AS geometries FROM d GROUP BY 1)
+SELECT mesh, vertices, duplicate_vertices, geometries, coalesce(faces, 0) AS faces, coalesce(degenerate_faces, 0) AS degenerate_faces FROM v LEFT JOIN f USING (mesh)""")
 def _(t):
-    return op.mesh_metrics(t.vertices, t.faces)
+    return op.mesh_metrics(t.vertices.withColumn("geometry", c("v") % 3), t.faces)
 
 
 FE = "fe AS (SELECT mesh, least(v0, v1) AS p, greatest(v0, v1) AS q FROM faces UNION ALL SELECT mesh, least(v1, v2), greatest(v1, v2) FROM faces UNION ALL SELECT mesh, least(v0, v2), greatest(v0, v2) FROM faces)"
@@ -123,13 +129,24 @@ def _(t):
     return op.edge_aspect_stats(t.vertices, t.faces)
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach), l AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)
-SELECT node, component, count(*) OVER (PARTITION BY component) AS nodes FROM l""")
+#: Each round gives every node the least label of its neighbours.
+LABELS = """e AS (SELECT DISTINCT a, b FROM edges UNION SELECT b, a FROM edges),
+l(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a UNION SELECT e.b, min(l.component) FROM l JOIN e ON e.a = l.node JOIN recurring.l AS r ON r.node = e.b WHERE l.component < r.component GROUP BY e.b)"""
+
+
+@query("connected_components", f"WITH RECURSIVE {LABELS} SELECT node, component, count(*) OVER (PARTITION BY component) AS nodes FROM l")
 def _(t):
     labels = op.connected_components(t.edges)
     return labels.join(op.component_sizes(labels), "component")
 
 
+@query("largest_component_share", f"""WITH RECURSIVE {LABELS}, c AS (SELECT l_suppkey AS mesh, component, count(*) AS n FROM lineitem JOIN l ON node = l_partkey * 2 GROUP BY 1, 2)
+SELECT mesh, count(*) AS components, R[max(n) / sum(n)] AS share FROM c GROUP BY 1""")
+def _(t):
+    elements = t.lineitem.select(c("l_suppkey").alias("mesh"), (c("l_partkey") * 2).alias("node"))
+    return op.largest_share(op.connected_components(t.edges), elements)
+
+
 @query("component_selection", """WITH a AS (SELECT session_id, idx, registered / 50e0 AS score, points AS faces FROM attempts), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, idx) AS rb, row_number() OVER (PARTITION BY session_id ORDER BY faces DESC, score DESC, idx) AS rl, sum(faces) OVER (PARTITION BY session_id) AS total FROM a),
 b AS (SELECT session_id, max(total) AS total, max(idx) FILTER (rb = 1) AS bi, max(score) FILTER (rb = 1) AS bs, max(faces) FILTER (rb = 1) AS bf, max(idx) FILTER (rl = 1) AS li, max(score) FILTER (rl = 1) AS ls, max(faces) FILTER (rl = 1) AS lf FROM r GROUP BY 1),
 p AS (SELECT session_id, CASE WHEN sw THEN li ELSE bi END AS i, CASE WHEN sw THEN ls ELSE bs END AS s, CASE WHEN sw THEN lf ELSE bf END AS f FROM (SELECT *, bf < 0.05 * total AND lf > 10 * bf AND ls > 0.40 AS sw FROM b))
@@ -183,7 +200,12 @@ def _(t):
     return op.view_mask_support(points, cameras, masks.withColumn("value", F.when(lit, 255).otherwise(0)), n=None, min_visible=2)
 
 
-@query("normalization_audit", """WITH b AS (SELECT mesh, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM vertices GROUP BY 1)
-SELECT mesh, R[hx - lx] AS dx, R[hy - ly] AS dy, R[hz - lz] AS dz, R[greatest(hx - lx, hy - ly, hz - lz)] AS largest, R[sqrt(((hx + lx) / 2) ** 2 + ((hy + ly) / 2) ** 2 + ((hz + lz) / 2) ** 2)] AS center_distance, R[ly] AS ground_offset FROM b""")
+@query("normalization_audit", """WITH s AS (SELECT mesh, x * CASE mesh % 4 WHEN 0 THEN 1e-5 WHEN 1 THEN 1e3 ELSE 1 END AS x, y * CASE mesh % 4 WHEN 0 THEN 1e-5 WHEN 1 THEN 1e3 ELSE 1 END AS y, CASE WHEN mesh % 7 = 0 THEN NULL ELSE z * CASE mesh % 4 WHEN 0 THEN 1e-5 WHEN 1 THEN 1e3 ELSE 1 END END AS z FROM vertices),
+b AS (SELECT mesh, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s GROUP BY 1), d AS (SELECT mesh, hx - lx AS dx, hy - ly AS dy, hz - lz AS dz, greatest(hx - lx, hy - ly, hz - lz) AS largest, sqrt(((hx + lx) / 2) ** 2 + ((hy + ly) / 2) ** 2 + ((hz + lz) / 2) ** 2) AS cd, ly FROM b)
+SELECT mesh, R[dx] AS dx, R[dy] AS dy, R[dz] AS dz, R[largest] AS largest, CASE WHEN dx = largest THEN 'x' WHEN dy = largest THEN 'y' ELSE 'z' END AS largest_axis, R[cd] AS center_distance, R[ly] AS ground_offset, abs(ly) < 0.05 AS flat_on_ground,
+CASE WHEN largest < 0.001 THEN 'model_too_small' WHEN largest > 1000 THEN 'model_too_large' ELSE '' END AS issues, array_to_string(list_filter([CASE WHEN cd > 1 THEN 'model_not_centered' END, CASE WHEN abs(ly) >= 0.05 THEN 'ground_alignment_uncertain' END], lambda x: x IS NOT NULL), ',') AS warnings FROM d""")
 def _(t):
-    return op.normalization_audit(t.vertices).select("mesh", "dx", "dy", "dz", "largest", "center_distance", "ground_offset")
+    k = F.when(c("mesh") % 4 == 0, 1e-5).when(c("mesh") % 4 == 1, 1e3).otherwise(1.0)
+    scaled = t.vertices.select("mesh", *((c(a) * k).alias(a) for a in "xy"), F.when(c("mesh") % 7 != 0, c("z") * k).alias("z"))
+    out = op.normalization_audit(scaled).select("mesh", "dx", "dy", "dz", "largest", "largest_axis", "center_distance", "ground_offset", "flat_on_ground", "issues", "warnings")
+    return out.withColumns({x: F.array_join(x, ",") for x in ("issues", "warnings")})

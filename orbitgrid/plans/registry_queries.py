@@ -121,16 +121,16 @@ def _(t):
     return op.mask_evaluation_join(truth, p.filter("image % 4 > 0").select(c("image").alias("name"), "x", "y", c("predicted").alias("p")))
 
 
-@query("dataset_gaps", """SELECT session_id AS video, event_id AS frame, 'mask_missing' AS problem FROM frames WHERE k < 40 AND k % 5 = 0 UNION ALL SELECT session_id, NULL, 'few_frames' FROM frames WHERE k < 40 GROUP BY session_id HAVING count(*) < 20""")
+@query("dataset_gaps", """SELECT session_id AS video, event_id AS frame, 'mask_missing' AS problem FROM frames WHERE k % 5 = 0 UNION ALL SELECT session_id, NULL, 'few_frames' FROM frames GROUP BY session_id HAVING count(*) < 60""")
 def _(t):
-    meta = t.frames.filter("k < 40").select(c("session_id").alias("video"), c("event_id").alias("frame"), c("name").alias("mask"))
-    return op.dataset_gaps(meta, t.frames.filter("k % 5 > 0").select(c("name").alias("file")), 20)
+    meta = t.frames.select(c("session_id").alias("video"), c("event_id").alias("frame"), c("name").alias("mask"))
+    return op.dataset_gaps(meta, t.frames.filter("k % 5 > 0").select(c("name").alias("file")), 60)
 
 
-@query("name_overlap", "SELECT session_id AS job, count(*) FILTER (k % 2 = 0) AS images, count(*) FILTER (k % 3 = 0) AS masks, count(*) FILTER (k % 6 = 0) AS matches FROM frames GROUP BY 1")
+@query("name_overlap", "SELECT session_id AS job, count(*) FILTER (k % 3 < 2) AS images, count(*) FILTER (k % 3 > 0) AS masks, count(*) FILTER (k % 3 = 1) AS matches FROM frames GROUP BY 1")
 def _(t):
     f = t.frames.select(c("session_id").alias("job"), "name", "k")
-    return op.name_overlap(f.filter("k % 2 = 0"), f.filter("k % 3 = 0"))
+    return op.name_overlap(f.filter("k % 3 < 2"), f.filter("k % 3 > 0"))
 
 
 @query("dense_mask_integrity", "WITH f AS (SELECT session_id AS job, k % 30 > 0 OR session_id % 3 = 0 AS has, k % 40 > 0 OR session_id % 2 = 0 AS same FROM frames) SELECT job, count(*) AS images, count(*) FILTER (has) AS exact, count(*) FILTER (has AND same) AS dim, count(*) FILTER (has AND NOT same) AS mismatch, bool_and(has AND same) AS valid FROM f GROUP BY 1")
@@ -245,16 +245,16 @@ def _(t):
     return op.stage_progress(t.history, F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
-@query("fixture_union", "SELECT fixture_id, source, product_type FROM fixtures WHERE fixture_id % 2 = 0 UNION ALL SELECT fixture_id, source, NULL FROM fixtures WHERE fixture_id % 3 = 0")
+@query("fixture_union", "SELECT fixture_id, source, product_type FROM fixtures WHERE fixture_id % 2 = 0 UNION ALL SELECT fixture_id, source, NULL FROM fixtures WHERE fixture_id % 2 = 1")
 def _(t):
     f = t.fixtures.select("fixture_id", "source", "product_type")
-    return op.fixture_union(f.filter("fixture_id % 2 = 0"), f.filter("fixture_id % 3 = 0").drop("product_type"))
+    return op.fixture_union(f.filter("fixture_id % 2 = 0"), f.filter("fixture_id % 2 = 1").drop("product_type"))
 
 
-@query("fixture_upsert", "SELECT fixture_id, CASE WHEN fixture_id % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM fixtures WHERE fixture_id % 2 = 0 OR fixture_id % 3 = 0")
+@query("fixture_upsert", "SELECT fixture_id, CASE WHEN fixture_id % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM fixtures")
 def _(t):
     f = t.fixtures.select("fixture_id")
-    return op.fixture_upsert(f.filter("fixture_id % 2 = 0").withColumn("origin", F.lit("old")), f.filter("fixture_id % 3 = 0").withColumn("origin", F.lit("new")))
+    return op.fixture_upsert(f.filter("fixture_id % 2 = 0").withColumn("origin", F.lit("old")), f.filter("fixture_id % 2 = 1 or fixture_id % 3 = 0").withColumn("origin", F.lit("new")))
 
 
 EV = """asset_id, CASE asset_id % 4 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'warn' WHEN 2 THEN 'PASS' ELSE 'bad' END AS capture, asset_id % 60 AS accepted, 20 + asset_id % 3 AS dense_images, 20 + asset_id % 3 AS mask_exact, 20 + asset_id % 9 % 3 AS mask_dim, (asset_id % 13) / 100e0 AS white_ratio, asset_id % 45 AS registered, asset_id * 7 % 40000 AS points,

@@ -4,18 +4,49 @@ from pyspark.sql import functions as F
 
 from orbitgrid.functions import scorers
 from orbitgrid.operators import folds
+from orbitgrid.operators.registry import TRANSITIONS
 from orbitgrid.operators.retention import retention_plan
 from orbitgrid.operators.session_rules import coverage_report, ranking_score
+from orbitgrid.plans.frame_queries import ORBIT
 from orbitgrid.plans.registry import query
 from orbitgrid.plans.rule_queries import joined
 from orbitgrid.sources.checkpoints import shared_folder
 from orbitgrid.streaming import streams
 
 c = F.col
+
+
 def featured(frames):
     """Frames with histogram, shape and raw sharpness columns."""
     hist = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((c("k") * (i + 3)) % 17).cast("double"))
-    return frames.withColumns({"hist": hist, "shape": F.array(c("cx"), c("cy")), "sharp": F.exp("sharpness") * 10})
+    return frames.withColumns({"hist": hist, "shape": F.array(c("cx"), c("cy")), "sharp": c("flow") * 10})
+
+
+#: The folds as recursive steps over each session's frames: the same features, then one frame a step with the state in columns.
+FEATURED = """f0 AS (SELECT *, flow * 10 AS sharp, list_transform(range(16), lambda i: ((k * (i + 3)) % 17)::double) AS h FROM frames),
+f1 AS (SELECT *, list_transform(h, lambda x: x - list_sum(h) / 16) AS d FROM f0), f2 AS (SELECT *, list_sum(list_transform(d, lambda x: x * x)) AS s2 FROM f1),
+f AS (SELECT *, s2 < 1e-12 AS flat, CASE WHEN s2 < 1e-12 THEN d ELSE list_transform(d, lambda x: x / sqrt(s2)) END AS unit FROM f2)"""
+IOU = "greatest(0, least({a}.bx, {b}.bx) + 40 - greatest({a}.bx, {b}.bx)) * greatest(0, least({a}.box_y, {b}.box_y) + 40 - greatest({a}.box_y, {b}.box_y))"
+IOU = f"(({IOU}) / (3200 - ({IOU}))::double)".replace("{a}", "s").replace("{b}", "f")
+
+
+def like(a, b):
+    return f"CASE WHEN {a}flat AND {b}flat THEN 1 WHEN {a}flat OR {b}flat THEN 0 ELSE list_inner_product({a}unit, {b}unit) END"
+
+
+NEAR = "sqrt((v.cx - f.cx) ** 2 + (v.cy - f.cy) ** 2) < 0.09 AND abs(v.area - f.area) < 0.10::double AND abs(v.aspect - f.aspect) < 0.18::double AND (abs(v.cx - f.cx) + abs(v.cy - f.cy)) / 2 < 0.45"
+REPRESENTATIVE = "{'cx': f.cx, 'cy': f.cy, 'area': f.area, 'aspect': f.aspect, 'unit': f.unit, 'flat': f.flat}"
+VIEWS = f"""{FEATURED}, s AS (SELECT session_id, frame_idx, true AS fresh, [{REPRESENTATIVE}] AS views FROM f WHERE frame_idx = 0
+UNION ALL SELECT session_id, frame_idx, NOT known, CASE WHEN known THEN views ELSE list_append(views, me) END FROM (SELECT f.session_id, f.frame_idx, s.views, {REPRESENTATIVE} AS me, len(list_filter(s.views, lambda v: {NEAR} AND {like("v.", "f.")} > 0.92)) > 0 AS known FROM s JOIN f ON f.session_id = s.session_id AND f.frame_idx = s.frame_idx + 1))"""
+KEEP_LAST = f"""{FEATURED}, s AS (SELECT session_id, frame_idx, event_id, 'kept' AS verdict, unit, flat, bx, box_y, 1 AS kept FROM f WHERE frame_idx = 0
+UNION ALL SELECT session_id, frame_idx, event_id, verdict, CASE WHEN verdict = 'kept' THEN nu ELSE ou END, CASE WHEN verdict = 'kept' THEN nf ELSE o_f END, CASE WHEN verdict = 'kept' THEN nx ELSE ox END, CASE WHEN verdict = 'kept' THEN ny ELSE oy END, kept + (verdict = 'kept')::int
+FROM (SELECT f.session_id, f.frame_idx, f.event_id, f.unit AS nu, s.unit AS ou, f.flat AS nf, s.flat AS o_f, f.bx AS nx, s.bx AS ox, f.box_y AS ny, s.box_y AS oy, s.kept,
+  CASE WHEN s.kept >= 100 THEN 'beyond_cap' WHEN ({like("s.", "f.")}) > 0.95 AND {IOU} > 0.85 THEN 'redundant' ELSE 'kept' END AS verdict FROM s JOIN f ON f.session_id = s.session_id AND f.frame_idx = s.frame_idx + 1))"""
+SAMPLING = f"""{FEATURED}, s AS (SELECT session_id, frame_idx, event_id, 'keep_forced' AS verdict, bx, box_y, 0 AS since FROM f WHERE frame_idx = 0
+UNION ALL SELECT session_id, frame_idx, event_id, verdict, CASE WHEN starts_with(verdict, 'keep') THEN nx ELSE ox END, CASE WHEN starts_with(verdict, 'keep') THEN ny ELSE oy END, CASE WHEN starts_with(verdict, 'keep') THEN 0 ELSE since END
+FROM (SELECT f.session_id, f.frame_idx, f.event_id, f.bx AS nx, s.bx AS ox, f.box_y AS ny, s.box_y AS oy, s.since + 1 AS since,
+  CASE WHEN s.since + 1 >= 60 THEN 'keep_forced' WHEN f.sharp < 60 THEN 'skip_blurry' WHEN f.flow < 1.5 AND ({IOU} = 0 OR {IOU} > 0.97) THEN 'skip_static' WHEN f.flow < 4 AND {IOU} > 0.92 THEN 'skip_redundant' WHEN f.flow > 35 THEN 'keep_motion_burst' ELSE 'keep' END AS verdict
+  FROM s JOIN f ON f.session_id = s.session_id AND f.frame_idx = s.frame_idx + 1))"""
 
 
 def events(t):
@@ -30,34 +61,57 @@ def framed(t):
     return events(t).select("session_id", "event_id", "ts", "k", F.log("value").alias("sharpness"), c("value").alias("flow"), (k / 100).alias("cx"), (k * 37 % 100 / 100).alias("cy"), k.alias("bx"), (k * 37 % 100).alias("box_y"), F.lit(40).cast("long").alias("bw"), F.lit(40).cast("long").alias("bh"))
 
 
-@query("view_dedupe")
+@query("view_dedupe", f"WITH RECURSIVE {VIEWS} SELECT session_id, frame_idx, fresh AS is_representative FROM s")
 def _(t):
-    out = folds.grouped_fold(featured(t.frames).select("session_id", "frame_idx", "hist", "cx", "cy", "area", "aspect", "shape"), "session_id", ["frame_idx"], folds.view_step())
+    out = folds.view_dedupe(featured(t.frames).select("session_id", "frame_idx", "hist", "cx", "cy", "area", "aspect", "shape"))
     return out.select("session_id", "frame_idx", (c("verdict") == "new_view").alias("is_representative"))
 
 
-@query("coverage_report")
+READABLE = ORBIT.replace("FROM frames", "FROM ok")
+
+
+@query("coverage_report", f"""WITH RECURSIVE {VIEWS}, w AS (SELECT f.*, s.fresh, k % 10 > 0 AS readable, k % 4 = 0 AS fallback FROM f JOIN s USING (session_id, frame_idx)), ok AS (SELECT * FROM w WHERE readable), {READABLE},
+n0 AS (SELECT session_id, count(*) AS n, count(*) FILTER (readable) AS readable FROM w GROUP BY 1),
+n1 AS (SELECT session_id, count(*) FILTER (fresh) AS views, count(*) FILTER (fallback) AS fallback, count(*) FILTER (confidence < 0.6::double) AS low, max(cx) - min(cx) AS xs, max(cy) - min(cy) AS ys, max(area) / greatest(min(area), 1e-6) AS scale, max(aspect) - min(aspect) AS asp FROM ok GROUP BY 1),
+m0 AS (SELECT session_id, n, readable, coalesce(views, 0) AS views, fallback, low, xs, ys, scale, asp, hard, soft, CASE WHEN readable = 0 THEN 0 ELSE greatest(0, least(1, least(1, readable / 8) * 0.30::double + least(1, views / 5) * 0.40::double + least(1, greatest(xs / 0.18::double, ys / 0.14::double)) * 0.15::double + least(1, greatest((scale - 1) / 0.35::double, asp / 0.22::double)) * 0.15::double)) END AS score
+  FROM n0 LEFT JOIN n1 USING (session_id) LEFT JOIN orbit USING (session_id)),
+m1 AS (SELECT *, coalesce(views >= 6 AND score >= 0.65::double, false) AS strong, coalesce(xs < 0.10::double AND ys < 0.08::double, false) AS narrow, coalesce(scale < 1.15::double AND asp < 0.12::double, false) AS flat FROM m0),
+m2 AS (SELECT *, list_concat(list_filter([CASE WHEN readable < 8 THEN 'too_few_frames' END, CASE WHEN views < 5 THEN 'few_views' END, CASE WHEN n - readable > n * 0.5 THEN 'unreadable' END, CASE WHEN fallback > greatest(1, readable * 0.5) THEN 'fallback' END, CASE WHEN low > greatest(1, readable * 0.4) THEN 'low_confidence' END, CASE WHEN narrow AND flat THEN 'narrow_motion_and_scale' END], lambda x: x IS NOT NULL),
+  CASE WHEN strong THEN [] ELSE coalesce(hard, []) END) AS h, list_concat(coalesce(soft, []), CASE WHEN narrow AND NOT flat THEN ['limited_motion'] ELSE [] END, CASE WHEN strong THEN list_transform(hard, lambda x: x || '_COACHING') ELSE [] END) AS sf FROM m1)
+SELECT session_id, n, readable, views, R[score] AS score, CASE WHEN readable = 0 OR len(h) > 0 THEN 'insufficient' ELSE 'sufficient' END AS status, CASE WHEN readable = 0 THEN 'no_readable_frames' ELSE array_to_string(h, ',') END AS hard, CASE WHEN readable = 0 THEN '' ELSE array_to_string(sf, ',') END AS soft FROM m2""")
 def _(t):
-    seen = folds.grouped_fold(featured(t.frames), "session_id", ["frame_idx"], folds.view_step(), "view")
+    seen = folds.view_dedupe(featured(t.frames), out="view")
     rows = seen.withColumns({"readable": c("k") % 10 > 0, "is_representative": c("view") == "new_view", "fallback_used": c("k") % 4 == 0})
     return joined(coverage_report(rows), "hard", "soft")
 
 
-@query("redundancy_filter")
+@query("redundancy_filter", f"WITH RECURSIVE {KEEP_LAST} SELECT session_id, frame_idx, verdict FROM s")
 def _(t):
     rows = featured(t.frames).select("session_id", "frame_idx", "hist", "bx", "box_y", "bw", "bh")
-    return folds.grouped_fold(rows, "session_id", ["frame_idx"], folds.redundancy_step()).select("session_id", "frame_idx", "verdict")
+    return folds.redundancy_filter(rows).select("session_id", "frame_idx", "verdict")
+
+
+@query("adaptive_sampling", f"WITH RECURSIVE {SAMPLING} SELECT session_id, frame_idx, verdict FROM s")
+def _(t):
+    rows = featured(t.frames).select("session_id", "frame_idx", "flow", "sharp", "bx", "box_y", "bw", "bh")
+    return folds.adaptive_sampling(rows).select("session_id", "frame_idx", "verdict")
 
 
-@query("grouped_fold")
+@query("grouped_fold", f"WITH RECURSIVE {SAMPLING} SELECT session_id, frame_idx, verdict FROM s")
 def _(t):
     rows = featured(t.frames).select("session_id", "frame_idx", "flow", "sharp", "bx", "box_y", "bw", "bh")
     return folds.grouped_fold(rows, "session_id", ["frame_idx"], folds.sampling_step()).select("session_id", "frame_idx", "verdict")
 
 
-@query("angle_selection")
+@query("angle_selection", """WITH RECURSIVE r AS (SELECT session_id, name, (k * 36 % 3600) / 10 - 180 AS az, greatest(coalesce(CASE WHEN k % 9 > 0 THEN confidence END, 0.1::double), 0.01::double) AS q, row_number() OVER (PARTITION BY session_id ORDER BY (k * 36 % 3600) / 10, name) AS i FROM frames WHERE k % 7 > 0),
+n AS (SELECT session_id, least(20, count(*)) AS n FROM r GROUP BY 1),
+s AS (SELECT session_id, n, 0 AS pick, NULL::bigint AS got, []::bigint[] AS used FROM n
+UNION ALL SELECT session_id, n, pick + 1, got, list_append(used, got) FROM (SELECT s.session_id, s.n, s.pick, s.used, arg_min(r.i, (CASE WHEN abs(az - (-180 + 360 * s.pick / s.n)) > 180 THEN 360 - abs(az - (-180 + 360 * s.pick / s.n)) ELSE abs(az - (-180 + 360 * s.pick / s.n)) END / q, r.i)) AS got
+  FROM s JOIN r ON r.session_id = s.session_id WHERE s.pick < s.n AND NOT list_contains(s.used, r.i) GROUP BY ALL))
+SELECT s.session_id, r.name, s.pick - 1 AS pick FROM s JOIN r ON r.session_id = s.session_id AND r.i = s.got""")
 def _(t):
-    rows = t.frames.select("session_id", "name", ((c("k") * 36 % 3600) / 10 - 180).alias("azimuth"), c("confidence").alias("ranking_score"))
+    azimuth = F.when(c("k") % 7 > 0, (c("k") * 36 % 3600) / 10 - 180)
+    rows = t.frames.select("session_id", "name", azimuth.alias("azimuth"), F.when(c("k") % 9 > 0, c("confidence")).alias("ranking_score"))
     return folds.angle_selection(rows).select("session_id", "name", "pick")
 
 
@@ -67,7 +121,13 @@ def _(t):
     return scorers.scored(t.graded_frames, "texture_ranking", c("sharp"), c("luminance"), c("color_match_score")).select("event_id", "score")
 
 
-@query("stream_lifecycle")
+PAIRS = ", ".join(f"('{a}', '{b}')" for a, to in TRANSITIONS.items() for b in to)
+GOING = ", ".join(f"'{a}'" for a, to in TRANSITIONS.items() if to)
+
+
+@query("stream_lifecycle", f"""WITH RECURSIVE o AS (SELECT session_id, event_id, ts, status, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i FROM history),
+s AS (SELECT session_id, i, event_id, ts, status, status AS now, 'ok' AS verdict FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.i, o.event_id, o.ts, o.status, CASE WHEN (s.now, o.status) IN ({PAIRS}) THEN o.status ELSE s.now END,
+CASE WHEN (s.now, o.status) IN ({PAIRS}) THEN 'ok' WHEN s.now NOT IN ({GOING}) THEN 'after_terminal' ELSE 'illegal_from_' || s.now END FROM s JOIN o ON o.session_id = s.session_id AND o.i = s.i + 1) SELECT session_id, event_id, ts, status, verdict FROM s""")
 def _(t):
     status = F.when(c("event_type") == "signup", "created").when(c("event_type") == "view", "captured").when(c("event_type") == "click", "reconstructed").when(c("event_type") == "purchase", "validated").otherwise("failed")
     return streams.run_available(streams.lifecycle(events(t).select("session_id", "event_id", "ts", status.alias("status"))))
@@ -85,13 +145,13 @@ def _(t):
     return streams.run_available(streams.retries(events(t).filter("event_type = 'error'").select("session_id", "event_id", "ts")))
 
 
-@query("stream_adaptive_sampling")
+@query("stream_adaptive_sampling", f"WITH RECURSIVE {SAMPLING} SELECT session_id, event_id, verdict FROM s")
 def _(t):
     out = streams.adaptive_sampling(featured(framed(t)).select("session_id", "event_id", "ts", "flow", "sharp", "bx", "box_y", "bw", "bh"))
     return streams.run_available(out.select("session_id", "event_id", "verdict"))
 
 
-@query("stream_redundancy")
+@query("stream_redundancy", f"WITH RECURSIVE {KEEP_LAST} SELECT session_id, event_id, verdict FROM s")
 def _(t):
     out = streams.redundancy(featured(framed(t)).select("session_id", "event_id", "ts", "hist", "bx", "box_y", "bw", "bh"))
     return streams.run_available(out.select("session_id", "event_id", "verdict"))
@@ -142,5 +202,3 @@ SELECT folder, CASE WHEN age > lim AND NOT pr THEN 'prune' ELSE 'keep' END AS ac
 def _(t):
     run = lambda sql: t.spark.sql(sql.replace("FROM assets", "FROM {a}"), a=t.assets)
     return retention_plan(run(FILES), run(OWNERS), F.lit("1996-06-01").cast("timestamp"))
-
-

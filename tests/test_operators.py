@@ -1,6 +1,8 @@
 """Edges of rules, folds, streams and files on small hand-made tables."""
 
 import json
+import math
+import os
 import struct
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from orbitgrid.functions import geometry, scorers, text
 from orbitgrid.operators import asset_rules, calibration, folds, frames, mesh, registry, session_rules
 from orbitgrid.operators.retention import retention_plan
-from orbitgrid.sources import files
+from orbitgrid.sources import checkpoints, files
 from orbitgrid.streaming import streams
 
 
@@ -174,17 +176,68 @@ def test_fold_equals_a_plain_loop_on_any_partitioning(spark, step):
         assert rows(got, "session_id", "frame_idx", "verdict") == sorted(want)
 
 
+@pytest.mark.parametrize("native, step", [(folds.redundancy_filter, folds.redundancy_step()), (folds.adaptive_sampling, folds.sampling_step())])
+def test_native_folds_equal_the_steps(spark, native, step):
+    items = fold_rows() + [(3, 0, None, 1, 1, 40, 40, 1.0, 50.0), (3, 1, [1.0, 2.0, 3.0, 4.0], None, 1, 40, 40, None, 90.0), (3, 2, [1.0] * 4, 1, 1, 40, 40, 2.0, None), (3, 3, [2.0] * 4, 1, 1, 40, 40, 2.0, 90.0)]
+    table = spark.createDataFrame(items, SCHEMA).withColumn("Verdict", F.lit("old"))
+    want = folds.grouped_fold(table.drop("Verdict"), "session_id", ["frame_idx"], step)
+    got = native(table)
+    assert rows(got.select("session_id", "frame_idx", "verdict")) == rows(want.select("session_id", "frame_idx", "verdict"))
+    assert [x.lower() for x in got.columns].count("verdict") == 1 and native(table.limit(0)).count() == 0
+
+
 def test_view_representatives_are_not_transitive(spark):
-    items = [(1, i, [1.0, 2.0, 3.0], 0.06 * i, 0.0, 0.1, 1.0, [0.0]) for i in range(4)]
+    items = [(1, i, [1.0, 2.0, 3.0], 0.06 * i, 0.0, 0.1, 1.0, [0.0]) for i in range(4)] + [(1, 4, None, 0.0, 0.0, 0.1, 1.0, [0.0])]
     table = spark.createDataFrame(items, "session_id long, frame_idx long, hist array<double>, cx double, cy double, area double, aspect double, shape array<double>")
-    got = folds.grouped_fold(table, "session_id", ["frame_idx"], folds.view_step())
-    assert rows(got, "frame_idx", "verdict") == [(0, "new_view"), (1, "known_view"), (2, "new_view"), (3, "known_view")]
+    got = folds.view_dedupe(table)
+    assert rows(got, "frame_idx", "verdict") == [(0, "new_view"), (1, "known_view"), (2, "new_view"), (3, "known_view"), (4, "new_view")]
+
+
+def plain_angles(frames, budget):
+    known = sorted((x for x in frames if x[1] is not None), key=lambda x: (x[1], x[0]))
+    used = []
+    for k in range(min(budget, len(known))):
+        ideal = -180 + 360 * k / min(budget, len(known))
+        d = [min(abs(a - ideal), 360 - abs(a - ideal)) / max(0.1 if q is None else q, 0.01) for _, a, q in known]
+        used.append(min((i for i in range(len(known)) if i not in used), key=lambda i: (d[i], i)))
+    return [(known[i][0], k) for k, i in enumerate(used)]
+
+
+def test_angle_selection_equals_greedy(spark):
+    frames = [(f"f{i:02d}", None if i % 11 == 0 else float(i * 37 % 360 - 180), None if i % 5 == 0 else (i * 29 % 100) / 100) for i in range(60)]
+    table = spark.createDataFrame([(1, *x) for x in frames] + [(2, "only", 3.0, None), (3, "none", None, 1.0)], "session_id long, name string, azimuth double, ranking_score double")
+    got = folds.angle_selection(table, 12)
+    assert rows(got.filter("session_id = 1"), "name", "pick") == sorted(plain_angles(frames, 12))
+    assert rows(got.filter("session_id > 1"), "session_id", "name", "pick") == [(2, "only", 0)]
 
 
-def test_angle_selection_uses_a_frame_once(spark):
-    table = spark.createDataFrame([(1, f"f{i}", float(i * 30 - 180), 1.0) for i in range(12)], "session_id long, name string, azimuth double, ranking_score double")
-    got = folds.angle_selection(table, 6).collect()
-    assert len(got) == 6 == len({r.name for r in got})
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [5.0] * 7, [0.0] * 40 + [1e9], [float(i * i % 101) for i in range(500)], [1e-3 * i for i in range(2000)] + [None]])
+def test_exact_quantiles(spark, values):
+    table = spark.createDataFrame([(1, v) for v in values] + [(2, 3.0)], "mesh long, v double")
+    got = {r.mesh: r.q for r in mesh.exact_quantiles(table, "mesh", "v", (0.0, 0.5, 0.99, 1.0), blocks=16).collect()}
+    known = sorted(v for v in values if v is not None)
+    for q, x in zip((0.0, 0.5, 0.99, 1.0), got[1], strict=True):
+        at = q * (len(known) - 1)
+        low, high = known[math.floor(at)], known[math.ceil(at)]
+        assert x == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-9, abs=1e-12)
+    assert got[2] == [3.0] * 4
+
+
+def test_normalization_edges(spark):
+    table = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 1e-4, 0.0, 0.0), (2, -2000.0, 5.0, 0.0), (2, 2000.0, 6.0, 9.0), (3, None, None, None)], "mesh long, x double, y double, z double")
+    got = {r.mesh: (r.largest_axis, r.issues, r.warnings, r.flat_on_ground) for r in mesh.normalization_audit(table).collect()}
+    assert got == {1: ("x", ["model_too_small"], [], True), 2: ("x", ["model_too_large"], ["model_not_centered", "ground_alignment_uncertain"], False), 3: (None, ["no_vertices_found"], [], None)}
+
+
+def test_geometries_and_shares(spark):
+    vertices = spark.createDataFrame([(1, i, float(i // 2), 0.0, 0.0, i % 2) for i in range(6)], "mesh long, v long, x double, y double, z double, geometry long")
+    faces = spark.createDataFrame([(1, 0, 1, 2)], "mesh long, v0 long, v1 long, v2 long")
+    row = mesh.mesh_metrics(vertices, faces).first()
+    assert (row.vertices, row.geometries, row.duplicate_vertices, row.faces, row.degenerate_faces) == (6, 2, 0, 1, 1)
+    assert mesh.mesh_metrics(vertices.drop("geometry"), faces).first().duplicate_vertices == 3
+    labels = mesh.connected_components(spark.createDataFrame([(0, 1), (1, 2), (4, 5)], "a long, b long"))
+    elements = spark.createDataFrame([(1, 0), (1, 1), (1, 4), (1, 9), (2, 5)], "mesh long, node long")
+    assert rows(mesh.largest_share(labels, elements)) == [(1, 3, 0.5), (2, 1, 1.0)]
 
 
 def stream_of(spark, tmp_path, parts, schema):
@@ -202,6 +255,14 @@ def test_stream_state_is_carried_over_batches(spark, tmp_path):
     assert rows(got, "event_id", "count", "escalated") == [(i, i + 1, i >= 3) for i in range(6)]
 
 
+def test_stream_state_expires(spark, tmp_path):
+    parts = [[(1, 0, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00")], [(2, 2, "2024-01-09 00:00:00")], [(2, 3, "2024-01-09 01:00:00")], [(1, 4, "2024-01-09 02:00:00")]]
+    stream = stream_of(spark, tmp_path, parts, "session_id long, event_id long, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    got = streams.run_available(folds.stream_fold(stream, "session_id", ["ts", "event_id"], folds.retry_step(), expire_hours=24 * 7.5))
+    seen = dict(rows(got, "event_id", "verdict"))
+    assert seen[3] == "3:retry" and seen[4] == "1:retry"  # session 1 was forgotten, session 2 was not
+
+
 def test_late_rows_are_dropped_and_repeats_count_once(spark, tmp_path):
     schema = "event_id long, t string, component string"
     parts = [[(1, "2024-01-01 00:10:00", "a"), (1, "2024-01-01 00:10:00", "a"), (2, "2024-01-01 05:00:00", "a")], [(5, "2024-01-01 06:00:00", "a")], [(3, "2024-01-01 00:20:00", "a"), (4, "2024-01-01 09:00:00", "a")]]
@@ -238,9 +299,26 @@ def test_glb_corpus(spark, tmp_path):
     assert got["good"].valid and got["good"].has_base_color
     assert got["short"].issues == ["file_too_small_for_header"] and got["magic"].issues == ["invalid_magic"] and got["length"].issues == ["length_mismatch"]
     assert got["texture"].issues == ["invalid_texture_ref"] and got["empty"].issues == ["no_scenes", "missing_meshes"]
+    assert got["empty"].warnings == ["no_nodes", "no_materials"] and got["empty"].has_base_color is None and not got["good"].has_normal
     assert {r.issue for r in files.glb_issue_counts(files.glb_inventory(spark, str(tmp_path))).collect()} >= {"no_scenes", "invalid_magic"}
 
 
+def test_glb_damage(spark):
+    full = {"scenes": [{}], "nodes": [{}, {}], "meshes": [{}], "images": [{}], "buffers": [{}], "bufferViews": [{"buffer": 0}, {"buffer": 1}], "accessors": [{"bufferView": 1}, {}], "materials": [{"normalTexture": {"index": 0}}]}
+    body = glb(full)
+    chunk = lambda n, kind: struct.pack("<II", n, kind)
+    fixed = lambda data: data[:8] + struct.pack("<I", len(data)) + data[12:]
+    cases = {
+        "refs.glb": (body, ["invalid_buffer_ref"]), "views.glb": (glb({**full, "bufferViews": [{}], "accessors": [{"bufferView": 4}]}), ["invalid_buffer_ref", "invalid_buffer_view_ref"]),
+        "version.glb": (body[:4] + struct.pack("<I", 3) + body[8:], ["unsupported_version_3", "invalid_buffer_ref"]), "bin.glb": (fixed(body + chunk(99, files.BIN_CHUNK)), ["bin_chunk_overflows_file", "invalid_buffer_ref"]),
+        "other.bin": (fixed(body + chunk(0, files.BIN_CHUNK)), ["unexpected_extension", "invalid_buffer_ref"]), "kind.glb": (body[:16] + b"ABCD" + body[20:], ["first_chunk_not_json"]), "over.glb": (fixed(body[:-8]), ["json_chunk_overflows_file"]),
+        "head.glb": (fixed(body[:14]), ["file_too_small_for_json_chunk"]), "array.glb": (fixed(struct.pack("<IIIII", files.MAGIC, 2, 0, 4, files.JSON_CHUNK) + b"oops"), ["json_parse_failed"]), "none.glb": (b"", ["file_too_small_for_header"]),
+    }
+    got = {r.path: r for r in files.glb_report(spark.createDataFrame([(k, bytearray(v)) for k, (v, _) in cases.items()], "path string, content binary")).collect()}
+    assert {k: got[k].issues for k in cases} == {k: v for k, (_, v) in cases.items()}
+    assert (got["refs.glb"].nodes, got["refs.glb"].images, got["refs.glb"].has_normal, got["refs.glb"].has_base_color) == (2, 1, True, False) and got["over.glb"].nodes == 0
+
+
 def test_blank_points_line_shifts_pairs(spark, tmp_path):
     (tmp_path / "s1").mkdir()
     head = "{} 1 0 0 0 1 2 3 7 f{}.jpg"
@@ -268,3 +346,27 @@ def test_log_lines_that_are_no_json(spark, tmp_path):
     got = rows(files.scan_log_lines(spark, str(tmp_path)), "level", "message")
     assert ("ERROR", "m") in got and ("INFO", "plain text") in got and ("INFO", "{broken") in got
     assert files.log_tail(files.scan_log_lines(spark, str(tmp_path)), 1).first().message == "{broken"
+
+
+def test_log_tail_of_rotated_files(spark, tmp_path):
+    for name, at, lines in (("factory.log", 300, ["e", "f"]), ("factory.log.1", 200, ["c", "d"]), ("factory.log.2", 100, ["a", "b"])):
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+        os.utime(tmp_path / name, (at, at))
+    log = files.scan_log_lines(spark, str(tmp_path))
+    assert [r.message for r in files.log_tail(log, 5, by="modified").collect()] == ["f", "e", "d", "c", "b"]
+    assert [r.message for r in files.log_tail(log, 3).collect()] == ["b", "a", "d"]
+
+
+def test_checkpoint_folder_is_demanded_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoints.shared_folder(Session())
