@@ -11,13 +11,17 @@ Of four differing bits, by the pigeonhole principle, either
   of the other (six ordered pairs of segments), or
 - every segment has one or two: key = a near key of A and one of B.
 So every linked pair meets in some bucket. Buckets hold distinct fingerprints only; a bucket
-of up to `BUCKET` fingerprints is compared as a whole, a larger one in all pairs of its blocks
-of about BUCKET/2, so no task holds more than BUCKET of them. A comparison is exact (XOR and
-bit count) and emits a spanning forest of the bucket's links, not all of its pairs.
-Components then come from large-star/small-star rounds over the forests' edges.
+of up to `BUCKET` fingerprints is compared as a whole. A larger one of the second kind is first
+cut by the near keys of C, where its pairs differ in two bits at most; what is still larger is
+compared in all pairs of its blocks of about BUCKET/2, so no task holds more than BUCKET
+fingerprints. A comparison is exact (XOR and bit count) and emits a spanning forest of the
+bucket's links, not all of its pairs. Components then come from large-star/small-star rounds
+over the forests' edges.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids take no part as a
-smallest id; a component of null ids alone has a null id. Repeated rows repeat in the result.
+smallest id; a component of null ids alone has a null id. Repeated rows repeat in the result; an
+empty table gives an empty one. Texts of any length are read whole. `near_duplicates` reads
+doc_id and text only, so other columns, whatever their names, do not matter; `survivors` keeps them.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 BUCKET = 4096
 #: Width and shift of the segments.
 SEGMENTS = ((23, 0), (23, 23), (18, 46))
+#: Tag, above the 40th bit of a key, of buckets with near keys of both A and B; the six below have one segment's bits.
+TWO_NEAR = 6
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -185,17 +191,31 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()) if a else pa.array([], pa.int64()), pa.array(np.maximum(a, b), pa.int64()) if a else pa.array([], pa.int64())], names=["a", "b"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, part, fp) of rows in large buckets: one row for each near key of C in buckets of two near keys, else one with part -1."""
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        width, shift = SEGMENTS[2]
+        part = np.sort(near_keys((fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)), axis=1)
+        new = np.c_[np.ones(len(fp), bool), part[:, 1:] != part[:, :-1]]
+        exact = key >> 40 < TWO_NEAR
+        part[exact], new[exact, 1:] = -1, False
+        row, at = np.nonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(part[row, at]), pa.array(fp[row])], names=["key", "part", "fp"])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a < b) between distinct fingerprints: in every bucket, a spanning forest of its links."""
-    rows = keyed(fps)
-    sizes = rows.groupBy("key").count()
-    # Rows of a key are spread over blocks by their fingerprint; most keys have one block.
-    large = sizes.filter(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") * 2 / BUCKET).cast("int").alias("blocks"))
+    rows = materialize(keyed(fps), "keys")
+    large = rows.groupBy("key").count().filter(F.col("count") > BUCKET).select("key", F.lit(True).alias("large"))
     parted = rows.join(large, "key", "left")
+    small = parted.filter("large is null").groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    wide = parted.filter("large").select("key", "fp").mapInArrow(_cut, "key long, part long, fp long")
+    # Rows of a key are spread over blocks by their fingerprint; most have one block.
+    sizes = wide.groupBy("key", "part").agg(F.greatest(F.lit(1), F.when(F.count("*") > BUCKET, F.ceil(F.count("*") * 2 / BUCKET))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    small = parted.filter(F.col("blocks").isNull()).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    wide = parted.filter(F.col("blocks").isNotNull()).select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wide = wide.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
+    wide = wide.join(sizes, ["key", "part"]).select("key", "part", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    wide = wide.groupBy("key", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
     compared = small.select("fps").unionByName(wide.select("fps")).filter(F.size("fps") > 1)
     return compared.mapInArrow(_forests, "a long, b long").distinct()
 
@@ -204,16 +224,18 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node of each connected component, by large-star/small-star.
 
     A star sends each node's neighbours to its smallest one with `min` over (node), a partial
-    aggregate, and equi joins; a node with many neighbours is split by AQE as a skewed join.
+    aggregate, and equi joins. The minima are written before they are joined: both sides of the join
+    are then plain shuffles, so that AQE splits a node with many neighbours as a skewed join.
     """
     edges = materialize(edges.filter("a <> b"), "edges")
     last = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialize(large, "large")
         # small-star: from each node to its smaller neighbours
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         edges = materialize(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -223,13 +245,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
-def fingerprint_groups(marked: DataFrame) -> DataFrame:
-    """(fp, root, first, component_id) of each distinct fingerprint of `marked` (doc_id, fp)."""
+def labelled(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, first, root) of each distinct fingerprint of `marked` (doc_id, fp), and (root, component_id, best: a fingerprint that the id has) of each group."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes))
-    labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    return labelled.join(least, "root")
+    nodes = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
+    least = nodes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("b"))
+    return nodes, materialize(least.select("root", F.col("b.first").alias("component_id"), F.col("b.fp").alias("best")), "groups")
+
+
+def fingerprint_groups(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of `marked` (doc_id, fp)."""
+    nodes, groups = labelled(marked)
+    return nodes.join(groups, "root").select("fp", "component_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -241,7 +269,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id of all that links reach)."""
     marked = fingerprints(docs)
-    out = marked.join(fingerprint_groups(marked).select("fp", "component_id"), "fp")
+    out = marked.join(fingerprint_groups(marked), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -254,9 +282,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     ones the first stays.
     """
     marked = fingerprints(docs)
-    groups = fingerprint_groups(marked)
-    # for each group the fingerprint that its smallest id has (the least one if several rows have the id)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("b")).select(F.col("b.first").alias("__first"), F.col("b.fp").alias("__best"))
+    best = labelled(marked)[1].select(F.col("component_id").alias("__first"), F.col("best").alias("__best"))
     # only documents of ids that survive are fingerprinted again, to tell rows of one id apart
     named = best.filter("__first is not null")
     by_id = docs.join(named, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
