@@ -4,13 +4,16 @@ A text's terms are its byte-class trigrams (shape, not vocabulary, so that every
 shares them) and graded repetition terms. Labelled texts give a tf-idf matrix whose leading
 right singular vectors span the latent space. The labelled vectors are broadcast: at most
 `2 * per_label` of `RANK` floats. Each document's exact cosines with all of them come from
-blocked matrix products; the `NEIGHBOURS` closest vote, weighted by similarity.
+blocked matrix products; the `NEIGHBOURS` closest vote, weighted by similarity, with all others
+that are exactly as close as the last of them.
 
 The model is fitted on at most `per_label` rows of each label, taken by hash order of the id
-from rows outside the held-out fold. It is a bounded sample and the bound is a parameter.
+from rows outside the held-out fold. It is a bounded sample and the bound is a parameter; the
+driver gets their term vectors, not their texts. Of rows with one id that of the least text hash counts.
 Labels, language, source and id are no inputs of a score. A label row without a quality, or
 an id whose labels differ, is not used. Null and empty texts get a score like any other;
-without any usable label each score is 0.5.
+without any usable label each score is 0.5. Repeated rows are scored each, texts of any length
+whole; an empty table gives an empty one. A column named like the score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -84,9 +87,9 @@ def scaled(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     """idf weights, latent axes and the labelled vectors."""
 
-    def __init__(self, texts: list[bytes], labels: list[int]):
-        raw = np.vstack([terms(texts[i : i + 512]) for i in range(0, len(texts), 512)])
-        self.idf = np.log((1 + len(texts)) / (1 + (raw > 0).sum(0))).astype(np.float32) + 0.1
+    def __init__(self, raw: np.ndarray, labels: list[int]):
+        """A model from the `terms` of labelled texts."""
+        self.idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))).astype(np.float32) + 0.1
         x = scaled(raw, self.idf)
         used = np.flatnonzero(raw.any(0))  # the Gram matrix of terms that occur
         _, axes = np.linalg.eigh(x[:, used].T @ x[:, used])
@@ -99,6 +102,11 @@ class Model:
         z = x @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
+    @staticmethod
+    def vote(cosines: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        weight = np.exp(20 * (cosines - cosines.max(1, keepdims=True))) + 1e-9
+        return (weight * labels).sum(1) / weight.sum(1)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         k = min(NEIGHBOURS, len(self.points))
@@ -107,8 +115,11 @@ class Model:
             cos = z @ self.points.T
             top = np.argpartition(cos, -k, axis=1)[:, -k:]
             near = np.take_along_axis(cos, top, 1)
-            weight = np.exp(20 * (near - near.max(1, keepdims=True))) + 1e-9
-            out[i : i + BLOCK] = (weight * self.labels[top]).sum(1) / weight.sum(1)
+            out[i : i + BLOCK] = self.vote(near, self.labels[top])
+            last = near.min(1, keepdims=True)
+            for j in np.flatnonzero((cos == last).sum(1) > (near == last).sum(1)):  # ties beyond the last
+                voters = cos[j] >= last[j]
+                out[i + j] = self.vote(cos[j][voters][None], self.labels[voters][None])[0]
         return np.clip(out, 0.0, 1.0)
 
 
@@ -124,9 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.filter(F.col("label") == v).orderBy(*order).limit(per_label) for v in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_label rows at most
-    texts = docs.select("doc_id", text_bytes().alias("text"))
-    rows = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label).collect()
-    return Model([bytes(r.text) for r in rows], [r.label for r in rows]) if rows else None
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(sample, "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def start():
+        return lambda text: [pa.array([t.tobytes() for t in terms(text.to_pylist())], pa.binary())]
+
+    vectors = add_columns(one, [F.col("text")], T.StructType([T.StructField("terms", T.BinaryType())]), start).select("doc_id", "label", "terms")
+    rows = vectors.orderBy(*order).limit(2 * per_label).collect()  # TERMS floats each
+    return Model(np.array([np.frombuffer(r.terms, np.float32) for r in rows]), [r.label for r in rows]) if rows else None
 
 
 def with_score(docs: DataFrame, model: Model | None, out_col: str = "score") -> DataFrame:
