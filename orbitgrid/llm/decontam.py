@@ -12,7 +12,9 @@ Documents stay whole in their rows and never shuffle; what is broadcast is an in
 the rows that adds to their hits.
 
 Null texts have no words. Items without words, a null text or a null id have no windows.
-Equal item ids are one item. An empty benchmark leaves every document clean.
+Equal item ids are one item. An empty benchmark leaves every document clean. Repeated documents
+are judged each, texts of any length whole; an empty table gives an empty one. Columns of the
+documents that are named like a result, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ WINDOW, SHINGLE, MAX_WINDOWS = 13, 4, 200_000
 #: A-Z to lower case, word bytes to themselves, all others to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLOTS = 20
+SLOTS, CANDIDATES = 20, 1 << 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -149,13 +151,16 @@ class Index:
                 by_width[width] = codes(ids, width)
             at, which = tokens.find(by_width[width])
             n = first[which + 1] - first[which]
-            place = np.repeat(at, n)
-            member = order[np.repeat(first[which], n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
-            start = place - offset[member]
-            inside = (start >= 0) & (start + length <= len(ids))
-            start, member = start[inside], member[inside]
-            for i in range(0, len(start), 1 << 16):
-                s, m = start[i : i + (1 << 16)], member[i : i + (1 << 16)]
+            ends = np.cumsum(n)
+            total, done = int(ends[-1]) if len(ends) else 0, 0
+            while done < total:  # CANDIDATES pairs of a position and a window at once
+                pair = np.arange(done, min(done + CANDIDATES, total))
+                done += len(pair)
+                i = np.searchsorted(ends, pair, side="right")
+                member = order[first[which[i]] + pair - (ends[i] - n[i])]
+                start = at[i] - offset[member]
+                inside = (start >= 0) & (start + length <= len(ids))
+                s, m = start[inside], member[inside]
                 same = (ids[s[:, None] + np.arange(length)] == matrix[m]).all(1)
                 starts.append(s[same])
                 found.append(members[m[same]])
@@ -218,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_w
     blocks = max(1, -(-windows.count() // max_windows))
     texts = docs.select(text_bytes(text_col).alias("text"))
     empty = [F.lit(None).cast(SPAN).alias("hit_spans"), F.lit(None).cast("array<bigint>").alias("item_ids")]
-    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in FIELDS.names), *empty)
+    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in FIELDS.names), *empty)
     for block in range(blocks):
         rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()  # about max_windows rows
         words = Words([bytes(r.window).split() for r in rows])
