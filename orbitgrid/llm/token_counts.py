@@ -3,7 +3,8 @@
 Documents are aggregated by encoded length once. Suffix sums over the histogram then give
 totals, quantiles and truncated totals for every context limit, without another pass.
 
-Null and empty texts have length 0. An empty table gives an empty histogram.
+Null and empty texts have length 0. An empty table gives an empty histogram. Repeated rows count
+each, texts of any length whole. A column named like the length is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -79,15 +80,16 @@ def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
 
 
 def at_limit(hist: DataFrame, limit: int) -> DataFrame:
-    """Totals for any context limit, also one that no document's length equals: one row."""
-    over = F.col("n_tokens") > limit
-    n, zero = F.col("n_docs"), F.lit(0).cast("long")
-    return hist.agg(
-        F.coalesce(F.sum(n), zero).alias("total_docs"),
-        F.coalesce(F.sum(n * F.col("n_tokens")), zero).alias("total_tokens"),
-        F.coalesce(F.sum(F.when(over, n)), zero).alias("docs_over"),
-        F.coalesce(F.sum(n * F.least(F.col("n_tokens"), F.lit(limit))), zero).alias("truncated_tokens"),
-    )
+    """Totals for any context limit, also one that no document's length equals: one row (null totals if empty).
+
+    They are the suffix sums of the longest length within the limit.
+    """
+    within = F.when(F.col("n_tokens") <= limit, F.col("n_tokens"))
+    row = hist.agg(
+        F.max("total_docs").alias("total_docs"), F.max("total_tokens").alias("total_tokens"),
+        F.coalesce(F.max_by("docs_over", within), F.max("total_docs")).alias("docs_over"), F.coalesce(F.max_by("tokens_over", within), F.max("total_tokens")).alias("tokens_over"),
+    )
+    return row.select("total_docs", "total_tokens", "docs_over", (F.col("total_tokens") - F.col("tokens_over") + limit * F.col("docs_over")).alias("truncated_tokens"))
 
 
 def quantile(hist: DataFrame, q: float) -> DataFrame:
