@@ -320,15 +320,123 @@ def test_all_rights_reserved_is_proprietary(spark):
     assert got == {1: ("proprietary", "proprietary", "restricted"), 2: ("BSD,proprietary", "BSD", "permissive")}
 
 
+def filled(i):
+    return license_rules.SENTENCES[i].replace("{}", "Ada Lovelace, Inc. and the other contributors")
+
+
+WRAPS = {
+    "line": lambda s: s,
+    "wrapped": lambda s: textwrap.fill(s, 30, break_long_words=False),
+    "star": lambda s: textwrap.indent(textwrap.fill(s, 40), " * ").replace("\n", "\r\n"),
+    "hash": lambda s: textwrap.indent(textwrap.fill(s, 50), "# "),
+    "slashes": lambda s: textwrap.indent(textwrap.fill(s, 60), "// "),
+    "numbered": lambda s: textwrap.fill(s, 70, initial_indent="  3. ", subsequent_indent="     "),
+    "lettered": lambda s: textwrap.fill(s, 70, initial_indent="(b) ", subsequent_indent="    "),
+}
+
+
 def test_every_license_sentence_and_rule(spark):
-    forms = [lambda s: s, lambda s: textwrap.fill(s, 30), lambda s: textwrap.indent(textwrap.fill(s, 40), " * ").replace("\n", "\r\n")]
     known = license_rules.SENTENCES
-    rows = [(f"{i} {k}", f"/* Head\n\n{form(s)}\n\nTail. */", i) for i, s in known.items() for k, form in enumerate(forms)]
-    rows += [(f"{n} {k}", "\n\n".join(form(known[i]) for i in ids), ",".join(ids)) for n, (_, _, ids) in enumerate(license_rules.RULES) for k, form in enumerate(forms)]
+    assert len(license_rules.known_sentences()) == sum("{}" not in s for s in known.values())
+    rows = [(f"{i} {k}", f"/* Head\n\n{form(filled(i))}\n\nTail. */", i) for i in known for k, form in WRAPS.items()]
+    rows += [(f"{n} {k}", "\n\n".join(form(filled(i)) for i in ids), ",".join(ids)) for n, (_, _, ids) in enumerate(license_rules.RULES) for k, form in WRAPS.items()]
     got = {r.doc_id: r for r in license_rules.scanned(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
     assert {i: got[i].sentence_ids for i, _, _ in rows} == {i: want for i, _, want in rows}
     for n, (name, kind, _) in enumerate(license_rules.RULES):
-        assert all((got[f"{n} {k}"].license, got[f"{n} {k}"].license_class) == (name, kind) for k in range(len(forms)))
+        assert all((got[f"{n} {k}"].license, got[f"{n} {k}"].license_class) == (name, kind) for k in WRAPS)
+    # near misses: a word less, a word more, or the sentences of a rule in the opposite order
+    misses = [(f"{i} {cut}", " ".join(filled(i).split()[:-2] if cut else [*filled(i).split()[:3], "certainly", *filled(i).split()[3:]])) for i in known for cut in (0, 1) if len(known[i].split()) > 6 and "{}" not in known[i]]
+    misses += [(str(n), "\n\n".join(filled(i) for i in reversed(ids))) for n, (_, _, ids) in enumerate(license_rules.RULES) if len(ids) > 2]
+    got = {r.doc_id: r for r in license_rules.scanned(spark.createDataFrame(misses, "doc_id string, text string")).collect()}
+    of_sentence = {k: r.sentence_ids for k, r in got.items() if " " in k and r.sentence_ids == k.split()[0]}
+    assert not of_sentence
+    for n, (name, _, ids) in enumerate(license_rules.RULES):
+        assert str(n) not in got or name not in got[str(n)].licenses.split(",") or any(r[0] == name and len(r[2]) < len(ids) for r in license_rules.RULES), name
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2021 Ada Lovelace
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """ * Copyright (c) 1999, The Example Foundation, Inc.
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+ * 3. Neither the name of The Example Foundation, Inc. nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS ``AS IS''
+ * AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+ * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ * ARE DISCLAIMED.
+"""
+APACHE = """// Copyright 2019 The Authors
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+"""
+LGPL = """/* This library is free software; you can redistribute it and/or
+   modify it under the terms of the GNU Lesser General Public
+   License as published by the Free Software Foundation; either
+   version 2.1 of the License, or (at your option) any later version.
+
+   This library is distributed in the hope that it will be useful,
+   but WITHOUT ANY WARRANTY; without even the implied warranty of
+   MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+   Lesser General Public License for more details. */
+"""
+
+
+def test_canonical_license_texts(spark):
+    rows = [("MIT", MIT), ("BSD-3-Clause", BSD3), ("Apache-2.0", APACHE), ("LGPL-2.1-or-later", LGPL), ("MIT", " ".join(MIT.split())), ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"),
+            ("MPL-2.0", "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/.\n"), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"), (None, MIT.replace("free of charge", "for a fee").replace("The above copyright", "This copyright")), (None, "license permission copyright")]
+    got = {r.doc_id: r for r in license_rules.scanned(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert {i: got[i].license for i in got if i != 4} == {i: name for i, (name, _) in enumerate(rows) if i != 4}
+    assert "mit-keep,mit-as-is,mit-liability" in got[4].sentence_ids  # one line, whose head has no mark before the grant
+
+
+def test_license_edges(spark, odd, nothing):
+    assert license_rules.scanned(nothing).count() == 0
+    long = LONG + "\n" + license_rules.SENTENCES["mit-notice"] + "\n" + LONG
+    docs = odd.unionByName(spark.createDataFrame([(70, long, "en", "s", 1), (70, long, "en", "s", 1)], SCHEMA)).withColumns({"License": F.lit("x"), "licenses": F.lit(3)})
+    out = license_rules.scan(docs)
+    assert [c.lower() for c in out.columns].count("license") == 1 and out.count() == docs.count()
+    assert [(r.doc_id, r["license"]) for r in out.filter("size(sentence_ids) > 0").collect()] == [(70, "MIT")] * 2
 
 
 def plain_statistics(text):
