@@ -22,7 +22,9 @@ frequent words are broadcast, which also takes the skewed keys out; rarer words
 counts in a shuffle join.
 
 Null texts are empty: they score their end. With an empty training fold the model is uniform
-over bits and the base counts are 0. Repeated rows are scored each.
+over bits and the base counts are 0. Repeated rows are scored, and taught from, each; an empty table
+gives an empty one. Texts of any length are read whole. A NUL byte in a text is the same symbol as
+the end. Only doc_id and text are read, so other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Counts come from Spark aggregates over binned statistics of all labelled documen
 list is emitted as ordered conditional expressions.
 
 Null texts have no words: all counts are 0 and the base rule fails them. An id with differing
-labels or none teaches nothing. Without labelled rows the base rule alone decides.
+labels or none teaches nothing. Without labelled rows the base rule alone decides. Repeated rows
+are judged, and teach, each; texts of any length are read whole; an empty table gives an empty one.
+Kept columns that are named like a statistic, in any case, give way to it.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def covered_words(hashes: Column) -> Column:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and the statistics of each whole text; kept columns named like one are replaced."""
-    keep = [c for c in keep if c not in STATISTICS]
+    keep = [c for c in keep if c.lower() not in STATISTICS]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     long = lambda c: c.cast("long")
 
