@@ -6,8 +6,9 @@
 4. benchmark decontamination: contaminated documents go;
 5. encoding: token ids of what remains.
 
-A null id is no smallest id: within a group of null ids one row stays, by its text's hash.
-Empty tables pass through as empty. Columns beyond those of `documents` are not kept.
+A null id is no smallest id: within a group of null ids one row stays. Empty tables pass through as
+empty; without labels nothing is rejected by score or learned rule, without a benchmark nothing is
+contaminated. All stages but the last keep every column of their input, whatever its name.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ def apart(docs: DataFrame, names: tuple[str, ...] | list[str]) -> tuple[DataFram
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     docs, back = apart(docs, decision_list.STATISTICS)
-    stats = decision_list.with_statistics(docs, keep=docs.columns)
-    measured = materialize(stats.drop(*(c for c in docs.columns if c != "doc_id")), "statistics")
+    # texts and their statistics are written once: rules are learned from them and then applied to them
+    stats = materialize(decision_list.with_statistics(docs, keep=docs.columns), "statistics")
+    measured = stats.select("doc_id", *decision_list.STATISTICS)
     rules = decision_list.learn(decision_list.labelled(measured, read_table(spark, sf_dir, "labels")))
     return stats.filter(decision_list.kept(rules)).select(*docs.columns).withColumnsRenamed(back).select(*columns)
 
