@@ -165,7 +165,9 @@ ORDERED = (
 )
 #: The same with each licence's class.
 RULES = tuple((name, CLASS_OF[name], ids) for name, ids in ORDERED)
-KEYWORDS = "(?i)licen[sc]e|permission|distribut|warrant|copyright|reserved|unencumbered|liable|creative|evil|authorization|advertising|eupl"
+#: Beginnings of the words licence, permission, (re)distribute, warranty, copyright, reserved, unencumbered, liable,
+#: creative, evil, authorization, advertising and EUPL; the first letter apart, since that is what most places fail at.
+KEYWORDS = "(?i)(?<![a-z])[lpdrwcuae](?:icen[sc]|ermission|istribut|edistribut|arrant|opyright|eserved|nencumbered|iable|reative|vil|uthorization|dvertising|upl)"
 #: Words that a hole stands for, in a normalised text; one that begins a sentence does not reach into the pieces before, nor begin with an enumerator.
 HOLE, FIRST_HOLE = "[a-z0-9]+(?:[ \n][a-z0-9]+){0,14}?", "[a-z0-9]{2,}(?: [a-z0-9]+){0,14}?"
 #: A piece ends at a line's end, or at a mark that white space follows.

@@ -167,6 +167,19 @@ def test_simhash_large_buckets_are_split(spark, monkeypatch):
     assert {i: got[x] for i, x in enumerate(fps)} == plain_components(dict(enumerate(fps)))
 
 
+def test_simhash_large_buckets_are_cut_by_the_third_segment(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 6)
+    rnd, fps = random.Random(11), []
+    for _ in range(60):  # one or two bits of A and of B, any of C: all meet in a bucket of two near keys
+        x = rnd.getrandbits(18) << 46 if rnd.random() < 0.3 else (fps[-1] >> 46 ^ 1 << rnd.randrange(18)) << 46 if fps else 0
+        fps.append(x | 1 << rnd.randrange(23) | 1 << 23 + rnd.randrange(23))
+    fps = sorted(set(fps))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    marked = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(fps)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.fingerprint_groups(materialize(marked, "test")).collect()}
+    assert {i: got[signed(x)] for i, x in enumerate(fps)} == plain_components(dict(enumerate(fps)))
+
+
 def test_simhash_edges(odd, nothing):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     assert {(i, "0" * 16, 0) for i in range(4)} <= got  # no words: fingerprint zero, linked like any other
@@ -189,6 +202,84 @@ def test_quality_held_out(spark):
     assert np.mean(right(1)) > 0.95 and np.mean(right(0)) > 0.8
 
 
+def plain_quality_terms(text):
+    """Trigram counts and exceeded steps of a text, one character at a time."""
+    raw = b" " + text + b" "
+    kinds = [quality_knn.KIND[b] for b in raw]
+    n = Counter((kinds[i] * quality_knn.KINDS + kinds[i + 1]) * quality_knn.KINDS + kinds[i + 2] for i in range(len(kinds) - 2))
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    shares = [0.0] * quality_knn.MEASURES
+    if words:
+        pairs = {(a, b) for a, b in zip(words, words[1:])}
+        shares = [1 - len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words), 1 - len(pairs) / (len(words) - 1) if len(words) > 1 else 0.0, 1 - len(set(lines)) / max(1, len(lines)), min(1.0, 5 / len(words)), min(1.0, 100 / max(1, len(text)))]
+    return n, [float(s > x) for s in shares for x in quality_knn.STEPS]
+
+
+def plain_quality(train, labels, texts, rank, neighbours):
+    """Neighbours and votes by loops; ties with the last neighbour vote too."""
+    raw = [plain_quality_terms(x) for x in train]
+    df = Counter(k for n, _ in raw for k in n)
+    steps = np.array([s for _, s in raw])
+    idf = {k: math.log((1 + len(train)) / (1 + v)) + 0.1 for k, v in df.items()}
+    unseen = math.log(1 + len(train)) + 0.1
+
+    def vector(n, s):
+        out = np.zeros(quality_knn.TERMS)
+        for k, v in n.items():
+            out[k] = math.log1p(v) * idf.get(k, unseen)
+        out /= max(np.linalg.norm(out), 1e-9)
+        out[quality_knn.TRIGRAMS :] = np.array(s) * quality_knn.REPEAT_WEIGHT
+        return out
+
+    x = np.array([vector(n, s) for n, s in raw])
+    axes = np.linalg.svd(x, full_matrices=False)[2][:rank].T
+    unit = lambda z: z / max(np.linalg.norm(z), 1e-9)
+    points = [unit(v @ axes) for v in x]
+    out = []
+    for text in texts:
+        z = unit(vector(*plain_quality_terms(text)) @ axes)
+        cos = [float(z @ p) for p in points]
+        last = sorted(cos, reverse=True)[min(neighbours, len(cos)) - 1]
+        voters = [(math.exp(20 * (c - max(cos))) + 1e-9, v) for c, v in zip(cos, labels, strict=True) if c >= last - 1e-6]
+        out.append(sum(w * v for w, v in voters) / sum(w for w, _ in voters))
+    assert steps.shape[1] == quality_knn.TERMS - quality_knn.TRIGRAMS
+    return out
+
+
+def test_quality_equals_brute_force(spark, texts):
+    docs = read_table(spark, FOLDER, "documents").unionByName(spark.createDataFrame([(10_000 + i, t, "en", "s", 1) for i, t in enumerate(["", "same words " * 9, "same words " * 9, None])], SCHEMA))
+    labels = read_table(spark, FOLDER, "labels").select("doc_id", "quality").unionByName(spark.createDataFrame([(10_001, 0), (10_002, 1), (3, 1 - 1), (3, 1)], "doc_id long, quality int"))
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    said = defaultdict(set)
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None:
+            said[r.doc_id].add(r.quality)
+    train = [i for i, v in said.items() if len(v) == 1 and i in text and zlib.crc32(str(i).encode()) % 5]
+    ids = list(text)
+    want = dict(zip(ids, plain_quality([text[i] for i in train], [min(said[i]) for i in train], [text[i] for i in ids], quality_knn.RANK, quality_knn.NEIGHBOURS), strict=True))
+    got = {r.doc_id: r for r in quality_knn.scored(docs, labels).collect()}
+    assert len(train) > 40 and set(got) == set(want)
+    assert all(got[i].score == pytest.approx(want[i], abs=2e-3) for i in ids)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.3) for i in ids)
+
+
+def test_quality_ties_vote_in_any_order(spark):
+    words = ["alpha beta gamma", "x y z #", "one, two, three."]
+    train = [words[i % 3] for i in range(60)]
+    labels = [int(i % 2) for i in range(60)]
+    raw = quality_knn.terms([t.encode() for t in train])
+    forth = quality_knn.Model(raw, labels).score([t.encode() for t in words])
+    back = quality_knn.Model(raw[::-1], labels[::-1]).score([t.encode() for t in words])
+    assert forth == pytest.approx(back, abs=1e-5) and forth == pytest.approx([0.5] * 3, abs=1e-3)
+
+
+def test_quality_row_of_a_repeated_id(spark):
+    docs = [(1, "a b c"), (1, "x! y! z!"), (2, "| # | # |"), (3, "good words of prose here"), (5, "more of it, well said")]
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (5, 1)], "doc_id long, quality int")
+    scores = {tuple(sorted((r.doc_id, round(r.score, 4)) for r in quality_knn.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels).collect())) for rows, n in ((docs, 1), (docs[::-1], 3))}
+    assert len(scores) == 1
+
+
 def test_quality_edges(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (4, 0), (6, 1), (6, 0), (None, 1), (9, None)], "doc_id long, quality int")
     got = quality_knn.scored(odd, labels).collect()
@@ -283,6 +374,38 @@ def test_decontamination_equals_brute_force(spark, max_windows, monkeypatch):
     assert got == plain_decontam(texts, items)
 
 
+def test_decontamination_expands_candidates_in_chunks(monkeypatch):
+    windows = [w for i in range(30) for w in decontam.windows_of([b"aa", b"bb", b"cc", b"dd", *(f"w{i}{j}".encode() for j in range(12))])]
+    words = decontam.Words(windows)
+    index = decontam.Index(decontam.Rarity(words), {}, [[i] for i in range(len(windows))])
+    ids, _ = words.ids([b" ".join(w) for w in windows[::3]])
+    every = sorted(zip(*(x.tolist() for x in index.hits(ids)), strict=True))
+    monkeypatch.setattr(decontam, "CANDIDATES", 3)
+    assert every == sorted(zip(*(x.tolist() for x in index.hits(ids)), strict=True)) and len(every) >= len(windows[::3])
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    item = " ".join(LONG.split()[9_000:9_040])
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "a"), (3, "ab cd ef")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    docs = odd.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).filter("doc_id is not null").withColumns({"N_Words": F.lit("x"), "item_ids": F.lit(1), "extra": F.lit(2)})
+    out = decontam.matches(docs, bench)
+    assert [c.lower() for c in out.columns].count("n_words") == 1 and "extra" in out.columns and out.count() == docs.count()
+    want = Counter()
+    for r in docs.collect():
+        items = defaultdict(list)
+        for i, x in ((1, item), (2, item), (3, "a"), (3, "ab cd ef")):
+            items[i].append(x)
+        words, hit, met = decontam.words_of((r.text or "").encode()), set(), set()
+        for i, parts in items.items():
+            for part in parts:
+                for w in decontam.windows_of(decontam.words_of(part.encode())):
+                    at = [s for s in range(len(words) - len(w) + 1) if words[s] == w[0] and words[s : s + len(w)] == w]
+                    hit.update(x for s in at for x in range(s, s + len(w)))
+                    met.update({i} if at else ())
+        want[(r.doc_id, len(words), len(hit), tuple(sorted(met)))] += 1
+    assert Counter((r.doc_id, r.n_words, sum(x.end - x.begin for x in r.hit_spans), tuple(r["item_ids"])) for r in out.collect()) == want
+
+
 def test_decontamination_without_benchmark(spark, odd, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.judged(odd, empty).filter("n_hit > 0 or contaminated").count() == 0
@@ -298,9 +421,14 @@ def test_length_histogram(spark, texts, odd):
     for limit, r in got.items():
         assert r.docs_over == sum(x > limit for x in lengths) and r.tokens_over == sum(x for x in lengths if x > limit)
         assert r.truncated_tokens == sum(min(x, limit) for x in lengths) and r.total_tokens == sum(lengths)
-    assert token_counts.at_limit(hist, 77).first().truncated_tokens == sum(min(x, 77) for x in lengths)
+    for limit in (-1, 0, 1, 77, 10**6):
+        r = token_counts.at_limit(hist, limit).first()
+        assert (r.total_docs, r.total_tokens, r.docs_over) == (len(lengths), sum(lengths), sum(x > limit for x in lengths))
+        assert r.truncated_tokens == sum(min(x, limit) for x in lengths)
     assert token_counts.quantile(hist, 0.5).first().n_tokens == sorted(lengths)[math.ceil(len(lengths) / 2) - 1]
     assert token_counts.histogram(token_counts.with_lengths(odd.limit(0))).count() == 0
+    measured = token_counts.with_lengths(odd.unionByName(odd).withColumn("N_Tokens", F.lit("x")))
+    assert Counter(r.n_tokens for r in measured.collect()) == Counter(len(enc.encode_ordinary(r.text or "")) for r in odd.collect() for _ in (0, 1))
 
 
 def test_license_sequences(spark):
@@ -457,6 +585,96 @@ def test_statistics_equal_brute_force(spark, texts, odd):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(r.text or ""), r.doc_id
 
 
+def all_statistics(text):
+    base = plain_statistics(text)
+    return dict(zip(decision_list.STATISTICS, (*base, sum("A" <= c <= "Z" for c in text), sum(c in "!?" for c in text), sum(bool(x.encode().split()) for x in text.split("\n"))), strict=True))
+
+
+def plain_measures(s):
+    n = max(s["n_words"], 1)
+    return {
+        "n_words": float(s["n_words"]), "word_length": s["word_chars"] / n, "symbols_per_word": s["n_symbols"] / n, "duplicate_lines": s["n_dup_lines"] / max(s["n_lines"], 1),
+        "repeated_words": s["n_repeat_words"] / n, "upper_share": s["n_upper"] / max(s["word_chars"], 1), "marks_per_word": s["n_marks"] / n,
+    }
+
+
+def plain_covering(rows, cuts):
+    """Sequential covering over (doc_id, label, measures), one row at a time."""
+    holds = lambda c, m: m[c[0]] > c[2] if c[1] else m[c[0]] <= c[2]
+    grow = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3]
+    held = [r for r in rows if not zlib.crc32(str(r[0]).encode()) % 3]
+    rules = []
+    while len(rules) < decision_list.MAX_RULES:
+        rule, part = [], grow
+        while len(rule) < decision_list.MAX_CONDITIONS:
+            bad, good = sum(v == 0 for _, v, _ in part), sum(v == 1 for _, v, _ in part)
+            if not bad or not good:
+                break
+            best = None
+            for m in decision_list.MEASURES:
+                for cut in cuts[m]:
+                    for above in (False, True):
+                        met = [v for _, v, x in part if holds((m, above, cut), x)]
+                        q = met.count(0)
+                        if q and len(met) < len(part):
+                            gain = q * (math.log2(q / len(met)) - math.log2(bad / (bad + good)))
+                            if best is None or gain > best[0]:
+                                best = gain, (m, above, cut), len(met) - q
+            if not best or best[0] <= 0:
+                break
+            rule.append(best[1])
+            part = [r for r in part if holds(best[1], r[2])]
+            if not best[2]:
+                break
+        if not rule:
+            break
+        scores = []
+        for size in range(1, len(rule) + 1):
+            met = [v for _, v, x in held if all(holds(c, x) for c in rule[:size])]
+            p, n = met.count(0), met.count(1)
+            scores.append(((p - n) / (p + n) if p + n else -1.0, -size, p, n))
+        _, size, p, n = max(scores)
+        rule = rule[:-size]
+        if p + n == 0 or p / (p + n) < decision_list.MIN_PRECISION or p < decision_list.MIN_COVER:
+            break
+        rules.append(tuple(rule))
+        grow, held = ([r for r in part if not all(holds(c, r[2]) for c in rule)] for part in (grow, held))
+    return rules
+
+
+def plain_verdicts(spark, texts, labels):
+    """kept by id from plain statistics and plain covering; thresholds are the operator's quantiles of those statistics."""
+    stats = {i: all_statistics(t) for i, t in texts.items()}
+    failed = lambda s: s["n_words"] < 20 or 100 * s["n_repeat_words"] > 30 * s["n_words"]
+    said = defaultdict(set)
+    for i, q in labels:
+        if i is not None and q in (0, 1):
+            said[i].add(q)
+    taught = [(i, min(said[i]), plain_measures(stats[i])) for i in stats if len(said.get(i, ())) == 1 and not failed(stats[i])]
+    rules = []
+    if taught:
+        table = spark.createDataFrame([(i, v, *stats[i].values()) for i, v, _ in taught], "doc_id long, label int, " + ", ".join(f"{s} long" for s in decision_list.STATISTICS))
+        rules = plain_covering(taught, decision_list._cuts(table))
+    fires = lambda r, m: all(m[a] > cut if above else m[a] <= cut for a, above, cut in r)
+    return {i: not failed(s) and not any(fires(r, plain_measures(s)) for r in rules) for i, s in stats.items()}, rules
+
+
+def test_decision_list_equals_plain_covering(spark, monkeypatch):
+    monkeypatch.setattr(decision_list, "CUTS", 8)
+    folder = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    kept, rules = plain_verdicts(spark, texts, [(r.doc_id, r.quality) for r in labels.collect()])
+    got = {r.doc_id: r.kept for r in decision_list.judged(docs, labels).collect()}
+    assert rules and got == kept and 0 < sum(kept.values()) < len(kept)
+
+
+def test_statistics_replace_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "A b! c", "mine", 7)], "doc_id long, text string, N_Words string, extra int")
+    out = decision_list.with_statistics(docs, keep=docs.columns)
+    assert sorted(c.lower() for c in out.columns) == sorted(["doc_id", "text", "extra", *decision_list.STATISTICS]) and out.first().n_words == 3
+
+
 def test_decision_list(spark, odd, nothing):
     folder = "/root/testdata/sf0.01"
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
@@ -578,6 +796,35 @@ def test_many_contexts_keep_their_depth(spark):
     assert not row.held_out and row.bits_per_byte < 3  # 5 from three bytes, which tell nothing here
 
 
+def test_end_byte_within_a_text(spark):
+    train = [b"ab\0cd", b"ab", b"cd\0\0"]
+    tree = context_tree.fit_tree(spark.createDataFrame([(bytearray(t),) for t in train], "text binary"), 2)
+    for text in (b"ab\0cd", b"\0", b"ab"):
+        assert tree.score(text) == pytest.approx(plain_ctw(train, text, 2), abs=1e-3)
+
+
+#: Columns of other tables and of the operators' results.
+CLASHES = ("n_tokens", "ids", "decoded", "fp", "fingerprint", "component_id", "score", "held_out", "label", "quality", "n_words", "hit_spans", "item_ids", "kept", "grow", "licenses", "License", "start", "raw", "frame", "row", "word", "gram", "n", "h", "size", "key", "root", "first")
+WHOLE = {
+    "op1": lambda d, l, b: bpe.digests(d), "op2": lambda d, l, b: simhash.near_duplicates(d), "op3": lambda d, l, b: quality_knn.scored(d, l).withColumn("score", F.round("score", 3)), "op5": lambda d, l, b: decontam.judged(d, b),
+    "op6": lambda d, l, b: token_counts.histogram(token_counts.with_lengths(d)), "op7": lambda d, l, b: license_rules.scanned(d), "op8": lambda d, l, b: decision_list.judged(d, l),
+    "op9": lambda d, l, b: context_tree.scored(d).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 3)), "op10": lambda d, l, b: token_store.stored(d),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_other_columns_and_repeated_rows_do_not_matter(spark, odd, name):
+    docs = odd.unionByName(odd.filter("doc_id in (4, 13)")).unionByName(read_table(spark, FOLDER, "documents").select(*odd.columns).filter("doc_id between 20 and 50"))
+    labels, bench = (read_table(spark, FOLDER, x) for x in ("labels", "benchmark"))
+    more = lambda df: df.withColumns({c: F.lit(f"mine {i}") if i % 2 else F.lit(i) for i, c in enumerate(CLASHES) if c not in df.columns})
+    plain = Counter(map(tuple, WHOLE[name](docs, labels, bench).collect()))
+    assert Counter(map(tuple, WHOLE[name](more(docs).repartition(5), more(labels), more(bench)).collect())) == plain
+    if name != "op6":
+        assert sum(plain.values()) == docs.count()
+    assert WHOLE[name](docs.limit(0), labels, bench).count() == 0
+    assert WHOLE[name](docs.filter("doc_id in (0, 1)"), labels.limit(0), bench.limit(0)).count() == (1 if name == "op6" else 2)
+
+
 def test_language_model_edges(odd, nothing):
     assert context_tree.scored(odd).count() == odd.count() and context_tree.scored(nothing).count() == 0
 
@@ -623,6 +870,39 @@ def test_pipeline_stages(spark):
     assert last.count() == before and last.filter("n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in read_table(spark, folder, "documents").collect()]
+    labels = [(r.doc_id, r.quality) for r in read_table(spark, folder, "labels").collect()]
+    items = {r.item_id: r.text for r in read_table(spark, folder, "benchmark").collect()}
+    lib, text = library("byte_bpe_50k.json"), {i: t or "" for i, t in docs}
+    agreed = {i: {q for j, q in labels if j == i} for i, _ in labels}
+    train = [i for i, v in agreed.items() if len(v) == 1 and i in text and zlib.crc32(str(i).encode()) % 5]
+    scores = plain_quality([text[i].encode() for i in train], [min(agreed[i]) for i in train], [t.encode() for t in text.values()], quality_knn.RANK, quality_knn.NEIGHBOURS)
+    sure = {i for i, s in zip(text, scores, strict=True) if abs(s - 0.3) > 5e-3}  # the rest may fall either way by rounding
+    assert len(text) - len(sure) < 3
+    left = {i: text[i] for i, s in zip(text, scores, strict=True) if s >= 0.3}
+    kept, _ = plain_verdicts(spark, left, labels)
+    left = {i: t for i, t in left.items() if kept[i]}
+    groups = plain_components({i: plain_simhash(t) for i, t in sorted(left.items())})
+    left = {i: left[i] for i in set(groups.values())}
+    judged = plain_decontam(left, items)
+    left = {i: t for i, t in left.items() if not judged[i][4]}
+    want = {i: lib.encode(t, add_special_tokens=False).ids for i, t in left.items()}
+    got = {r.doc_id: (r.n_tokens, list(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()}
+    assert {i: g for i, g in got.items() if i in sure} == {i: (len(x), x) for i, x in want.items() if i in sure}
+    assert 50 < len(got) < len(docs)
+
+
+def test_pipeline_without_labels_and_benchmark(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table = read_table(spark, FOLDER, name)
+        (table if name == "documents" else table.limit(0)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = read_table(spark, FOLDER, "documents")
+    base = docs.join(decision_list.judged(docs, read_table(spark, str(tmp_path), "labels")).filter("kept"), "doc_id", "left_semi")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == simhash.survivors(base).count()
+
+
 def test_pipeline_keeps_columns_that_clash(spark):
     docs = read_table(spark, FOLDER, "documents").withColumns({"N_Words": F.lit("mine"), "hit_spans": F.lit(7), "score": F.lit(None).cast("string")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
