@@ -29,6 +29,13 @@ def true(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with columns that are computed once, however often later ones name them: what a generator gives is not computed anew above it."""
+    kept = [x for x in rows.columns if x not in columns]
+    packed = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("__once")
+    return rows.select("*", packed).select(*kept, "__once.*")
+
+
 def verdict(fail: Column, review: Column) -> Column:
     return F.when(true(fail), "fail").when(true(review), "review").otherwise("pass")
 
@@ -160,10 +167,15 @@ def asset_validation(assets: DataFrame, allow_skip: bool = False, mobile_limit:
         **accessor_delivery_checks(),
     }
     named = {(f"delivery_{k}" if k in ("delivery_geometry", "delivery_fragmentation") else k): v for k, v in named.items()}
-    own = F.map_filter(F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
-    rows = rows.withColumn("checks", F.map_concat(own, F.transform_keys("contamination", lambda k, _: F.concat(F.lit("contamination_"), k))))
-    keys = lambda v: F.array_sort(F.map_keys(F.map_filter("checks", lambda _, x: x == v)))
-    rows = rows.withColumns({"blocking": keys("fail"), "warnings": keys("review"), "passed": keys("pass")})
+    named |= {f"contamination_{k}": F.when(c("component_share").isNotNull(), v) for k, v in contamination_checks().items()}
+    order = sorted(named)
+    for i in range(0, len(order), 3):  # a few at once: methods that the JVM compiles
+        rows = once(rows, **{f"__{k}": named[k] for k in order[i : i + 3]})
+    for name, v in (("blocking", "fail"), ("warnings", "review"), ("passed", "pass")):
+        rows = once(rows, **{name: F.array(*(F.when(c(f"__{k}") == v, F.lit(k)) for k in order))})
+    rows = once(rows, **{name: F.array_compact(name) for name in ("blocking", "warnings", "passed")})
+    every = F.array(*(F.struct(F.lit(k).alias("check"), c(f"__{k}").alias("verdict")) for k in order))
+    rows = rows.withColumn("checks", F.map_from_entries(F.filter(every, lambda x: x["verdict"].isNotNull()))).drop(*(f"__{k}" for k in order))
     decision = F.when(F.size("blocking") > 0, "fail").when(F.size("warnings") > 0, "review").otherwise("pass")
     rows = rows.withColumn("decision", decision)
     raw = c("delivery_profile") == "raw_archive"

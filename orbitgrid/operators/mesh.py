@@ -226,50 +226,68 @@ def edge_manifold(faces: DataFrame) -> DataFrame:
     return out.withColumn("manifold_ratio", 1 - F.col("non_manifold") / F.col("edges"))
 
 
-def exact_quantiles(values: DataFrame, key: str, col: str, shares: tuple[float, ...], blocks: int = 1024) -> DataFrame:
-    """(key, q: array) of exact quantiles, interpolated between neighbours, of `col` for each key.
+def exact_quantiles(values: DataFrame, keys: tuple[str, ...], col: str, shares: tuple[float, ...], blocks: int = 1024) -> DataFrame:
+    """(keys, mean, sd, q: array) of each key's values: exact quantiles, interpolated between neighbours, mean and population deviation.
 
-    Equal values are counted before the shuffle. Values are dealt to `blocks` ranges of a key's
-    span; cumulative counts of the ranges (`blocks` rows a key at most) tell which ranges hold the
-    wanted ranks, and only those are ordered. So no task holds all values of a key.
+    Equal values are counted before the shuffle, and the counts written once. Values are dealt to
+    `blocks` ranges of a key's span; cumulative counts of the ranges (`blocks` rows a key at most) tell
+    which ranges hold the wanted ranks, and only those are ordered. So no task holds all values of a key.
     """
-    counts = values.filter(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("v")).agg(F.count("*").alias("n"))
-    span = values.groupBy(key).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("total"))
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(0)
-    dealt = counts.join(span, key).select(key, "v", "n", "total", at.alias("block"))
-    w = Window.partitionBy(key).orderBy("block")
-    sums = dealt.groupBy(key, "block").agg(F.sum("n").alias("b_n"), F.max("total").alias("total")).withColumn("before", F.sum("b_n").over(w) - F.col("b_n"))
+    keys = list(keys)
+    counts = materialize(values.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("v")).agg(F.count("*").alias("n")), "counts")
+    n, v = F.col("n"), F.col("v")
+    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(n * v) / F.sum("n")).alias("mean"), (F.sum(n * v * v) / F.sum("n")).alias("square"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(0)
+    dealt = counts.join(span, keys).withColumn("block", at)
+    w = Window.partitionBy(*keys).orderBy("block")
+    sums = dealt.groupBy(*keys, "block").agg(F.sum("n").alias("b_n"), *(F.max(x).alias(x) for x in ("total", "mean", "square"))).withColumn("before", F.sum("b_n").over(w) - F.col("b_n"))
     place = lambda q: F.lit(q) * (F.col("total") - 1)  # noqa: E731  of the sorted values, from 0
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares))))
     held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("b_n")))
-    wanted = sums.select(key, "block", "before", held.alias("ranks")).filter(F.size("ranks") > 0)
-    inner = Window.partitionBy(key, "block").orderBy("v")
-    found = dealt.join(wanted, [key, "block"]).withColumn("end", F.col("before") + F.sum("n").over(inner)).withColumn("r", F.explode("ranks")).filter((F.col("r") < F.col("end")) & (F.col("r") >= F.col("end") - F.col("n")))
-    values_at = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"), F.max("total").alias("total"))  # two ranks a share at most
+    wanted = sums.select(*keys, "block", "before", held.alias("ranks")).filter(F.size("ranks") > 0)
+    inner = Window.partitionBy(*keys, "block").orderBy("v")
+    found = dealt.join(wanted, [*keys, "block"]).withColumn("end", F.col("before") + F.sum("n").over(inner)).withColumn("r", F.explode("ranks")).filter((F.col("r") < F.col("end")) & (F.col("r") >= F.col("end") - n))
+    values_at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"), *(F.max(x).alias(x) for x in ("total", "mean", "square")))  # two ranks a share at most
 
     def value(q: float) -> Column:
         low, high = F.try_element_at("m", F.floor(place(q))), F.try_element_at("m", F.ceil(place(q)))
         return low + (high - low) * (place(q) - F.floor(place(q)))
 
-    return values_at.select(key, F.array(*map(value, shares)).alias("q"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    return values_at.select(*keys, "mean", sd.alias("sd"), F.array(*map(value, shares)).alias("q"))
 
 
-def edge_aspect_stats(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+#: Most faces of a mesh whose quantiles one task may take from counts in its memory.
+HELD_FACES = 1_000_000
+
+
+def edge_aspect_stats(vertices: DataFrame, faces: DataFrame, held: int = HELD_FACES) -> DataFrame:
     """Median, 99th percentile and variation of unique edge lengths; the same percentiles of longest over shortest edge of faces.
 
     Edge lengths come from the corners that the faces carry, so vertices are joined once for each corner.
+    Meshes of up to `held` faces take `percentile`, larger ones `exact_quantiles`; both are exact.
     """
     ab, bc, ca = _length("a", "b"), _length("b", "c"), _length("c", "a")
     sides = materialize(corners(vertices, faces).select("mesh", "v0", "v1", "v2", ab.alias("ab"), bc.alias("bc"), ca.alias("ca")), "sides")
     edge = lambda i, j, length: F.struct(F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), F.col(length).alias("l"))
-    el = sides.select("mesh", F.inline(F.array(edge("v0", "v1", "ab"), edge("v1", "v2", "bc"), edge("v0", "v2", "ca")))).groupBy("mesh", "p", "q").agg(F.min("l").alias("l"))
-    el = materialize(el, "lengths")
-    cv = el.groupBy("mesh").agg(F.coalesce(F.when(F.avg("l") > 1e-12, F.stddev_pop("l") / F.avg("l")), F.lit(0.0)).alias("edge_cv"))
-    ratio = sides.select("mesh", F.greatest("ab", "bc", "ca").alias("long"), F.least("ab", "bc", "ca").alias("short")).filter("short > 1e-9").select("mesh", (F.col("long") / F.col("short")).alias("r"))
-    edges = exact_quantiles(el, "mesh", "l", (0.5, 0.99)).select("mesh", F.col("q").alias("e"))
-    aspect = exact_quantiles(ratio, "mesh", "r", (0.5, 0.99)).select("mesh", F.col("q").alias("r"))
-    out = cv.join(edges, "mesh").join(aspect, "mesh", "left")
-    return out.select("mesh", F.col("e")[0].alias("edge_p50"), F.col("e")[1].alias("edge_p99"), "edge_cv", F.col("r")[0].alias("aspect_p50"), F.col("r")[1].alias("aspect_p99"))
+    kinds = ("mesh", "kind")
+
+    def values(rows: DataFrame) -> DataFrame:
+        el = rows.select("mesh", F.inline(F.array(edge("v0", "v1", "ab"), edge("v1", "v2", "bc"), edge("v0", "v2", "ca")))).groupBy("mesh", "p", "q").agg(F.min("l").alias("v"))
+        ratio = rows.select("mesh", F.greatest("ab", "bc", "ca").alias("long"), F.least("ab", "bc", "ca").alias("short")).filter("short > 1e-9")
+        return el.select("mesh", F.lit("edge").alias("kind"), "v").unionByName(ratio.select("mesh", F.lit("aspect").alias("kind"), (F.col("long") / F.col("short")).alias("v")))
+
+    large = sides.groupBy("mesh").agg(F.count("*").alias("n")).filter(F.col("n") > held).select("mesh")
+    some = not large.isEmpty()
+    small = sides.join(large, "mesh", "left_anti") if some else sides
+    both = values(small).groupBy(*kinds).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
+    if some:
+        both = both.unionByName(exact_quantiles(values(sides.join(large, "mesh", "left_semi")), kinds, "v", (0.5, 0.99)))
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
+    return both.groupBy("mesh").agg(
+        of("edge", F.col("q")[0]).alias("edge_p50"), of("edge", F.col("q")[1]).alias("edge_p99"), of("edge", F.when(F.col("mean") > 1e-12, F.col("sd") / F.col("mean")).otherwise(0.0)).alias("edge_cv"),
+        of("aspect", F.col("q")[0]).alias("aspect_p50"), of("aspect", F.col("q")[1]).alias("aspect_p99"),
+    )
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:

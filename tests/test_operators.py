@@ -214,7 +214,7 @@ def test_angle_selection_equals_greedy(spark):
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [5.0] * 7, [0.0] * 40 + [1e9], [float(i * i % 101) for i in range(500)], [1e-3 * i for i in range(2000)] + [None]])
 def test_exact_quantiles(spark, values):
     table = spark.createDataFrame([(1, v) for v in values] + [(2, 3.0)], "mesh long, v double")
-    got = {r.mesh: r.q for r in mesh.exact_quantiles(table, "mesh", "v", (0.0, 0.5, 0.99, 1.0), blocks=16).collect()}
+    got = {r.mesh: r.q for r in mesh.exact_quantiles(table, ("mesh",), "v", (0.0, 0.5, 0.99, 1.0), blocks=16).collect()}
     known = sorted(v for v in values if v is not None)
     for q, x in zip((0.0, 0.5, 0.99, 1.0), got[1], strict=True):
         at = q * (len(known) - 1)
@@ -223,6 +223,14 @@ def test_exact_quantiles(spark, values):
     assert got[2] == [3.0] * 4
 
 
+def test_large_meshes_have_the_same_quantiles(spark):
+    vertices = spark.createDataFrame([(m, i, float(i * m % 7), float(i % 5), float(i % 3)) for m in (1, 2) for i in range(30)], "mesh long, v long, x double, y double, z double")
+    faces = spark.createDataFrame([(m, i % 30, (i * 7 + m) % 30, (i * 11 + 3) % 30) for m in (1, 2) for i in range(90 * m)], "mesh long, v0 long, v1 long, v2 long")
+    want = rows(mesh.edge_aspect_stats(vertices, faces))
+    for held in (0, 100):
+        assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(rows(mesh.edge_aspect_stats(vertices, faces, held)), want, strict=True))
+
+
 def test_normalization_edges(spark):
     table = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 1e-4, 0.0, 0.0), (2, -2000.0, 5.0, 0.0), (2, 2000.0, 6.0, 9.0), (3, None, None, None)], "mesh long, x double, y double, z double")
     got = {r.mesh: (r.largest_axis, r.issues, r.warnings, r.flat_on_ground) for r in mesh.normalization_audit(table).collect()}
