@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VIDEO_SUFFIXES = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
+#: Words of each status.
 STATUS_WORDS = {"pass": ("pass", "success", "clean"), "review": ("review", "warning", "degraded"), "fail": ("fail", "failed", "contaminated", "invalid")}
 GRADE_NUMBERS = {"A": 4, "B": 3, "C": 2, "F": 0}
 
@@ -22,7 +23,7 @@ def normalize_status(status: Column) -> Column:
 def failure_classify(message: Column, variant: str = "ladder") -> Column:
     """Class of an error text. `ladder` looks for crashes first, `runner` for missing files."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    has = low.contains
+    has = low.contains  # the words below are fixed values
     if variant == "ladder":
         crash = has("3221226505") | has("native crash") | (has("texturemesh") & has("exit"))
         return (
@@ -68,12 +69,16 @@ def path_parts(path: Column, root: str) -> Column:
     )
 
 
+#: What stands before a secret, and the secret.
+SECRETS = (r"(?i)(Authorization:\s*Bearer\s+)[^\s]+", r"(?i)(Bearer\s+)[^\s]+", r"(?i)(api_key\s*[=:]\s*)[^\s&,}\]]+", r"(?i)(token\s*[=:]\s*)[^\s&,}\]]+")
+
+
 def redact_secrets(text: Column, secrets: tuple[str, ...] = ()) -> Column:
     """Known secrets first, then bearer, api_key and token values, in that order."""
     for s in secrets:
         if s:
             text = F.replace(text, F.lit(s), F.lit("[REDACTED]"))
-    for pattern in (r"(?i)(Authorization:\s*Bearer\s+)[^\s]+", r"(?i)(Bearer\s+)[^\s]+", r"(?i)(api_key\s*[=:]\s*)[^\s&,}\]]+", r"(?i)(token\s*[=:]\s*)[^\s&,}\]]+"):
+    for pattern in SECRETS:
         text = F.regexp_replace(text, pattern, "$1[REDACTED]")
     return text
 

@@ -52,7 +52,7 @@ def issue_breakdown(results: DataFrame) -> DataFrame:
     return wrong.groupBy("issue").agg(F.count_if(c("expected") == "accept").alias("fp"), F.count_if(c("expected") == "recapture").alias("fn"))
 
 
-#: issue class, which count must be positive, parameter, direction
+#: Issue class, which count must be positive, parameter, direction
 RULES = (
     ("masking_fallback", "fp", "fallback_frames ratio", "relax"),
     ("low_diversity", "fp", "min_unique_views", "relax"),
@@ -228,6 +228,7 @@ def cov_(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+#: Failure reasons that a label may name.
 FAILURES = ("validation_failed", "texture_contaminated", "geometry_broken")
 
 

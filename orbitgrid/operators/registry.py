@@ -277,6 +277,7 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return rows.withColumns({"selected": chosen, "reason": reason}).drop("__ok", "__at", "__any")
 
 
+#: Presets in the order in which they are tried.
 LADDER = ("profile_safe", "safe_high_quality", "safe_low_resolution", "low_thread_texture", "baseline")
 
 
@@ -332,7 +333,7 @@ def evidence_checklist(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("final_status", F.when(F.size("failures") > 0, "failed").when(F.size("warnings") > 0, "review_ready").otherwise("production_ready"))
 
 
-#: mode -> (input size, texture resolution, candidates, frames)
+#: Mode -> (input size, texture resolution, candidates, frames)
 GENERATION_MODES = {"balanced": (768, 1024, 3, 3), "high": (1024, 1024, 5, 5), "ultra": (1024, 2048, 8, 8)}
 
 

@@ -122,7 +122,7 @@ def reconstruction_preflight(sessions: DataFrame, hard: int = 3, review: int = 8
 
 def upload_preflight(uploads: DataFrame, profiles: DataFrame) -> DataFrame:
     """Errors of uploads against the limits of their capture profile (`profile_key`); a missing profile takes the default row."""
-    rows = uploads.join(F.broadcast(profiles), "profile_key", "left")  # one row for each profile
+    rows = uploads.join(profiles, "profile_key", "left")
     short, long = F.least("width", "height"), F.greatest("width", "height")
     mb = F.coalesce("size_mb", F.lit(0.0))
     errors = codes(

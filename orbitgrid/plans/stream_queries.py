@@ -182,8 +182,9 @@ def _(t):
 @query("stream_latest_manifest", "SELECT session_id, seq, payload FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rn FROM manifests) WHERE rn = 1")
 def _(t):
     rows = events(t).select("session_id", c("event_id").alias("seq"), c("props").alias("payload"))
-    path = streams.upsert_latest(rows, shared_folder(t.spark, "manifests"))
-    return t.spark.read.schema(rows.schema).parquet(path)
+    folder = shared_folder(t.spark, "manifests")
+    streams.upsert_latest(rows, folder)
+    return streams.read_latest(t.spark, folder, rows.schema)
 
 
 @query("stream_intrinsics", "SELECT 'k' || k AS cache_key, count(*) AS use_count, min(ts) AS first_seen, max(ts) AS last_used FROM events_k GROUP BY 1")

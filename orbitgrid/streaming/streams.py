@@ -105,35 +105,53 @@ def without_repeats(log: DataFrame, key: str = "event_id", delay: str = "10 minu
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_latest(stream: DataFrame, folder: str, key: str = "session_id", order: str = "seq") -> str:
-    """Keep the newest row of each key: every micro-batch writes a new snapshot version and then points at it.
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions whose table of buckets is complete, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/buckets/v*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
 
-    A repeated micro-batch writes its version anew from the one before, so retries do not double anything.
-    Returns the path of the last snapshot.
-    """
-    spark, schema = stream.sparkSession, stream.schema
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{folder}/v{epoch - 1}"))
-        others = [f.name for f in schema.fields if f.name != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("m")).select(key, "m.*")
-        newest.select(*schema.names).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
-
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+def _buckets(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, int]:
+    """The version that holds each bucket, as of the last version (before `below`)."""
+    known = [v for v in _versions(spark, folder) if below is None or v < below]
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{folder}/buckets/v{known[-1]}").collect()} if known else {}
+
+
+def _read_buckets(spark: SparkSession, folder: str, schema: T.StructType, at: dict[int, int]) -> DataFrame:
+    paths = [f"{folder}/data/v{v}/bucket={b}" for b, v in at.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_latest(stream: DataFrame, folder: str, key: str = "session_id", order: str = "seq", buckets: int = 64) -> None:
+    """Keep the newest row of each key in `folder`: a micro-batch rewrites only the buckets that its keys fall in.
+
+    Each version is a folder with the buckets that it touched and a small table that names the version of
+    every bucket. It is read after it is complete, so a repeated micro-batch, which starts from the version
+    before it, doubles nothing, and a stopped stream goes on from its last version.
+    """
+    schema = stream.schema
+    others = [f.name for f in schema.fields if f.name != key]
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        at = _buckets(spark, folder, epoch)
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+        old = _read_buckets(spark, folder, schema, {b: v for b, v in at.items() if b in touched})
+        rows = new.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        newest = rows.groupBy("bucket", key).agg(F.max_by(F.struct(*others), order).alias("m")).select("bucket", key, "m.*")
+        newest.select("bucket", *schema.names).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/v{epoch}")
+        spark.createDataFrame(list((at | dict.fromkeys(touched, epoch)).items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets/v{epoch}")
+        new.unpersist()
+
+    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    epoch = int(last["batchId"]) if last else -1
-    while epoch >= 0:  # the last progress may tell of a batch without rows
-        try:
-            spark.read.schema(schema).parquet(f"{folder}/v{epoch}").limit(0).collect()
-            break
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            epoch -= 1
-    return f"{folder}/v{epoch}"
+
+
+def read_latest(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The newest row of each key, as of the last complete version."""
+    return _read_buckets(spark, folder, schema, _buckets(spark, folder))
 
 
 def key_usage(lookups: DataFrame, key: str = "cache_key") -> DataFrame:

@@ -263,6 +263,18 @@ def test_stream_state_is_carried_over_batches(spark, tmp_path):
     assert rows(got, "event_id", "count", "escalated") == [(i, i + 1, i >= 3) for i in range(6)]
 
 
+def test_latest_rows_by_bucket(spark, tmp_path):
+    parts = [[(1, 1, "a"), (2, 1, "b"), (3, 5, "c")], [(1, 2, "d"), (4, 1, "e")], [(3, 4, "late"), (2, 9, "f")]]
+    schema, folder = "session_id long, seq long, payload string", str(tmp_path / "out")
+    streams.upsert_latest(stream_of(spark, tmp_path, parts, schema), folder, buckets=3)
+    streams.upsert_latest(stream_of(spark, tmp_path, [[(4, 3, "g")]], schema), folder, buckets=3)  # goes on from its checkpoint
+    empty = spark.createDataFrame([], schema).schema
+    assert rows(streams.read_latest(spark, folder, empty)) == [(1, 2, "d"), (2, 9, "f"), (3, 5, "c"), (4, 3, "g")]
+    assert streams.read_latest(spark, str(tmp_path / "none"), empty).count() == 0
+    versions = streams._versions(spark, folder)
+    assert streams._buckets(spark, folder, versions[-1]) != streams._buckets(spark, folder)
+
+
 def test_stream_state_expires(spark, tmp_path):
     parts = [[(1, 0, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00")], [(2, 2, "2024-01-09 00:00:00")], [(2, 3, "2024-01-09 01:00:00")], [(1, 4, "2024-01-09 02:00:00")]]
     stream = stream_of(spark, tmp_path, parts, "session_id long, event_id long, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
