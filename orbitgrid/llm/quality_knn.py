@@ -18,6 +18,8 @@ whole; an empty table gives an empty one. A column named like the score is repla
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,11 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def start():
-        return lambda text: [pa.array([t.tobytes() for t in terms(text.to_pylist())], pa.binary())]
+        return lambda text: [pa.array([zlib.compress(t.tobytes(), 1) for t in terms(text.to_pylist())], pa.binary())]  # mostly zeros
 
     vectors = add_columns(one, [F.col("text")], T.StructType([T.StructField("terms", T.BinaryType())]), start).select("doc_id", "label", "terms")
-    rows = vectors.orderBy(*order).limit(2 * per_label).collect()  # TERMS floats each
-    return Model(np.array([np.frombuffer(r.terms, np.float32) for r in rows]), [r.label for r in rows]) if rows else None
+    rows = vectors.orderBy(*order).limit(2 * per_label).toArrow()  # TERMS floats each, compressed
+    if not rows.num_rows:
+        return None
+    return Model(np.array([np.frombuffer(zlib.decompress(t), np.float32) for t in rows.column("terms").to_pylist()]), rows.column("label").to_pylist())
 
 
 def with_score(docs: DataFrame, model: Model | None, out_col: str = "score") -> DataFrame:
