@@ -129,7 +129,7 @@ def color_profile(pixels: DataFrame) -> DataFrame:
 def pixel_sharpness(pixels: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """Population variance of the Laplacian of grey values, borders mirrored (101); absent neighbours of a sparse image count as 0."""
     at = [*keys, "x", "y"]
-    edge = pixels.groupBy(*keys).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    edge = materialize(pixels.groupBy(*keys).agg(F.max("x").alias("mx"), F.max("y").alias("my")), "edges")  # of known size: joined without a shuffle of pixels where it is small
     grey = pixels.groupBy(*at).agg(F.avg(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")).alias("v")).join(edge, list(keys))
     mirror = lambda i, top: F.when(i < 0, -i).when(i > top, 2 * top - i).otherwise(i)
     shifts = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for dx, dy, k in ((0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1))))
@@ -338,25 +338,27 @@ def component_selection(components: DataFrame, ratio: float = 0.75) -> DataFrame
 
 
 def horizontal_plane_faces(faces: DataFrame, rounds: int = 2) -> DataFrame:
-    """Faces (mesh, nz, cz, ...) with `removed_in`: the round that took them as part of a horizontal plane, null for kept ones."""
-    rows = faces.withColumn("removed_in", F.lit(None).cast("int"))
+    """Faces (mesh, nz, cz, ...) with `removed_in`: the round that took them as part of a horizontal plane, null for kept ones.
+
+    A round comes down to a height and a tolerance for each mesh. These are written, one row a mesh, so
+    that Spark knows their size and joins them without a shuffle of the faces where they are small. A
+    mesh whose round takes nothing stops.
+    """
+    flat, rows = F.abs("nz") > 0.92, faces
+    removed = F.lit(None).cast("int")
     for i in range(1, rounds + 1):
-        left = F.col("removed_in").isNull()
-        flat = left & (F.abs("nz") > 0.92)
-        stats = rows.groupBy("mesh").agg(F.count_if(left).alias("n"), F.count_if(flat).alias("flat_n"), F.min(F.when(flat, F.col("cz"))).alias("lo"), F.max(F.when(flat, F.col("cz"))).alias("hi"))
+        left = removed.isNull() & (F.col(f"__mid{i - 1}").isNotNull() if i > 1 else F.lit(True))
+        cz = F.when(flat, F.col("cz"))
+        stats = rows.filter(left).groupBy("mesh").agg(F.count("*").alias("n"), F.count_if(flat).alias("flat_n"), F.min(cz).alias("lo"), F.max(cz).alias("hi"))
         stats = stats.filter(F.col("flat_n") >= F.greatest(F.lit(20), F.floor(0.05 * F.col("n"))))
-        marked = rows.join(stats, "mesh", "left")
-        tolerance = F.greatest(F.lit(0.01), 0.03 * (F.col("hi") - F.col("lo")))
-        plane = F.coalesce(flat & (F.abs(F.col("cz") - (F.col("lo") + F.col("hi")) / 2) <= tolerance), F.lit(False))
-        marked = marked.withColumn("plane", plane)
-        enough = marked.groupBy("mesh").agg(F.count_if("plane").alias("plane_n"))
-        marked = marked.join(enough, "mesh").withColumn("take", F.col("plane") & (F.col("plane_n") >= F.greatest(F.lit(30), F.floor(0.08 * F.col("n")))))
-        rows = marked.withColumn("removed_in", F.when(F.col("take"), i).otherwise(F.col("removed_in"))).drop("n", "flat_n", "lo", "hi", "plane", "plane_n", "take")
-        if i < rounds:  # a mesh whose first round took nothing stops
-            took = rows.groupBy("mesh").agg(F.max("removed_in").alias("last"))
-            stopped = took.filter(F.col("last").isNull()).select("mesh", F.lit(True).alias("stopped"))
-            rows = rows.join(stopped, "mesh", "left").withColumn("removed_in", F.when(F.col("stopped"), -1).otherwise(F.col("removed_in"))).drop("stopped")
-    return rows.withColumn("removed_in", F.when(F.col("removed_in") > 0, F.col("removed_in")))
+        middle, tolerance = (F.col("lo") + F.col("hi")) / 2, F.greatest(F.lit(0.01), 0.03 * (F.col("hi") - F.col("lo")))
+        stats = materialize(stats.select("mesh", "n", middle.alias(f"__mid{i}"), tolerance.alias(f"__tol{i}")), "planes")
+        plane = F.coalesce(flat & (F.abs(F.col("cz") - F.col(f"__mid{i}")) <= F.col(f"__tol{i}")), F.lit(False))
+        enough = rows.filter(left).join(stats, "mesh").filter(plane).groupBy("mesh").agg(F.count("*").alias("plane_n"))
+        taken = materialize(stats.join(enough, "mesh").filter(F.col("plane_n") >= F.greatest(F.lit(30), F.floor(0.08 * F.col("n")))).select("mesh", f"__mid{i}", f"__tol{i}"), "planes")
+        rows = rows.join(taken, "mesh", "left")
+        removed = F.coalesce(removed, F.when(plane, F.lit(i)))
+    return rows.withColumn("removed_in", removed).drop(*(f"__{x}{i}" for i in range(1, rounds + 1) for x in ("mid", "tol")))
 
 
 def chromatic_components(colors: DataFrame, background: tuple[int, int, int], tolerance: int = 35) -> DataFrame:
