@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from orbitgrid.llm.common import add_columns, materialize, tokenizer_path
 
 #: Lengths in a block of the two-level suffix sum.
-BLOCK = 4096
+BLOCK = 256
 
 
 @cache
