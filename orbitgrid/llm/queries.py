@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitgrid.llm import bpe, context_tree, decision_list, decontam, host_reputation, license_rules, quality_knn, simhash, token_counts, token_store
+from orbitgrid.llm import bpe, context_tree, decision_list, decontam, hard_negatives, host_reputation, license_rules, packing, quality_knn, simhash, spelling, token_counts, token_store
 from orbitgrid.llm.common import read_table
 
 
@@ -51,15 +51,29 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(read_table(spark, sf_dir, "documents"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe_codec, op2_simhash_golay, op3_quality_knn, op4_host_reputation, op5_decontamination,
         op6_token_counts, op7_license_scan, op8_decision_list, op9_context_tree, op10_token_store,
+        op11_spelling_variants, op12_pattern_packing, op13_hard_negatives,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_host_reputation": host_reputation.ORACLE_SQL,
     "op5_decontamination": decontam.ORACLE_SQL,
     "op7_license_scan": license_rules.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
