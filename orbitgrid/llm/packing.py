@@ -78,37 +78,34 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit(cols: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 of patterns that make sum (histogram - uses)^2 small: block coordinate descent.
+    """Repeat counts x >= 0 of patterns that make sum (tokens of a length - those used)^2 small: block coordinate descent.
 
     A round takes patterns by gradient, none of which share a length, and sets each to its own best
-    count; so that few patterns carry the fit and rounding loses little.
+    count; so that few patterns carry the fit and rounding loses little. Lengths weigh by their tokens:
+    left over, long pieces cost more than short ones, which fill any gap.
     """
-    x, rest = np.zeros(len(cols)), histogram.astype(float)
-    rest[0] = 0  # the third length of a pair
-    three = cols[:, 0] > 0
-    # squared norm of a pattern's column: a length that occurs m times counts m * m
-    same01, same12 = three & (cols[:, 0] == cols[:, 1]), cols[:, 1] == cols[:, 2]
-    norm = 2.0 + three + 2 * same01 + 2 * same12 + 2 * (same01 & same12)
+    weight = np.arange(len(histogram), dtype=float) / len(histogram)  # the missing third length of a pair weighs nothing
+    x, rest = np.zeros(len(cols)), histogram * weight
+    a, b, c = cols.T
+    wa, wb, wc = weight[a], weight[b], weight[c]
+    # squared norm of a pattern's column, where a length may occur twice or three times
+    norm = wa * wa + wb * wb + wc * wc + 2 * (wa * wb * (a == b) + wb * wc * (b == c) + wa * wc * (a == c))
     total = max(1.0, float(rest.sum()))
     for _ in range(ROUNDS):
-        step = (rest[cols[:, 0]] + rest[cols[:, 1]] + rest[cols[:, 2]]) / norm
-        step = np.maximum(step, -x)
+        step = np.maximum((wa * rest[a] + wb * rest[b] + wc * rest[c]) / norm, -x)
         score = step * step * norm
         k = min(AT_ONCE, len(score))
         order = np.argpartition(score, -k)[-k:]
         order = order[np.argsort(-score[order], kind="stable")]
-        used, gain = set(), 0.0
+        used, gain = {0}, 0.0
         for j, abc in zip(order.tolist(), cols[order].tolist(), strict=True):
-            if score[j] <= 1e-9:
-                break
-            own = set(abc) - {0}
-            if used.isdisjoint(own):
+            own = {length for length in abc if length}
+            if score[j] > 0 and used.isdisjoint(own):
                 used |= own
                 x[j] += step[j]
-                gain += abs(step[j])
                 for length in abc:
-                    if length:
-                        rest[length] -= step[j]
+                    rest[length] -= step[j] * weight[length]
+                    gain += abs(step[j]) * weight[length]
         if gain <= LEAST_GAIN * total:
             break
     return x
@@ -198,6 +195,8 @@ def _ranked(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> I
     part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
     for batch in batches:
         lengths = batch.column(batch.num_columns - 1).to_numpy()
+        if len(lengths) and not 1 <= lengths.min() <= lengths.max() <= size:
+            raise ValueError(f"a piece of {lengths.min()} or {lengths.max()} tokens does not fit sequences of {size}")
         order = np.argsort(lengths, kind="stable")
         own, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
         local = np.empty(len(lengths), np.int64)
@@ -217,8 +216,6 @@ def place(cut: DataFrame, size: int = SIZE, length_col: str = "length") -> DataF
     counts = materialize(ranked.groupBy("__part", "__length").agg(F.count("*").alias("__n")), "lengths")
     histogram = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("__length").agg(F.sum("__n").alias("n")).collect():  # `size` rows at most
-        if not 1 <= r["__length"] <= size:
-            raise ValueError(f"a piece of {r['__length']} tokens does not fit sequences of {size}")
         histogram[r["__length"]] = r.n
     runs = spark.sparkContext.broadcast(plan(histogram, size))
     earlier = Window.partitionBy("__length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
