@@ -4,12 +4,16 @@ Documents are aggregated by encoded length once. Suffix sums over the histogram
 totals, quantiles and truncated totals for every context limit, without another pass.
 
 Null and empty texts have length 0. An empty table gives an empty histogram. Repeated rows count
-each, texts of any length whole. A column named like the length is replaced, others stay.
+each, texts of any length whole. A column named like the length is replaced, others stay. The library
+fails on runs of white space of about a million characters, so a run over `LONG_RUN` is handed over in parts: ids
+are the library's, but for merges across a part's edge.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -21,6 +25,9 @@ from orbitgrid.llm.common import add_columns, materialize, tokenizer_path
 
 #: Lengths in a block of the two-level suffix sum.
 BLOCK = 256
+#: White space of a run that is encoded at once, and runs that are longer, with what the library's pattern counts as white space.
+LONG_RUN = 100_000
+LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN + 1},}}")
 
 
 @cache
@@ -33,13 +40,26 @@ def encoding(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text in parts with no run of white space over LONG_RUN; each part but the last ends within such a run."""
+    at = 0
+    if len(text) > LONG_RUN:
+        for run in LONG_SPACE.finditer(text):
+            cut = run.start()
+            while run.end() - cut > LONG_RUN:
+                cut += LONG_RUN
+                yield text[at:cut]
+                at = cut
+    yield text[at:]
+
+
 def with_lengths(docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens", path: str | None = None) -> DataFrame:
     """`docs` with the number of tokens of each whole text."""
     path = path or tokenizer_path("byte_bpe_multi_50k.tiktoken")
 
     def start():
         encode = encoding(path).encode_ordinary
-        return lambda text: [pa.array([len(encode(t)) for t in text.to_pylist()], pa.int64())]
+        return lambda text: [pa.array([sum(len(encode(p)) for p in parts(t)) for t in text.to_pylist()], pa.int64())]
 
     return add_columns(docs, [F.coalesce(F.col(text_col), F.lit(""))], T.StructType([T.StructField(out_col, T.LongType())]), start)
 
