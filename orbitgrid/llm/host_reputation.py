@@ -3,7 +3,9 @@
 Labelled page outcomes are counted by host. Beta-binomial priors shrink them level by level:
 suffixes towards the whole, registered domains towards their suffix, hosts towards their
 registered domain. Each level's prior strength comes from its members' spread (method of
-moments), `MAX_STRENGTH` outcomes at most, so that a host's own record prevails as it grows.
+moments). Members that differ no more than chance would have them have an estimate of zero or below: the
+strength is then `MAX_STRENGTH`, a numeric limit far above the outcomes of any host, and all share their parent's
+mean. So where hosts do not differ, none is blocked.
 
 The filter is one of admission: a host is blocked if the lower bound of its posterior good share
 stays below `min_share` of the good share of all outcomes, and either its own outcomes pull it
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Suffixes of two labels under which domains are registered; others have one label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "org.au", "org.uk")
-MIN_SHARE, Z, MAX_STRENGTH = 0.75, 1.645, 10
-#: Spread between members at which the prior is worth MAX_STRENGTH outcomes.
+MIN_SHARE, Z, MAX_STRENGTH = 0.75, 1.645, 1e9
+#: Spread between members at which the prior is worth MAX_STRENGTH outcomes: none, but for rounding.
 LEAST_SPREAD = 1 / (MAX_STRENGTH + 1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
