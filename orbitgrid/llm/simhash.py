@@ -278,14 +278,20 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     An id that is the smallest of several groups, its rows having different texts, stays once for each.
 
-    Rows that share the surviving id are told apart by their fingerprint and text; of equal
-    ones the first stays.
+    Of rows that share the surviving id and fingerprint, that stays whose text, and then whose other
+    columns, have the smallest hash: whatever the order of rows.
     """
+
+    def one(rows: DataFrame, *keys: str) -> DataFrame:
+        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+        least = F.struct(F.xxhash64("text"), "text", F.xxhash64(others), others)
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), least).alias("__row")).select("__row.*")
+
     marked = fingerprints(docs)
     best = labelled(marked)[1].select(F.col("component_id").alias("__first"), F.col("best").alias("__best"))
     # only documents of ids that survive are fingerprinted again, to tell rows of one id apart
     named = best.filter("__first is not null")
     by_id = docs.join(named, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
-    by_id = with_fingerprint(by_id, out_col="__fp").join(named, (F.col("doc_id").cast("long") == F.col("__first")) & (F.col("__fp") == F.col("__best"))).dropDuplicates(["doc_id", "__fp"])
-    nameless = with_fingerprint(docs.filter("doc_id is null"), out_col="__fp").join(best.filter("__first is null"), F.col("__fp") == F.col("__best")).dropDuplicates(["__fp"])
-    return by_id.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    by_id = with_fingerprint(by_id, out_col="__fp").join(named, (F.col("doc_id").cast("long") == F.col("__first")) & (F.col("__fp") == F.col("__best")))
+    nameless = with_fingerprint(docs.filter("doc_id is null"), out_col="__fp").join(best.filter("__first is null"), F.col("__fp") == F.col("__best"))
+    return one(by_id, "__first", "__fp").unionByName(one(nameless, "__fp"))
