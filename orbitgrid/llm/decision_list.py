@@ -16,8 +16,10 @@ Kept columns that are named like a statistic, in any case, give way to it.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,13 +149,22 @@ def kept(rules: list[Rule]) -> Column:
 
 
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
-    """Candidate thresholds: quantiles of each measure in either class."""
-    shares = [(i + 0.5) / CUTS for i in range(CUTS)]
-    array = F.array(*map(F.lit, shares))
+    """Candidate thresholds: quantiles of each measure in either class, exact on values of three digits, rounded up.
+
+    They come from counts by value, so they do not depend on the order in which tasks end.
+    """
+    pairs = ", ".join(f"'{m}', {e}" for m, e in MEASURES.items())
+    value = F.col("value")
+    step = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 2)
+    values = rows.select("label", F.expr(f"stack({len(MEASURES)}, {pairs}) as (measure, value)"))
+    counts = values.select("label", "measure", F.when(value > 0, F.ceil(value / step) * step).otherwise(0.0).alias("value")).groupBy("label", "measure", "value").agg(F.count("*").alias("n"))
+    held: dict[tuple, list[tuple[float, int]]] = {}
+    for row in counts.collect():  # 900 values for each power of ten, measure and label at most
+        held.setdefault((row.measure, row.label), []).append((row.value, row.n))
     out: dict[str, set[float]] = {m: set() for m in MEASURES}
-    for row in rows.groupBy("label").agg(*(F.percentile_approx(F.expr(e), array, 10000).alias(m) for m, e in MEASURES.items())).collect():
-        for m in MEASURES:
-            out[m].update(row[m] or [])
+    for (m, _), table in held.items():
+        ends = list(accumulate(n for _, n in sorted(table)))
+        out[m].update(sorted(table)[bisect_left(ends, (i + 0.5) / CUTS * ends[-1])][0] for i in range(CUTS))
     return {m: sorted(v) for m, v in out.items()}
 
 
