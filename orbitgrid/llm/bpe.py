@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Iterable
 from functools import cache
 from itertools import chain
 
@@ -39,7 +40,8 @@ CHUNKS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 MAYBE_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Punctuation that PATTERN splits from a word before it.
 MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
-MEMO_ENTRIES = 120_000
+#: Most entries and bytes (of keys and ids) that a generation of a memo takes before the next one begins.
+MEMO_ENTRIES, MEMO_BYTES = 120_000, 16 << 20
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -59,18 +61,23 @@ def of_letters(word: bytes) -> bool:
 
 
 class Memo:
-    """A bounded dict in two generations: what was used lately stays."""
+    """A dict in two generations, bounded by entries and bytes: what was used lately stays."""
 
-    def __init__(self, entries: int = MEMO_ENTRIES):
-        self.entries, self.new, self.old = entries, {}, {}
+    def __init__(self, entries: int = MEMO_ENTRIES, most: int = MEMO_BYTES):
+        self.entries, self.most, self.size, self.new, self.old = entries, most, 0, {}, {}
+
+    def add(self, pairs: Iterable[tuple[bytes, bytes]]) -> None:
+        pairs = list(pairs)
+        self.new.update(pairs)
+        self.size += sum(len(k) + len(v) for k, v in pairs)
 
     def missing(self, keys: set[bytes]) -> list[bytes]:
         """The keys that are in neither generation; the others are in `new` afterwards."""
-        if len(self.new) > self.entries:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.entries or self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
         absent = keys.difference(self.new)
         again = absent.intersection(self.old)
-        self.new.update((k, self.old[k]) for k in again)
+        self.add((k, self.old[k]) for k in again)
         return list(absent - again)
 
 
@@ -207,7 +214,7 @@ class PairIndexEncoder:
         split = [self.words(p) for p in pieces]
         words = list(set(chain.from_iterable(split)))
         ids = dict(zip(words, self.index.encode_words(words), strict=True))
-        self.memo.new.update((p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True))
+        self.memo.add((p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True))
 
     def words(self, piece: bytes) -> list[bytes]:
         """The pre-tokens of a piece; letters, with a mark after them or without, need no pattern."""

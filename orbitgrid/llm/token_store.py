@@ -42,6 +42,8 @@ DICT_SAMPLE, DICT_SAMPLE_BYTES, DICT_BYTES, LEVEL = 2000, 32 << 20, 64 << 10, 1
 PACK_BYTES, PACK_DOCS = 1 << 20, 1024
 
 
+#: Compressed bytes of a shard, which one task sorts, where the data give more shards than the session's shuffle partitions.
+SHARD_BYTES = 128 << 20
 #: Punctuation that may stand in a run after a word and is one pre-token then.
 MARKS = b".,;:!?#*$%&|"
 #: What a file must say for words to be encoded one by one.
@@ -96,9 +98,9 @@ class WordEncoder:
         parts = list(map(self.split, words))
         distinct = list({p for ps in parts if ps for p in ps})
         ids = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
-        self.memo.new.update((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p)
+        self.memo.add((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p)
         other = [w for w, p in zip(words, parts, strict=True) if not p]
-        self.memo.new.update(zip(other, self.library(other), strict=True))
+        self.memo.add(zip(other, self.library(other), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -208,7 +210,8 @@ def write_store(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("frame", T.BinaryType())])
     frames = add_columns(docs.select("doc_id", "text"), [text_bytes()], fields, start, gather=3)
     frames = materialize(frames.select("doc_id", "n_tokens", "frame"), "frames")  # the range sample below reads it again
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    size = frames.agg(F.sum(F.octet_length("frame").cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1, -(-size // SHARD_BYTES))
     ordered = frames.withColumn("tie", F.xxhash64("frame")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     width = np.dtype(kind).itemsize
     schema = pa.schema([
