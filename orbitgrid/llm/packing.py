@@ -16,6 +16,7 @@ those named like its results, which it replaces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from orbitgrid.llm.token_store import word_encoder
 SIZE, END_ID = 2048, 0
 #: Rounds of the fit at most; the fit ends earlier when a round explains less than this share of the histogram.
 ROUNDS, LEAST_GAIN = 120, 2e-4
-#: Patterns looked at in a round of the fit; pieces of an Arrow batch.
-AT_ONCE, AT_MOST = 4096, 500
+#: Patterns looked at in a round of the fit; pieces of an Arrow batch; batches of texts whose words are encoded together.
+AT_ONCE, AT_MOST, GATHER = 4096, 500, 2
 
 PIECES = "doc_id long, piece int, start long, length long, raw binary"
 
@@ -52,8 +53,9 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, path: str |
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "raw"])
 
-        for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        while held := list(islice(batches, GATHER)):
+            rows = pa.Table.from_batches(held)
+            for doc_id, x in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
                 x += end
                 for k, a in enumerate(range(0, len(x), step)):
                     raw = x[a : a + step]
