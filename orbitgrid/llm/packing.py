@@ -257,4 +257,5 @@ def sequences(placed: DataFrame) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut = pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("raw").alias("ids_crc32"))
-    return place(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # written before it is ranked: else two Python workers of a task stand at once
+    return place(materialize(cut, "cut")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
