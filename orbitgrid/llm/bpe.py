@@ -18,7 +18,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -42,6 +43,8 @@ MAYBE_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa
 MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 #: Most entries and bytes (of keys and ids) that a generation of a memo takes before the next one begins.
 MEMO_ENTRIES, MEMO_BYTES = 120_000, 16 << 20
+#: Bytes of the longest piece that is remembered: longer ones hardly come again and would push out the others.
+MEMO_PIECE = 64
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -80,6 +83,20 @@ class Memo:
         self.add((k, self.old[k]) for k in again)
         return list(absent - again)
 
+    @contextmanager
+    def holding(self, keys: set[bytes], learned: Callable[[list[bytes]], list[tuple[bytes, bytes]]]) -> Iterator[dict[bytes, bytes]]:
+        """A dict with all `keys`; those over MEMO_PIECE are forgotten again after."""
+        long = {k for k in keys if len(k) > MEMO_PIECE}
+        absent = self.missing(keys - long)
+        made = learned([*absent, *long])
+        self.add(x for x in made if len(x[0]) <= MEMO_PIECE)
+        self.new.update(x for x in made if len(x[0]) > MEMO_PIECE)
+        try:
+            yield self.new
+        finally:
+            for k in long:
+                self.new.pop(k, None)
+
 
 class PairIndex:
     """Merge ranks of a byte-level BPE vocabulary, applied to many words at once."""
@@ -209,12 +226,12 @@ class PairIndexEncoder:
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.memo = Memo()
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Put the ids of each piece into the memo."""
+    def learned(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each piece with its ids."""
         split = [self.words(p) for p in pieces]
         words = list(set(chain.from_iterable(split)))
         ids = dict(zip(words, self.index.encode_words(words), strict=True))
-        self.memo.add((p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True))
+        return [(p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True)]
 
     def words(self, piece: bytes) -> list[bytes]:
         """The pre-tokens of a piece; letters, with a mark after them or without, need no pattern."""
@@ -238,14 +255,11 @@ class PairIndexEncoder:
                 else:
                     parts.append(chunks(text))
             distinct = set().union(*parts)
-            known = self.memo.new
-            absent = self.memo.missing(distinct)
-            known = self.memo.new
-            for s in self.special.keys() & distinct:
-                known[s] = np.array([self.special[s]], "<i4").tobytes()
-            self.learn([p for p in absent if p not in self.special])
-            get = known.__getitem__
-            out += [b"".join(map(get, p)) for p in parts]
+            with self.memo.holding(distinct, lambda new: self.learned([p for p in new if p not in self.special])) as known:
+                for s in self.special.keys() & distinct:
+                    known[s] = np.array([self.special[s]], "<i4").tobytes()
+                get = known.__getitem__
+                out += [b"".join(map(get, p)) for p in parts]
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -94,22 +94,22 @@ class WordEncoder:
             return None
         return text.lower().encode(), word[len(letters) :]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learned(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each word with its ids."""
         parts = list(map(self.split, words))
         distinct = list({p for ps in parts if ps for p in ps})
         ids = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
-        self.memo.add((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p)
         other = [w for w, p in zip(words, parts, strict=True) if not p]
-        self.memo.add(zip(other, self.library(other), strict=True))
+        return [*((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p), *zip(other, self.library(other), strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for run in sub_batches(texts, 8 << 20):
             words = [t.split() for t in run]
-            self.learn(self.memo.missing(set().union(*words)))
-            get = self.memo.new.__getitem__
-            out += [b"".join(map(get, w)) for w in words]
+            with self.memo.holding(set().union(*words), self.learned) as known:
+                get = known.__getitem__
+                out += [b"".join(map(get, w)) for w in words]
         return out
 
 
