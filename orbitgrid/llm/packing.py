@@ -33,7 +33,7 @@ SIZE, END_ID = 2048, 0
 #: Rounds of the fit at most; the fit ends earlier when a round explains less than this share of the histogram.
 ROUNDS, LEAST_GAIN = 120, 2e-4
 #: Patterns looked at in a round of the fit; pieces of an Arrow batch; batches of texts whose words are encoded together.
-AT_ONCE, AT_MOST, GATHER = 4096, 500, 2
+AT_ONCE, AT_MOST, GATHER = 4096, 500, 3
 
 PIECES = "doc_id long, piece int, start long, length long, raw binary"
 
