@@ -15,7 +15,7 @@ from orbitgrid.functions.text import normalize_status
 
 c = F.col
 DELIVERY = ("mobile_preview", "mobile_high", "desktop_high")
-#: delivery profile -> (review above, fail above)
+#: Delivery profile -> (review above, fail above)
 POLY_LIMITS = {"mobile_preview": (45_000, 50_000), "mobile_high": (130_000, 150_000), "desktop_high": (220_000, 250_000)}
 POLY_DEFAULT = (50_000, 150_000)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from orbitgrid.functions.text import grade_letter, grade_rank
 from orbitgrid.operators.asset_rules import codes, true
@@ -283,6 +287,38 @@ def texture_status_grade(t: DataFrame, expected_color: str = "unknown") -> DataF
     return rows.withColumn("texture_grade", grade)
 
 
+class Checks:
+    """Table function for SQL users: every row's map of checks as rows, its other columns kept.
+
+    `SELECT * FROM checks(TABLE(validated))`, or with the map's name, `checks(TABLE(validated), 'checks')`. Columns
+    of the result are those of the table without the map, then `check` and `status`. A null or empty map gives no rows.
+    """
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, column: AnalyzeArgument | None = None) -> AnalyzeResult:
+        name = "checks" if column is None else column.value
+        if not table.isTable or not isinstance(table.dataType, T.StructType):
+            raise ValueError("the first argument is a table: TABLE(name)")
+        found = [f for f in table.dataType.fields if f.name == name]
+        if not found or not isinstance(found[0].dataType, T.MapType):
+            raise ValueError(f"the table has no map {name!r}")
+        kept = [f for f in table.dataType.fields if f.name != name]
+        clash = {f.name.lower() for f in kept} & {"check", "status"}
+        if clash:
+            raise ValueError(f"the table has columns named like the result: {sorted(clash)}")
+        return AnalyzeResult(schema=T.StructType([*kept, T.StructField("check", T.StringType()), T.StructField("status", found[0].dataType.valueType)]))
+
+    def eval(self, row: Row, column: str = "checks") -> Iterator[tuple]:
+        rest = [v for k, v in row.asDict(False).items() if k != column]
+        for check, status in (row[column] or {}).items():
+            yield (*rest, check, status)
+
+
+def register_checks(spark: SparkSession, name: str = "checks") -> None:
+    """Make the table function known to the session's SQL."""
+    spark.udtf.register(name, F.udtf(Checks))
+
+
 def checks_rows(assets: DataFrame, key: str = "asset_id", checks: str = "checks") -> DataFrame:
     """One row for each check of an asset's check map."""
     return assets.select(key, F.explode(checks).alias("check", "status"))

@@ -236,24 +236,26 @@ def exact_quantiles(values: DataFrame, keys: tuple[str, ...], col: str, shares:
     keys = list(keys)
     counts = materialize(values.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("v")).agg(F.count("*").alias("n")), "counts")
     n, v = F.col("n"), F.col("v")
-    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(n * v) / F.sum("n")).alias("mean"), (F.sum(n * v * v) / F.sum("n")).alias("square"))
+    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(n * v) / F.sum("n")).alias("mean"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(0)
     dealt = counts.join(span, keys).withColumn("block", at)
     w = Window.partitionBy(*keys).orderBy("block")
-    sums = dealt.groupBy(*keys, "block").agg(F.sum("n").alias("b_n"), *(F.max(x).alias(x) for x in ("total", "mean", "square"))).withColumn("before", F.sum("b_n").over(w) - F.col("b_n"))
+    far = v - F.col("mean")
+    sums = dealt.groupBy(*keys, "block").agg(F.sum("n").alias("b_n"), F.sum(n * far * far).alias("b_far"), *(F.max(x).alias(x) for x in ("total", "mean")))
+    sums = sums.withColumns({"before": F.sum("b_n").over(w) - F.col("b_n"), "far": F.sum("b_far").over(Window.partitionBy(*keys))})
     place = lambda q: F.lit(q) * (F.col("total") - 1)  # noqa: E731  of the sorted values, from 0
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares))))
     held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("b_n")))
-    wanted = sums.select(*keys, "block", "before", held.alias("ranks")).filter(F.size("ranks") > 0)
+    wanted = sums.select(*keys, "block", "before", "far", held.alias("ranks")).filter(F.size("ranks") > 0)
     inner = Window.partitionBy(*keys, "block").orderBy("v")
     found = dealt.join(wanted, [*keys, "block"]).withColumn("end", F.col("before") + F.sum("n").over(inner)).withColumn("r", F.explode("ranks")).filter((F.col("r") < F.col("end")) & (F.col("r") >= F.col("end") - n))
-    values_at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"), *(F.max(x).alias(x) for x in ("total", "mean", "square")))  # two ranks a share at most
+    values_at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"), *(F.max(x).alias(x) for x in ("total", "mean", "far")))  # two ranks a share at most
 
     def value(q: float) -> Column:
         low, high = F.try_element_at("m", F.floor(place(q))), F.try_element_at("m", F.ceil(place(q)))
         return low + (high - low) * (place(q) - F.floor(place(q)))
 
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    sd = F.sqrt(F.col("far") / F.col("total"))
     return values_at.select(*keys, "mean", sd.alias("sd"), F.array(*map(value, shares)).alias("q"))
 
 
@@ -369,19 +371,61 @@ def chromatic_components(colors: DataFrame, background: tuple[int, int, int], to
     return out.withColumn("prune", prune)
 
 
-def nearest_point_support(elements: DataFrame, points: DataFrame, radius: float = 0.05) -> DataFrame:
-    """Elements whose nearest cloud point is closer than `radius`, by component: a join over grid cells of that size.
+#: Points of an octree cell above which it is split, and how often a cell of half the radius may be.
+CELL_POINTS, CELL_SPLITS = 4096, 8
 
-    Each element looks into 27 cells; the point side is not multiplied.
+
+def nearest_point_support(elements: DataFrame, points: DataFrame, radius: float = 0.05, most: int = CELL_POINTS, splits: int = CELL_SPLITS) -> DataFrame:
+    """Elements whose nearest cloud point is closer than `radius`, by component, over an octree of the cloud.
+
+    Cells of half the radius are the octree's roots: a point in an element's own cell is close enough, which takes
+    no points at all. Other elements look at the occupied cells within reach: a cell that lies inside their ball is
+    enough, one with up to `most` points is looked into, and a denser one is split into octants and its children
+    taken in its place. So no element meets more than `most` points of a cell, but for points that `splits` splits
+    do not part.
     """
-    cell = lambda a: F.floor(F.col(a) / radius)
-    steps = F.array(*map(F.lit, (-1, 0, 1)))
-    around = elements
-    for a in "xyz":
-        around = around.withColumn("__d", F.explode(steps)).withColumn(f"c{a}", cell(a) + F.col("__d")).drop("__d")
-    cloud = points.select("job", *(F.col(a).alias(f"p{a}") for a in "xyz"), *(cell(a).alias(f"c{a}") for a in "xyz"))
-    near = around.join(cloud, ["job", "cx", "cy", "cz"]).filter(sum((F.col(a) - F.col(f"p{a}")) ** 2 for a in "xyz") < radius * radius)
-    hit = near.select("job", "element").distinct().withColumn("hit", F.lit(1))
+    axes, side, job = "xyz", radius / 2, ["job"]
+    fine = lambda a: F.floor(F.col(a) / (side / 2**splits)).cast("long")
+    at = lambda level: {f"c{a}": F.shiftright(f"g{a}", splits - level) for a in axes}
+    cells = [f"c{a}" for a in axes]
+    own = elements.select("job", "element", *axes, *(fine(a).alias(f"g{a}") for a in axes))
+    cloud = points.select("job", *(F.col(a).alias(f"p{a}") for a in axes), *(fine(a).alias(f"g{a}") for a in axes))
+    count = lambda rows, level: rows.select("job", *(v.alias(k) for k, v in at(level).items())).groupBy("job", *cells).agg(F.count("*").alias("n"))
+    roots = materialize(count(cloud, 0), "cells")
+    placed = own.select("job", "element", *axes, *(v.alias(k) for k, v in at(0).items()))
+    hits = [placed.join(roots, job + cells, "left_semi").select("job", "element")]
+    around = placed.join(roots, job + cells, "left_anti")
+    for a in axes:
+        around = around.withColumn("__d", F.explode(F.array(*map(F.lit, range(-2, 3))))).withColumn(f"c{a}", F.col(f"c{a}") + F.col("__d")).drop("__d")
+    square = radius * radius
+
+    def reach(size: float) -> tuple[Column, Column]:
+        """Squared distances from an element to the nearest and farthest place of a cell."""
+        low = {a: F.col(f"c{a}") * size for a in axes}
+        gap = sum(F.greatest(low[a] - F.col(a), F.col(a) - low[a] - size, F.lit(0.0)) ** 2 for a in axes)
+        return gap, sum(F.greatest(F.col(a) - low[a], low[a] + size - F.col(a)) ** 2 for a in axes)
+
+    asked = around.filter(reach(side)[0] < square * (1 + 1e-9)).join(roots, job + cells)
+    for level in range(splits + 1):
+        gap, far = reach(side / 2**level)
+        near = asked.filter(gap < square * (1 + 1e-9)).withColumn("sure", far < square * (1 - 1e-9))
+        hits.append(near.filter("sure").select("job", "element"))
+        dense = (F.col("n") > most) & F.lit(level < splits)
+        inside = near.filter(~F.col("sure") & ~dense).join(cloud.select("job", *(f"p{a}" for a in axes), *(v.alias(k) for k, v in at(level).items())), job + cells)
+        hits.append(inside.filter(sum((F.col(a) - F.col(f"p{a}")) ** 2 for a in axes) < square).select("job", "element"))
+        if level == splits or roots.filter(dense).isEmpty():
+            break
+        # an element that a cell inside its ball has settled asks no further
+        parents = materialize(near.filter(~F.col("sure") & dense).select("job", "element", *axes, *cells).join(hits[-2], ["job", "element"], "left_anti"), "parents")
+        split = roots.filter(dense).select("job", *cells)
+        members = cloud.select("job", *(f"g{a}" for a in axes), *(v.alias(k) for k, v in at(level).items())).join(split, job + cells, "left_semi")
+        roots = materialize(count(members, level + 1), "octants")
+        children = roots.select("job", "n", *(F.col(k).alias(f"k{k}") for k in cells), *(F.shiftright(k, 1).alias(k) for k in cells))
+        asked = parents.join(children, job + cells).select("job", "element", *axes, *(F.col(f"k{k}").alias(k) for k in cells), "n")
+    hit = hits[0]
+    for more in hits[1:]:
+        hit = hit.unionByName(more)
+    hit = hit.distinct().withColumn("hit", F.lit(1))
     return elements.join(hit, ["job", "element"], "left").groupBy("job", "component").agg(F.count("hit").alias("supported"), F.count("*").alias("total")).withColumn("ratio", F.col("supported") / F.col("total"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitgrid.functions.geometry import quat_camera_center
@@ -172,11 +172,62 @@ DEVICES = (
 )
 
 
-def device_db_match(frames: DataFrame, devices=DEVICES) -> DataFrame:
-    """Frames (make, model, focal_mm) with the camera model of the first device row that fits."""
-    make, model = F.lower(F.coalesce("make", F.lit(""))), F.lower(F.coalesce("model", F.lit("")))
-    fits = [F.when(make.contains(mk) & model.contains(md) & c("focal_mm").between(lo, hi), F.lit(cm)) for mk, md, lo, hi, cm in devices]
-    return frames.withColumn("device_model", F.when(c("focal_mm") > 0, F.coalesce(*fits)))
+#: Letters of a gram of the device index, bins of a doubling of the focal length, and the doublings that have bins of their own.
+GRAM, FOCAL_BINS, FOCAL_RANGE = 3, 2, (-4, 20)
+DEVICE = "row_no int, make string, model string, focal_min double, focal_max double, camera_model string"
+
+
+def device_table(spark: SparkSession, devices=DEVICES) -> DataFrame:
+    """A device table (row_no, make, model, focal_min, focal_max, camera_model) from tuples in order."""
+    return spark.createDataFrame([(i, *d) for i, d in enumerate(devices)], DEVICE)
+
+
+def focal_bin(focal: Column) -> Column:
+    low, high = FOCAL_RANGE
+    return F.floor(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.log2(F.greatest(focal, F.lit(2.0**low))))) * FOCAL_BINS).cast("int")
+
+
+def of_kind(kind: str, grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
+
+
+def grams_of(text: Column, most: int = GRAM) -> Column:
+    """All distinct substrings of up to `most` letters, and the empty one."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(at(n) for n in range(1, most + 1))))
+
+
+def device_index(devices: DataFrame) -> DataFrame:
+    """Device rows by (kind, gram, bin): under the rarest gram of their make or model part, once for each bin of their focal range.
+
+    A part shorter than a gram stands under itself; a row with two empty parts under the empty gram of makes.
+    """
+    d = devices.withColumns({"make": F.coalesce("make", F.lit("")), "model": F.coalesce("model", F.lit(""))})
+    own = lambda x: F.when(F.length(x) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substring(x, i, F.lit(GRAM)))).otherwise(F.array(c(x)))
+    places = F.array_distinct(F.concat(*(of_kind(x, own(x)) for x in ("make", "model"))))
+    held = d.select("*", F.explode(places).alias("p")).select("*", "p.*").drop("p")
+    common = held.groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    # the longest gram, of those the rarest: a row stands in one list only
+    rare = F.struct((-F.length("gram")).alias("l"), "n", "kind", "gram")
+    picked = held.join(common, ["kind", "gram"]).groupBy("row_no").agg(F.min(rare).alias("p")).select("row_no", "p.kind", "p.gram")
+    return d.join(picked, "row_no").withColumn("bin", F.explode(F.sequence(focal_bin(c("focal_min")), focal_bin(c("focal_max"))))).filter("focal_max >= focal_min")
+
+
+def device_db_match(frames: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """Frames (make, model, focal_mm) with the camera model of the first row of a device table that fits.
+
+    A row fits if its make and model are part of the frame's, in lower case, and the focal length is within
+    its bounds. Distinct combinations of frames meet the device index (`device_index`) by gram and focal bin, an
+    equi-join at any size of the table. Frames without focal length have none.
+    """
+    index = device_index(device_table(frames.sparkSession) if devices is None else devices)
+    key = {"__mk": F.lower(F.coalesce("make", F.lit(""))), "__md": F.lower(F.coalesce("model", F.lit(""))), "__f": c("focal_mm").cast("double")}
+    rows = frames.drop("device_model").withColumns(key)
+    kinds = F.concat(of_kind("make", grams_of(c("__mk"))), of_kind("model", grams_of(c("__md"))))
+    asked = rows.filter("__f > 0").select("__mk", "__md", "__f").distinct().select("*", focal_bin(c("__f")).alias("bin"), F.explode(kinds).alias("p")).select("*", "p.*").drop("p")
+    near = asked.join(index, ["kind", "gram", "bin"]).filter(c("__mk").contains(c("make")) & c("__md").contains(c("model")) & c("__f").between(c("focal_min"), c("focal_max")))
+    first = near.groupBy("__mk", "__md", "__f").agg(F.min_by("camera_model", "row_no").alias("device_model"))
+    return rows.join(first, list(key), "left").drop(*key)
 
 
 def camera_model_vote(frames: DataFrame, samples: int = 8, fallback: str = "RADIAL", mixed: float = 30.0) -> DataFrame:
@@ -293,13 +344,18 @@ def fallback_next(sessions: DataFrame, ladder: tuple[str, ...] = LADDER) -> Data
 
 
 def stage_progress(history: DataFrame, now: Column, timeout_hours: float = 2.0) -> DataFrame:
-    """Each session's last status, seconds since its last step, longest stage and whether it is stalled (processing states only)."""
+    """Each stage of each session: how often it was entered, its seconds until the next step in all and at most, and, for the session's last stage, seconds since its last step and whether it is stalled (processing states only).
+
+    A stage that no step follows is open: its own time is not in `duration_s` (null if that is all).
+    """
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    seconds = lambda a, b: F.unix_micros(a.cast("timestamp")) / 1e6 - F.unix_micros(b.cast("timestamp")) / 1e6
-    rows = history.withColumn("stage_s", seconds(c("ts"), F.lag("ts").over(w)))
-    out = rows.groupBy("session_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("last_at"), F.max("stage_s").alias("longest_stage_s"))
-    out = out.withColumn("stale_s", seconds(now, c("last_at")))
-    return out.withColumn("stalled", c("status").isin(*PROCESSING) & (c("stale_s") > timeout_hours * 3600)).drop("last_at")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    micros = lambda x: F.unix_micros(x.cast("timestamp"))
+    rows = history.withColumns({"us": micros(F.lead("ts").over(w)) - micros(c("ts")), "last": F.last("status").over(whole), "last_at": F.last("ts").over(whole)})
+    out = rows.groupBy("session_id", c("status").alias("stage")).agg(F.count("*").alias("steps"), F.sum("us").alias("us"), F.max("us").alias("most"), F.max("last").alias("last"), F.max("last_at").alias("last_at"))
+    current = c("stage").eqNullSafe(c("last"))
+    out = out.withColumns({"duration_s": c("us") / 1e6, "longest_s": c("most") / 1e6, "current": current, "stale_s": F.when(current, (micros(now) - micros(c("last_at"))) / 1e6)})
+    return out.withColumn("stalled", current & c("stage").isin(*PROCESSING) & (c("stale_s") > timeout_hours * 3600)).drop("us", "most", "last", "last_at")
 
 
 def fixture_union(*fixtures: DataFrame) -> DataFrame:

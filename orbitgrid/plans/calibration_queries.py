@@ -176,4 +176,5 @@ def _(t):
 def _(t):
     from orbitgrid.operators.asset_rules import asset_validation
 
-    return op.checks_rows(asset_validation(t.graded_assets))
+    op.register_checks(t.spark)
+    return t.spark.sql("SELECT * FROM checks(TABLE(SELECT asset_id, checks FROM {validated}))", validated=asset_validation(t.graded_assets))

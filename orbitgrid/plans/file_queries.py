@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from orbitgrid.plans.registry import query
 from orbitgrid.sources import files as src
+from orbitgrid.sources import ranges
 from orbitgrid.sources.checkpoints import shared_folder
 
 c = F.col
@@ -92,7 +93,7 @@ def _(t):
 @query("log_tail", "SELECT CASE WHEN k % 4 = 0 THEN 'plain ' ELSE 'm' END || event_id AS message FROM events_k ORDER BY event_id DESC LIMIT 50")
 def _(t):
     ordered = t.events_k.repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.expr(LINE).alias("value"))  # log files in the order of their names
-    return src.log_tail(src.scan_log_lines(t.spark, written(t, ordered)), 50).select("message")
+    return ranges.tail_log(t.spark, written(t, ordered), 50, pattern="*.txt").select("message")
 
 
 @query("scan_evidence", "WITH p AS (SELECT asset_id // 1000 AS job, sum(m)::bigint % 7 AS m FROM assets GROUP BY 1) SELECT CASE m WHEN 0 THEN 'unknown' WHEN 1 THEN 'production_ready' ELSE 'failed' END AS status, count(*) AS jobs, sum(m)::bigint AS dense FROM p WHERE m <> 6 GROUP BY 1")

@@ -239,8 +239,13 @@ def _(t):
     return op.fallback_next(t.events_k.select("event_id", used.alias("used"), error.alias("error"))).select("event_id", "preset", "trigger")
 
 
-@query("stage_progress", """WITH h AS (SELECT *, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER w) / 1e6 AS st FROM history WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)), g AS (SELECT session_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS l, max(st) AS longest FROM h GROUP BY 1)
-SELECT session_id, status, round(longest, 3) AS longest_stage_s, round(epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6, 3) AS stale_s, status IN ('created', 'captured', 'reconstructed', 'cleaned', 'exported', 'validated') AND epoch_us(timestamp '2024-02-01 00:00:00') / 1e6 - epoch_us(l) / 1e6 > 7200 AS stalled FROM g""", digits=3)
+NOW = "epoch_us(timestamp '2024-02-01 00:00:00')"
+
+
+@query("stage_progress", f"""WITH h AS (SELECT *, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us, last_value(status) OVER f AS ls, last_value(ts) OVER f AS lt FROM history
+  WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id), f AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT session_id, status AS stage, count(*) AS steps, round(sum(us) / 1e6, 3) AS duration_s, round(max(us) / 1e6, 3) AS longest_s, status = any_value(ls) AS current, ({NOW} - epoch_us(any_value(lt))) / 1e6 AS age FROM h GROUP BY session_id, status)
+SELECT session_id, stage, steps, duration_s, longest_s, current, CASE WHEN current THEN round(age, 3) END AS stale_s, current AND stage IN ('created', 'captured', 'reconstructed', 'cleaned', 'exported', 'validated') AND age > 7200 AS stalled FROM g""", digits=3)
 def _(t):
     return op.stage_progress(t.history, F.lit("2024-02-01 00:00:00").cast("timestamp"))
 

@@ -130,7 +130,7 @@ s AS (SELECT session_id, i, event_id, ts, status, status AS now, 'ok' AS verdict
 CASE WHEN (s.now, o.status) IN ({PAIRS}) THEN 'ok' WHEN s.now NOT IN ({GOING}) THEN 'after_terminal' ELSE 'illegal_from_' || s.now END FROM s JOIN o ON o.session_id = s.session_id AND o.i = s.i + 1) SELECT session_id, event_id, ts, status, verdict FROM s""")
 def _(t):
     status = F.when(c("event_type") == "signup", "created").when(c("event_type") == "view", "captured").when(c("event_type") == "click", "reconstructed").when(c("event_type") == "purchase", "validated").otherwise("failed")
-    return streams.run_available(streams.lifecycle(events(t).select("session_id", "event_id", "ts", status.alias("status"))))
+    return streams.run_available(streams.lifecycle(events(t).select("session_id", "event_id", "ts", status.alias("status"))), idle=False)
 
 
 @query("stream_timeout", """WITH s AS (SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'captured' WHEN 'click' THEN 'reconstructed' WHEN 'purchase' THEN 'validated' ELSE 'failed' END AS status FROM events),
@@ -142,16 +142,20 @@ def _(t):
 
 @query("stream_retry", "SELECT user_id AS session_id, event_id, n AS count, n > 3 AS escalated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')")
 def _(t):
-    return streams.run_available(streams.retries(events(t).filter("event_type = 'error'").select("session_id", "event_id", "ts")))
+    return streams.run_available(streams.retries(events(t).filter("event_type = 'error'").select("session_id", "event_id", "ts")), idle=False)
 
 
-@query("stream_adaptive_sampling", f"WITH RECURSIVE {SAMPLING} SELECT session_id, event_id, verdict FROM s")
+#: Frames that the watermark has passed when all events are in.
+PASSED = "SELECT session_id, event_id, verdict FROM s WHERE event_id IN (SELECT event_id FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events))"
+
+
+@query("stream_adaptive_sampling", f"WITH RECURSIVE {SAMPLING} {PASSED}")
 def _(t):
     out = streams.adaptive_sampling(featured(framed(t)).select("session_id", "event_id", "ts", "flow", "sharp", "bx", "box_y", "bw", "bh"))
     return streams.run_available(out.select("session_id", "event_id", "verdict"))
 
 
-@query("stream_redundancy", f"WITH RECURSIVE {KEEP_LAST} SELECT session_id, event_id, verdict FROM s")
+@query("stream_redundancy", f"WITH RECURSIVE {KEEP_LAST} {PASSED}")
 def _(t):
     out = streams.redundancy(featured(framed(t)).select("session_id", "event_id", "ts", "hist", "bx", "box_y", "bw", "bh"))
     return streams.run_available(out.select("session_id", "event_id", "verdict"))
@@ -189,17 +193,20 @@ def _(t):
 
 @query("stream_intrinsics", "SELECT 'k' || k AS cache_key, count(*) AS use_count, min(ts) AS first_seen, max(ts) AS last_used FROM events_k GROUP BY 1")
 def _(t):
-    return streams.run_complete(streams.key_usage(events(t).select(F.concat(F.lit("k"), c("k").cast("string")).alias("cache_key"), "ts")))
+    usage = streams.key_usage(events(t).select(F.concat(F.lit("k"), c("k").cast("string")).alias("cache_key"), "ts"))
+    folder = shared_folder(t.spark, "usage")
+    streams.upsert_latest(usage, folder, key="cache_key", order="use_count", mode="update")
+    return streams.read_latest(t.spark, folder, usage.schema)
 
 
 NAMES = "CASE asset_id % 5 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'run.log' WHEN 2 THEN 'x.png' WHEN 3 THEN 'manifest.json' ELSE 'guidance_summary.md' END"
-FILES = f"SELECT concat('f', cast(asset_id AS string)) AS folder, CASE WHEN asset_id % 2 = 0 THEN 'raw' ELSE 'scratch' END AS kind, asset_id AS owner, {NAMES} AS name, created_at AS mtime FROM assets"
+FILES = f"SELECT concat('f', cast(asset_id AS string)) AS folder, CASE WHEN asset_id % 2 = 0 THEN 'raw' WHEN asset_id % 5 = 1 THEN 'job' ELSE 'scratch' END AS kind, asset_id AS owner, {NAMES} AS name, created_at AS mtime FROM assets"
 OWNERS = "SELECT asset_id AS owner, CASE asset_id % 7 WHEN 0 THEN 'published' WHEN 1 THEN 'validated' WHEN 2 THEN 'failed' WHEN 3 THEN 'captured' WHEN 4 THEN 'recapture_required' ELSE 'cleaned' END AS status, CASE WHEN asset_id % 3 = 0 THEN 'draft' END AS publish_state, CASE WHEN asset_id % 4 = 0 THEN created_at END AS last_progress FROM assets WHERE asset_id % 11 > 0"
 
 
 @query("retention_plan", f"""WITH f AS ({FILES}), o AS ({OWNERS}), j AS (SELECT f.*, status, publish_state, (epoch_us(timestamp '1996-06-01') - epoch_us(mtime)) / 3.6e9 AS age, name LIKE '%.log' OR name LIKE '%.json' OR name = 'guidance_summary.md' AS pr FROM f LEFT JOIN o USING (owner)),
-l AS (SELECT *, CASE WHEN kind = 'raw' THEN CASE WHEN status = 'published' THEN 72 WHEN status = 'validated' AND publish_state = 'draft' THEN 168 WHEN status IN ('failed', 'recapture_required') THEN 336 END WHEN status IS NULL THEN 24 ELSE 48 END::double AS lim FROM j)
-SELECT folder, CASE WHEN age > lim AND NOT pr THEN 'prune' ELSE 'keep' END AS action, CASE WHEN kind = 'raw' AND lim IS NULL THEN 'active_session' WHEN age <= lim THEN 'recent' WHEN pr THEN 'protected_files' WHEN kind = 'raw' THEN 'status=' || status WHEN status IS NULL THEN 'orphan' ELSE 'old_scratch' END AS reason, R[age] AS age_hours, R[lim] AS limit_hours FROM l""")
+l AS (SELECT *, CASE WHEN kind = 'raw' THEN CASE WHEN status = 'published' THEN 72 WHEN status = 'validated' AND publish_state = 'draft' THEN 168 WHEN status IN ('failed', 'recapture_required') THEN 336 END WHEN kind = 'job' THEN 336 WHEN status IS NULL THEN 24 ELSE 48 END::double AS lim FROM j)
+SELECT folder, CASE WHEN age > lim AND (NOT pr OR kind = 'job') THEN 'prune' ELSE 'keep' END AS action, CASE WHEN kind = 'raw' AND lim IS NULL THEN 'active_session' WHEN age <= lim THEN 'recent' WHEN kind = 'job' THEN 'old_job' WHEN pr THEN 'protected_files' WHEN kind = 'raw' THEN 'status=' || status WHEN status IS NULL THEN 'orphan' ELSE 'old_scratch' END AS reason, R[age] AS age_hours, R[lim] AS limit_hours FROM l""")
 def _(t):
     run = lambda sql: t.spark.sql(sql.replace("FROM assets", "FROM {a}"), a=t.assets)
     return retention_plan(run(FILES), run(OWNERS), F.lit("1996-06-01").cast("timestamp"))

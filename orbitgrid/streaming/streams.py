@@ -16,43 +16,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from orbitgrid.operators.folds import lifecycle_step, redundancy_step, retry_step, sampling_step, stream_fold
+from orbitgrid.operators.folds import lifecycle_step, redundancy_step, retry_step, sampling_step
 from orbitgrid.operators.registry import PROCESSING, TRANSITIONS
 from orbitgrid.sources.checkpoints import shared_folder
+from orbitgrid.streaming.keyed import arrival_fold, ordered_fold, with_rocksdb
 
 c = F.col
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet file, or a folder of them, as a stream. A pattern, for the source takes a plain path for a folder."""
+    path = path.rstrip("/")
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All results of a stream over its present input."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None, idle: bool = True) -> DataFrame:
+    """All results of a stream over its present input; a run with the `folder` of an earlier one goes on from there.
+
+    `idle`: whether a batch without rows follows, in which the watermark moves on; folds with TTL would ask for
+    such batches without end.
+    """
+    spark = stream.sparkSession
+    out = folder or shared_folder(spark, "stream")
+    with with_rocksdb(spark, idle):
+        query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def lifecycle(events: DataFrame, transitions: dict = TRANSITIONS) -> DataFrame:
-    """Each status event (session_id, event_id, ts, status) with `verdict`: ok, an illegal step, or after a terminal state."""
-    return stream_fold(events, "session_id", ["ts", "event_id"], lifecycle_step(transitions))
+def lifecycle(events: DataFrame, transitions: dict = TRANSITIONS, ttl_hours: float | None = 24 * 60) -> DataFrame:
+    """Each status event (session_id, event_id, ts, status) with `verdict`: ok, an illegal step, or after a terminal state.
+
+    A session without events for `ttl_hours` of processing time is forgotten.
+    """
+    return arrival_fold(events, "session_id", ["ts", "event_id"], lifecycle_step(transitions), "status string", ttl_hours=ttl_hours)
 
 
-def retries(errors: DataFrame, limit: int = 3) -> DataFrame:
-    """Each recoverable error with its count and whether it is escalated."""
-    out = stream_fold(errors, "session_id", ["ts", "event_id"], retry_step(limit))
+def retries(errors: DataFrame, limit: int = 3, ttl_hours: float | None = 24 * 60) -> DataFrame:
+    """Each recoverable error with its count and whether it is escalated; a session without errors for `ttl_hours` of processing time is forgotten."""
+    out = arrival_fold(errors, "session_id", ["ts", "event_id"], retry_step(limit), "n long", ttl_hours=ttl_hours)
     return out.select("session_id", "event_id", F.substring_index("verdict", ":", 1).cast("long").alias("count"), (F.substring_index("verdict", ":", -1) == "escalated").alias("escalated"))
 
 
-def adaptive_sampling(frames: DataFrame, **thresholds: float) -> DataFrame:
-    return stream_fold(frames, "session_id", ["ts", "event_id"], sampling_step(**thresholds))
+def adaptive_sampling(frames: DataFrame, delay: str = "10 minutes", **thresholds: float) -> DataFrame:
+    """Frames with their sampling verdict in order of event time, once the watermark has passed them."""
+    return ordered_fold(frames, "session_id", ["ts", "event_id"], sampling_step(**thresholds), "box array<double>, since long", delay=delay)
 
 
-def redundancy(frames: DataFrame, **thresholds: float) -> DataFrame:
-    return stream_fold(frames, "session_id", ["ts", "event_id"], redundancy_step(**thresholds))
+def redundancy(frames: DataFrame, delay: str = "10 minutes", **thresholds: float) -> DataFrame:
+    """Frames compared with the last kept one in order of event time, once the watermark has passed them."""
+    return ordered_fold(frames, "session_id", ["ts", "event_id"], redundancy_step(**thresholds), "hist array<double>, box array<double>, kept long", delay=delay)
 
 
 def timeouts(events: DataFrame, hours: float = 2.0, delay: str = "0 seconds") -> DataFrame:
@@ -123,12 +136,41 @@ def _read_buckets(spark: SparkSession, folder: str, schema: T.StructType, at: di
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def upsert_latest(stream: DataFrame, folder: str, key: str = "session_id", order: str = "seq", buckets: int = 64) -> None:
+def vacuum(spark: SparkSession, folder: str, keep: int = 10) -> int:
+    """Delete what only versions before the last `keep` name; returns how many folders went.
+
+    A reader that began with one of the last `keep` versions still finds all its buckets.
+    """
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = _versions(spark, folder)
+    kept = versions[-keep:]
+    if len(versions) <= keep:
+        return 0
+    tables = spark.read.schema("bucket int, version long").parquet(*(f"{folder}/buckets/v{v}" for v in kept)).distinct().collect()  # buckets x keep at most
+    used, gone = {(r.version, r.bucket) for r in tables}, 0
+    for status in system.globStatus(jvm.Path(f"{folder}/data/v*/bucket=*")) or []:
+        path = status.getPath()
+        at = int(path.getParent().getName()[1:]), int(path.getName().split("=")[1])
+        if at not in used and at[0] < kept[-1]:
+            gone += bool(system.delete(path, True))
+    held = {v for v, _ in used}
+    for v in versions[:-keep]:
+        gone += bool(system.delete(jvm.Path(f"{folder}/buckets/v{v}"), True))
+    for status in system.globStatus(jvm.Path(f"{folder}/data/v*")) or []:
+        v = int(status.getPath().getName()[1:])
+        if v not in held and v < kept[0]:
+            gone += bool(system.delete(status.getPath(), True))
+    return gone
+
+
+def upsert_latest(stream: DataFrame, folder: str, key: str = "session_id", order: str = "seq", buckets: int = 64, mode: str = "append", keep: int = 10) -> None:
     """Keep the newest row of each key in `folder`: a micro-batch rewrites only the buckets that its keys fall in.
 
     Each version is a folder with the buckets that it touched and a small table that names the version of
     every bucket. It is read after it is complete, so a repeated micro-batch, which starts from the version
-    before it, doubles nothing, and a stopped stream goes on from its last version.
+    before it, doubles nothing, and a stopped stream goes on from its last version. Every `keep` micro-batches,
+    what the last `keep` versions do not name is deleted (`vacuum`), so storage does not grow with the batches.
     """
     schema = stream.schema
     others = [f.name for f in schema.fields if f.name != key]
@@ -144,8 +186,10 @@ def upsert_latest(stream: DataFrame, folder: str, key: str = "session_id", order
         newest.select("bucket", *schema.names).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/v{epoch}")
         spark.createDataFrame(list((at | dict.fromkeys(touched, epoch)).items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets/v{epoch}")
         new.unpersist()
+        if epoch % keep == keep - 1:
+            vacuum(spark, folder, keep)
 
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -155,19 +199,5 @@ def read_latest(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
 
 
 def key_usage(lookups: DataFrame, key: str = "cache_key") -> DataFrame:
-    """Uses, first and last time of each key, updated as lookups arrive (complete or update mode)."""
+    """Uses, first and last time of each key, updated as lookups arrive: in update mode, a micro-batch gives the keys that it touched (`upsert_latest` by use_count keeps them)."""
     return lookups.groupBy(key).agg(F.count("*").alias("use_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_used"))
-
-
-def run_complete(stream: DataFrame) -> DataFrame:
-    """The final table of an aggregate in complete mode; each micro-batch replaces the one before."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    written: list[int] = []
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v{epoch}")
-        written.append(epoch)
-
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{out}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/v{max(written)}") if written else spark.createDataFrame([], stream.schema)
