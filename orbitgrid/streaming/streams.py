@@ -8,6 +8,7 @@ watermark are dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,14 +31,15 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None, idle: bool = True) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """All results of a stream over its present input; a run with the `folder` of an earlier one goes on from there.
 
-    `idle`: whether a batch without rows follows, in which the watermark moves on; folds with TTL would ask for
-    such batches without end.
+    A batch without rows follows, in which the watermark moves on, but for folds in processing time: they would
+    ask for such batches without end.
     """
     spark = stream.sparkSession
     out = folder or shared_folder(spark, "stream")
+    idle = not re.search("TransformWithState.*ProcessingTime", stream._jdf.queryExecution().analyzed().toString())
     with with_rocksdb(spark, idle):
         query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination()

@@ -178,9 +178,9 @@ def test_arrival_folds_expire_by_ttl_and_restart(spark, tmp_path):
     make = lambda hours: lambda df: arrival_fold(df, "session_id", ["ts", "event_id"], folds.retry_step(), "n long", ttl_hours=hours)
     for hours, last in ((1 / 3600, "1:retry"), (None, "3:retry"), (24.0, "3:retry")):
         inside, out = str(tmp_path / f"in{hours}"), str(tmp_path / f"out{hours}")
-        streams.run_available(make(hours)(stream_of(spark, inside, [[(1, 1, "2024-01-01 00:00:00"), (1, 2, "2024-01-01 00:00:01")]], schema)), folder=out, idle=False)
+        streams.run_available(make(hours)(stream_of(spark, inside, [[(1, 1, "2024-01-01 00:00:00"), (1, 2, "2024-01-01 00:00:01")]], schema)), folder=out)
         time.sleep(1.5)
-        got = streams.run_available(make(hours)(stream_of(spark, inside, [[(1, 3, "2024-01-01 00:00:02")]], schema)), folder=out, idle=False)
+        got = streams.run_available(make(hours)(stream_of(spark, inside, [[(1, 3, "2024-01-01 00:00:02")]], schema)), folder=out)
         assert dict(rows(got, "event_id", "verdict"))[3] == last
 
 
