@@ -284,7 +284,7 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     def one(rows: DataFrame, *keys: str) -> DataFrame:
         others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
-        least = F.struct(F.xxhash64("text"), "text", F.xxhash64(others), others)
+        least = F.struct(F.sha2(F.col("text").cast("binary"), 256), F.sha2(others.cast("binary"), 256))  # not the text again: it is shuffled
         return rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), least).alias("__row")).select("__row.*")
 
     marked = fingerprints(docs)
