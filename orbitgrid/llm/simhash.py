@@ -279,19 +279,29 @@ def survivors(docs: DataFrame) -> DataFrame:
     An id that is the smallest of several groups, its rows having different texts, stays once for each.
 
     Of rows that share the surviving id and fingerprint, that stays whose text, and then whose other
-    columns, have the smallest hash: whatever the order of rows.
+    columns, have the smallest hash: whatever the order of rows. What stays is decided from ids, fingerprints
+    and hashes alone; texts meet the decisions once, where Spark may broadcast these, and only rows that repeat
+    as a whole are grouped.
     """
-
-    def one(rows: DataFrame, *keys: str) -> DataFrame:
-        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
-        least = F.struct(F.sha2(F.col("text").cast("binary"), 256), F.sha2(others.cast("binary"), 256))  # not the text again: it is shuffled
-        return rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), least).alias("__row")).select("__row.*")
-
-    marked = fingerprints(docs)
-    best = labelled(marked)[1].select(F.col("component_id").alias("__first"), F.col("best").alias("__best"))
-    # only documents of ids that survive are fingerprinted again, to tell rows of one id apart
-    named = best.filter("__first is not null")
-    by_id = docs.join(named, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
-    by_id = with_fingerprint(by_id, out_col="__fp").join(named, (F.col("doc_id").cast("long") == F.col("__first")) & (F.col("__fp") == F.col("__best")))
-    nameless = with_fingerprint(docs.filter("doc_id is null"), out_col="__fp").join(best.filter("__first is null"), F.col("__fp") == F.col("__best"))
-    return one(by_id, "__first", "__fp").unionByName(one(nameless, "__fp"))
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    own = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text")), "__others": F.xxhash64(others)}
+    marked = with_fingerprint(docs.select(*(v.alias(k) for k, v in own.items()), "text"), out_col="__fp")
+    marked = materialize(marked.select(*own, "__fp"), "marked")
+    best = labelled(marked.select(F.col("__id").alias("doc_id"), F.col("__fp").alias("fp")))[1]
+    best = best.select(F.col("component_id").alias("__first"), F.col("best").alias("__best"))
+    rows = marked.join(best, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__fp") == F.col("__best")))
+    rows = rows.groupBy("__id", "__fp", "__text", "__others").agg(F.count("*").alias("__n"))
+    least = rows.groupBy("__id", "__fp").agg(F.min(F.struct("__text", "__others", "__n")).alias("__least"))
+    stay = materialize(least.select("__id", "__least.*"), "stay")
+    once, again = stay.filter("__n = 1").drop("__n"), stay.filter("__n > 1").drop("__n")
+
+    def met(side: DataFrame) -> DataFrame:
+        """Rows of `docs` that are named by `side`, with what names them."""
+        names = {k: f"{k}_named" for k in own}
+        named = side.withColumnsRenamed(names)
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+        return docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(k) for k, v in own.items())).join(named, same, "left_semi")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = met(again).groupBy(*own).agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+    return met(once).select(*columns).unionByName(one)

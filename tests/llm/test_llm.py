@@ -194,6 +194,14 @@ def test_survivors_of_groups_that_share_their_smallest_id(spark):
     assert kept == sorted(rows[:2])
 
 
+def test_survivors_of_rows_that_repeat_as_a_whole(spark):
+    text = "one two three four five six"
+    rows = [(1, text, "a")] * 40 + [(2, text, "a")] * 3 + [(None, text, "b")] * 2 + [(None, "seven eight nine ten", None)] * 5 + [(3, None, "x"), (3, "", "x"), (4, None, "x")]
+    kept = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string, __n string").repartition(7)).collect()
+    assert len(kept) == 3 and (1, text, "a") in map(tuple, kept) and (None, "seven eight nine ten", None) in map(tuple, kept)
+    assert [r.doc_id for r in kept if not r.text] == [3]
+
+
 def test_survivors_do_not_depend_on_the_order_of_rows(spark):
     rows = [(1, "A b c d", "en"), (1, "a b c d", "fr"), (1, "a b c d", "de"), (2, "a b c d", "en"), (None, "x y z w", "en"), (None, "X y z w", "fr"), (None, "x y z w", None)]
     kept = {tuple(sorted(map(str, map(tuple, simhash.survivors(spark.createDataFrame(order, "doc_id long, text string, lang string").coalesce(1)).collect())))) for order in (rows, rows[::-1], rows[2:] + rows[:2])}
