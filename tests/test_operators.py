@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 import struct
 
 import pytest
@@ -193,6 +194,30 @@ def test_view_representatives_are_not_transitive(spark):
     assert rows(got, "frame_idx", "verdict") == [(0, "new_view"), (1, "known_view"), (2, "new_view"), (3, "known_view"), (4, "new_view")]
 
 
+def plain_views(frames):
+    """Indexes of frames that match no earlier representative, by comparing with each of them."""
+    views, fresh = [], []
+    for x in frames:
+        known = any(
+            None not in (x[3], x[4], v[3], v[4]) and math.hypot(v[3] - x[3], v[4] - x[4]) < 0.09 and abs(v[5] - x[5]) < 0.10 and abs(v[6] - x[6]) < 0.18
+            and sum(abs(a - b) for a, b in zip(v[7], x[7], strict=True)) / len(x[7]) < 0.45 and folds.correlation(v[2], x[2]) > 0.92 for v in views
+        )
+        if not known:
+            views.append(x)
+            fresh.append(x[1])
+    return fresh
+
+
+def test_views_by_cells_equal_all_comparisons(spark):
+    rng = random.Random(5)
+    at = lambda: rng.choice([None, float("inf"), -0.09, 0.09 * rng.randint(-3, 3)] + [rng.uniform(-0.4, 0.4)] * 16)
+    items = [(1, i, [rng.random(), 1.0, 2.0], at(), at(), rng.uniform(0, 0.3), rng.uniform(0.9, 1.2), [rng.random()]) for i in range(700)]
+    table = spark.createDataFrame(items, "session_id long, frame_idx long, hist array<double>, cx double, cy double, area double, aspect double, shape array<double>")
+    got = folds.view_dedupe(table).filter("verdict = 'new_view'")
+    want = plain_views(items)
+    assert sorted(r.frame_idx for r in got.collect()) == want and 100 < len(want) < 600
+
+
 def plain_angles(frames, budget):
     known = sorted((x for x in frames if x[1] is not None), key=lambda x: (x[1], x[0]))
     used = []
