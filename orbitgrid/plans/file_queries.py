@@ -18,10 +18,16 @@ def written(t, df, kind="text", label="files", **options):
     return folder
 
 
+def place(key, suffix=".txt", below=""):
+    """Where the file of a key goes: a folder of its own, below one of 256 that are listed side by side."""
+    key = F.coalesce(key, F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return F.concat(F.lit(below), F.pmod(F.xxhash64(key), F.lit(256)).cast("string"), F.lit("/key="), key, F.lit(f"/data{suffix}"))
+
+
 def documents(t, df, label):
-    """Write one file for each row: `df` (key, value) partitioned by key."""
+    """Write one file for each row of `df` (key, value)."""
     folder = shared_folder(t.spark, label)
-    df.repartition("key").write.partitionBy("key").text(folder)
+    src.write_files(df.select(place(c("key").cast("string")).alias("path"), "value"), folder)
     return folder
 
 
@@ -56,9 +62,9 @@ def _(t):
     entry = F.map_from_entries(F.collect_list(F.struct(c("asset_id").cast("string"), info)))
     logs = F.collect_list(F.struct(c("asset_id").cast("string").alias("asset_id"), c("created_at").alias("timestamp"), F.lit("registered").alias("action")))
     docs = rows.groupBy("product_id").agg(F.to_json(F.struct(entry.alias("assets"), logs.alias("audit_logs"))).alias("value"), F.max("asset_id").cast("string").alias("active"))
-    folder = shared_folder(t.spark, "registry")
-    docs.select(c("product_id").alias("key"), "value").write.partitionBy("key").text(f"{folder}/meta")
-    docs.select(c("product_id").alias("key"), c("active").alias("value")).write.partitionBy("key").text(f"{folder}/active")
+    folder, key = shared_folder(t.spark, "registry"), c("product_id").cast("string")
+    both = F.array(F.struct(place(key, below="meta/").alias("path"), "value"), F.struct(place(key, below="active/").alias("path"), c("active").alias("value")))
+    src.write_files(docs.select(F.inline(both)), folder)
     assets, audit, active = src.scan_registry(t.spark, folder, "*.txt", key_of())
     out = assets.join(active, "product_id").join(audit.groupBy("product_id", "asset_id").agg(F.count("*").alias("logs")), ["product_id", "asset_id"])
     return out.select("product_id", "asset_id", "version", "is_approved", (c("asset_id") == c("active_id")).alias("is_active"), "logs")
@@ -148,10 +154,10 @@ def _(t):
     lines = F.concat_ws("\n", F.collect_list(F.concat_ws(" ", F.lit("v"), c("x").cast("string"), c("y").cast("string"), c("z").cast("string"))), F.lit("vn 0 0 1\nf 1 2 3\nf 2 3 4"))
     ply = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.count("*").cast("string"), F.lit("\nproperty float x\nelement face 7\nend_header\n0 0 0"))
     docs = t.vertices.groupBy("mesh").agg(lines.alias("obj"), ply.alias("ply"))
-    folder = shared_folder(t.spark, "meshes")
-    docs.select(c("mesh").alias("key"), c("obj").alias("value")).write.partitionBy("key").text(f"{folder}/obj")
-    docs.select(F.concat(c("mesh").cast("string"), F.lit("p")).alias("key"), c("ply").alias("value")).write.partitionBy("key").option("compression", "none").text(f"{folder}/ply")
-    counts = src.mesh_text_counts(t.spark, f"{folder}/obj", "*.txt", "*.none").unionByName(src.mesh_text_counts(t.spark, f"{folder}/ply", "*.none", "*.txt"))
+    folder, key = shared_folder(t.spark, "meshes"), c("mesh").cast("string")
+    both = F.array(F.struct(place(key, ".obj").alias("path"), c("obj").alias("value")), F.struct(place(F.concat(key, F.lit("p")), ".ply").alias("path"), c("ply").alias("value")))
+    src.write_files(docs.select(F.inline(both)), folder)
+    counts = src.mesh_text_counts(t.spark, folder)
     return counts.select(key_of("file").alias("mesh"), "vertices", "faces")
 
 

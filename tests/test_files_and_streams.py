@@ -303,3 +303,20 @@ def test_checks_table_function(spark):
     assert rows(spark.sql("SELECT * FROM checks(TABLE({t}), 'checks')", t=table), "asset_id", "check", "status") == rows(calibration.checks_rows(table))
     with pytest.raises(Exception, match="no map"):
         spark.sql("SELECT * FROM checks(TABLE({t}), 'kind')", t=table).collect()
+
+
+def test_small_files_are_written_by_their_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.col("id") % 7, F.lit("/key="), F.col("id"), F.lit("/data.txt")).alias("path"), F.when(F.col("id") > 0, F.concat(F.lit("é"), F.col("id"))).alias("value"))
+    want = {f"{i % 7}/key={i}/data.txt": f"é{i}\n" if i else "\n" for i in range(300)}
+    for _ in range(2):  # a task that runs again writes the same
+        files.write_files(rows.coalesce(1), str(tmp_path))
+        assert {str(p.relative_to(tmp_path)): p.read_text("utf-8") for p in tmp_path.rglob("*") if p.is_file()} == want
+    read = spark.read.option("recursiveFileLookup", True).text(str(tmp_path))
+    assert read.count() == 300 and files.scan_file_inventory(spark, f"file:{tmp_path}", "*.txt").count() == 300
+
+
+def test_folders_of_registry_pointers_may_nest(spark, tmp_path):
+    rows = [("meta/0/key=1/data.txt", '{"assets": {"a": {"is_approved": true}}, "audit_logs": []}'), ("active/3/key=1/data.txt", "a"), ("active/4/key=2/data.txt", "b")]
+    files.write_files(spark.createDataFrame(rows, "path string, value string"), str(tmp_path))
+    assets, _, active = files.scan_registry(spark, str(tmp_path), "*.txt", F.regexp_extract("path", r"key=([^/]*)/", 1))
+    assert [(r.product_id, r.asset_id) for r in assets.collect()] == [("1", "a")] and sorted((r.product_id, r.active_id) for r in active.collect()) == [("1", "a"), ("2", "b")]
