@@ -292,21 +292,32 @@ def edge_aspect_stats(vertices: DataFrame, faces: DataFrame, held: int = HELD_FA
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+#: Rows of one key from which its partner is broadcast, so that they are not sorted in one task.
+HUB_ROWS = 100_000
+
+
+def _beside(rows: DataFrame, one: DataFrame, key: str, n: str, hub: int) -> DataFrame:
+    """`rows` joined with `one` (a row for each key, with `n`, the rows it meets): keys of more than `hub` rows by broadcast, one for each `hub` rows at most, the others by shuffle."""
+    hubs = one.filter(F.col(n) > hub)
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(one, key)
+    return rows.join(F.broadcast(hubs), key).unionByName(rest)
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 30, hub: int = HUB_ROWS) -> DataFrame:
     """(node, component): the smallest node of each component of the edges (a, b), by large-star/small-star rounds.
 
-    Each round, and the minima that it joins, is written to the checkpoint folder: both sides of a
-    join are plain shuffles then, so that AQE splits a node with many neighbours. It raises after
-    `max_rounds` rounds rather than return half-merged labels.
+    Each round, and the minima that it joins, is written to the checkpoint folder. A node with more than `hub`
+    neighbours takes its minimum by broadcast (`_beside`), so that no task holds its edges: in the last rounds, every
+    node of a component is a neighbour of its root. It raises after `max_rounds` rounds rather than return half-merged labels.
     """
     now = materialize(edges.select("a", "b").filter("a <> b").distinct())
     last = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = materialize(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        large = materialize(_beside(both.filter("b > a"), least, "a", "n", hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = _beside(large, low, "a", "n", hub).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = materialize(small.filter("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
@@ -320,6 +331,11 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
+def sized(labels: DataFrame, hub: int = HUB_ROWS) -> DataFrame:
+    """Labels with the number of nodes of their component; no task holds a component of more than `hub` nodes."""
+    return _beside(labels, materialize(component_sizes(labels), "sizes"), "component", "nodes", hub)
+
+
 def largest_share(labels: DataFrame, elements: DataFrame) -> DataFrame:
     """(mesh, components, share): how many components a mesh has and the share of its elements, by their `node`, in the largest; elements without a component are one each."""
     at = elements.join(labels, "node", "left").groupBy("mesh", F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("n"))

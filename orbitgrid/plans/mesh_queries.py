@@ -136,8 +136,7 @@ l(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP
 
 @query("connected_components", f"WITH RECURSIVE {LABELS} SELECT node, component, count(*) OVER (PARTITION BY component) AS nodes FROM l")
 def _(t):
-    labels = op.connected_components(t.edges)
-    return labels.join(op.component_sizes(labels), "component")
+    return op.sized(op.connected_components(t.edges))
 
 
 @query("largest_component_share", f"""WITH RECURSIVE {LABELS}, c AS (SELECT l_suppkey AS mesh, component, count(*) AS n FROM lineitem JOIN l ON node = l_partkey * 2 GROUP BY 1, 2)

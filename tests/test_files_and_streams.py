@@ -320,3 +320,19 @@ def test_folders_of_registry_pointers_may_nest(spark, tmp_path):
     files.write_files(spark.createDataFrame(rows, "path string, value string"), str(tmp_path))
     assets, _, active = files.scan_registry(spark, str(tmp_path), "*.txt", F.regexp_extract("path", r"key=([^/]*)/", 1))
     assert [(r.product_id, r.asset_id) for r in assets.collect()] == [("1", "a")] and sorted((r.product_id, r.active_id) for r in active.collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_hubs_of_components_are_joined_apart(spark):
+    rng = random.Random(4)
+    pairs = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(100, 160)] + [(rng.randrange(200, 320), rng.randrange(200, 320)) for _ in range(70)] + [(59, 700), (700, 701)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(200):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for hub in (3, 1000):
+        labels = mesh.connected_components(edges, hub=hub)
+        got = mesh.sized(labels, hub=hub).collect()
+        assert {r.node: r.component for r in got} == least and len(got) == len(least)
+        assert all(r.nodes == sum(c == r.component for c in least.values()) for r in got)
