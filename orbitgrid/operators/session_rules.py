@@ -73,10 +73,13 @@ def mask_outlier_reject(frames: DataFrame, z: float = 3.0) -> DataFrame:
     return frames.withColumn("rejection_reasons", found).withColumn("accepted", F.size("rejection_reasons") == 0)
 
 
-def frame_recapture_gate(sessions: DataFrame) -> DataFrame:
-    """Recapture and retry-masks flags of sessions (profile, max_gap, mean_sharpness, bad_masks, frames, fallback_used)."""
+def frame_recapture_gate(sessions: DataFrame, absent: float | None = 0.0) -> DataFrame:
+    """Recapture and retry-masks flags of sessions (profile, max_gap, mean_sharpness, bad_masks, frames, fallback_used).
+
+    A missing mean sharpness counts as `absent`; with None the flags that depend on it are null.
+    """
     limit = F.when(c("profile") == "bottle", 40.0).when(c("profile") == "box", 60.0).otherwise(45.0)
-    gap, blurry = c("max_gap") > limit, ~true(c("fallback_used")) & (F.coalesce("mean_sharpness", F.lit(0.0)) < 20.0)
+    gap, blurry = c("max_gap") > limit, ~true(c("fallback_used")) & (F.coalesce("mean_sharpness", F.lit(absent)) < 20.0)
     reason = F.when(blurry, "blurry_capture").when(gap, "missing_side_coverage")
     retry = (c("bad_masks") > c("frames") * 0.3) & ~gap & ~blurry & (c("max_gap") < limit)
     return sessions.withColumns({"recapture": gap | blurry, "recapture_reason": reason, "try_masks": retry})

@@ -87,6 +87,17 @@ def test_frames_of_value_zero_equal_their_sql(spark, tmp_path, name):
     assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_sessions_without_any_sharpness_equal_their_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN NULL WHEN user_id % 5 = 0 THEN -value ELSE value END AS value) FROM '{FOLDER}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    answer = con.execute(ORACLE_SQL["frame_recapture_gate"])
+    names = [d[0] for d in answer.description]
+    want = sorted(answer.fetchall(), key=repr)
+    assert any(None in r[1:2] for r in want)
+    assert sorted((tuple(r[n] for n in names) for r in QUERIES["frame_recapture_gate"](spark, str(tmp_path)).collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("name", ["stream_adaptive_sampling", "stream_redundancy"])
 def test_a_stream_of_what_is_there_judges_every_frame(spark, name):
     ids = QUERIES[name](spark, str(FOLDER)).select("event_id")
