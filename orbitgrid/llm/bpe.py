@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
 from itertools import chain
@@ -69,28 +69,27 @@ class Memo:
     def __init__(self, entries: int = MEMO_ENTRIES, most: int = MEMO_BYTES):
         self.entries, self.most, self.size, self.new, self.old = entries, most, 0, {}, {}
 
-    def add(self, pairs: Iterable[tuple[bytes, bytes]]) -> None:
-        pairs = list(pairs)
-        self.new.update(pairs)
-        self.size += sum(len(k) + len(v) for k, v in pairs)
+    def add(self, keys: list[bytes], ids: list[bytes]) -> None:
+        self.new.update(zip(keys, ids, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, ids))
 
     def missing(self, keys: set[bytes]) -> list[bytes]:
         """The keys that are in neither generation; the others are in `new` afterwards."""
         if len(self.new) > self.entries or self.size > self.most:
             self.old, self.new, self.size = self.new, {}, 0
         absent = keys.difference(self.new)
-        again = absent.intersection(self.old)
-        self.add((k, self.old[k]) for k in again)
-        return list(absent - again)
+        again = list(absent.intersection(self.old))
+        self.add(again, list(map(self.old.__getitem__, again)))
+        return list(absent.difference(again))
 
     @contextmanager
-    def holding(self, keys: set[bytes], learned: Callable[[list[bytes]], list[tuple[bytes, bytes]]]) -> Iterator[dict[bytes, bytes]]:
-        """A dict with all `keys`; those over MEMO_PIECE are forgotten again after."""
-        long = {k for k in keys if len(k) > MEMO_PIECE}
-        absent = self.missing(keys - long)
+    def holding(self, keys: set[bytes], learned: Callable[[list[bytes]], list[bytes]]) -> Iterator[dict[bytes, bytes]]:
+        """A dict with all `keys`; `learned` gives the ids of new ones. Keys over MEMO_PIECE are forgotten again after."""
+        long = [k for k in keys if len(k) > MEMO_PIECE]
+        absent = self.missing(keys.difference(long) if long else keys)
         made = learned([*absent, *long])
-        self.add(x for x in made if len(x[0]) <= MEMO_PIECE)
-        self.new.update(x for x in made if len(x[0]) > MEMO_PIECE)
+        self.add(absent, made[: len(absent)])
+        self.new.update(zip(long, made[len(absent) :], strict=True))
         try:
             yield self.new
         finally:
@@ -226,12 +225,12 @@ class PairIndexEncoder:
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.memo = Memo()
 
-    def learned(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Each piece with its ids."""
+    def learned(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece."""
         split = [self.words(p) for p in pieces]
         words = list(set(chain.from_iterable(split)))
         ids = dict(zip(words, self.index.encode_words(words), strict=True))
-        return [(p, b"".join([ids[w] for w in ws])) for p, ws in zip(pieces, split, strict=True)]
+        return [b"".join([ids[w] for w in ws]) for ws in split]
 
     def words(self, piece: bytes) -> list[bytes]:
         """The pre-tokens of a piece; letters, with a mark after them or without, need no pattern."""
@@ -255,7 +254,7 @@ class PairIndexEncoder:
                 else:
                     parts.append(chunks(text))
             distinct = set().union(*parts)
-            with self.memo.holding(distinct, lambda new: self.learned([p for p in new if p not in self.special])) as known:
+            with self.memo.holding(distinct.difference(self.special), self.learned) as known:
                 for s in self.special.keys() & distinct:
                     known[s] = np.array([self.special[s]], "<i4").tobytes()
                 get = known.__getitem__

@@ -85,22 +85,28 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     @staticmethod
-    def split(word: bytes) -> tuple[bytes, bytes] | None:
-        """The lower-cased letters of a word of letters and the marks after them; None if it is no such word."""
-        letters = word.rstrip(MARKS)
+    def lower(letters: bytes) -> bytes | None:
+        """Lower-cased letters; None if there is anything else or nothing."""
         if letters.isalpha():  # ASCII
-            return letters.lower(), word[len(letters) :]
+            return letters.lower()
         if letters.isascii() or not LETTERS.fullmatch(text := letters.decode()):
             return None
-        return text.lower().encode(), word[len(letters) :]
-
-    def learned(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Each word with its ids."""
-        parts = list(map(self.split, words))
-        distinct = list({p for ps in parts if ps for p in ps})
-        ids = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
-        other = [w for w, p in zip(words, parts, strict=True) if not p]
-        return [*((w, ids[p[0]] + ids[p[1]]) for w, p in zip(words, parts, strict=True) if p), *zip(other, self.library(other), strict=True)]
+        return text.lower().encode()
+
+    def learned(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: those of its letters and of the marks after them, or of the whole where it is no such word."""
+        letters = [w.rstrip(MARKS) for w in words]
+        lower = [x.lower() if x.isalpha() else self.lower(x) for x in letters]
+        marks = [w[len(x) :] if len(x) < len(w) else None for w, x in zip(words, letters, strict=True)]
+        other = [w for w, x in zip(words, lower, strict=True) if x is None]
+        distinct = list({*lower, *marks} - {None})
+        ids: dict[bytes | None, bytes] = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
+        ids[None] = b""
+        made = [ids[x] + ids[m] if m else ids[x] for x, m in zip(lower, marks, strict=True)]
+        if other:
+            whole = iter(self.library(other))
+            made = [next(whole) if x is None else y for x, y in zip(lower, made, strict=True)]
+        return made
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

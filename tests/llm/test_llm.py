@@ -981,3 +981,22 @@ def test_pipeline_of_nothing(spark, nothing):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, nothing, FOLDER)
         assert out.count() == 0
+
+
+def test_new_words_are_learned_in_order_beside_special_and_long_ones():
+    enc = token_store.word_encoder(token_store.tokenizer_path("word_bpe_49k.json"))
+    words = ["Alpha", "alpha,", "ALPHA!?", "Straße", "ÉTÉ.", "Жук;", "x1", "...", "it's", "a" * 100, "a" * 100 + "!", "日本", "İx"]
+    words = [w.encode() for w in words]
+    assert enc.learned(words) == enc.library(words)
+    assert enc.learned([]) == []
+    memo = bpe.Memo(entries=3)
+    seen = []
+
+    def learned(new):
+        seen.append(sorted(new))
+        return [k[::-1] for k in new]
+
+    for keys in ({b"ab", b"cd"}, {b"ab", b"ef", b"g" * 99 + b"h"}, {b"ij"}, {b"cd", b"kl"}):
+        with memo.holding(keys, learned) as known:
+            assert all(known[k] == k[::-1] for k in keys)
+    assert seen == [[b"ab", b"cd"], [b"ef", b"g" * 99 + b"h"], [b"ij"], [b"kl"]] and b"g" * 99 + b"h" not in memo.new
