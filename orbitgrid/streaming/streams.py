@@ -9,13 +9,10 @@ watermark are dropped.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orbitgrid.operators.folds import lifecycle_step, redundancy_step, retry_step, sampling_step
 from orbitgrid.operators.registry import PROCESSING, TRANSITIONS
@@ -80,33 +77,16 @@ def redundancy(frames: DataFrame, delay: str | None = "10 minutes", **thresholds
 
 
 def timeouts(events: DataFrame, hours: float = 2.0, delay: str = "0 seconds") -> DataFrame:
-    """(session_id, status, last_at) whenever a session in a processing state made no progress for `hours` of event time.
+    """(session_id, status, last_at) whenever a session in a processing state made no progress for more than `hours` of event time.
 
-    A gap between two events shows when the second arrives; an open end when the watermark passes it.
+    Events that are no further apart form one session window, which shows with its last status when the watermark, whole
+    milliseconds, has passed its end; windows merge in the JVM and a closed one is forgotten.
     """
-    schema = "session_id long, status string, last_at timestamp"
-    gap = pd.Timedelta(hours=hours)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        late: list[tuple] = []
-        last = state.get if state.exists else None
-        if state.hasTimedOut:
-            if last[0] in PROCESSING:
-                late.append((key[0], last[0], pd.Timestamp(last[1], unit="us")))
-            state.remove()
-        else:
-            rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"])
-            for status, ts in zip(rows["status"], rows["ts"], strict=True):
-                before = pd.Timestamp(last[1], unit="us") if last else None
-                if before is not None and ts - before > gap and last[0] in PROCESSING:
-                    late.append((key[0], last[0], before))
-                last = (status, int(ts.value // 1000))
-            state.update(last)
-            state.setTimeoutTimestamp(max(int(last[1] // 1000) + int(gap.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(late, columns=["session_id", "status", "last_at"])
-
-    keyed = events.withWatermark("ts", delay).groupBy("session_id")
-    return keyed.applyInPandasWithState(run, schema, "status string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    gap = f"{round(hours * 3_600_000_000)} microseconds"
+    late = events.withWatermark("ts", f"{delay} 1 millisecond")  # an end that the watermark just reaches is not passed
+    runs = late.groupBy("session_id", F.session_window("ts", gap))
+    last = F.max(F.struct("ts", "event_id", "status"))
+    return runs.agg(last.alias("last")).select("session_id", "last.status", c("last.ts").alias("last_at")).filter(c("status").isin(*PROCESSING))
 
 
 def telemetry_counts(log: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -336,3 +336,14 @@ def test_hubs_of_components_are_joined_apart(spark):
         got = mesh.sized(labels, hub=hub).collect()
         assert {r.node: r.component for r in got} == least and len(got) == len(least)
         assert all(r.nodes == sum(c == r.component for c in least.values()) for r in got)
+
+
+def test_timeouts_are_session_windows_in_the_jvm(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 00:00:00", "created"), (1, 2, "2024-01-01 02:00:00", "captured"), (1, 3, "2024-01-01 04:00:00.000001", "validated"), (1, 4, "2024-01-01 04:00:00.000001", "failed"),
+            (2, 5, "2024-01-01 01:00:00", "captured"), (3, 6, "2024-01-01 09:00:00", "created"), (3, 7, "2024-01-01 11:00:00", "created"), (4, 8, "2024-01-01 09:00:00", "created")]
+    spark.createDataFrame(rows, "session_id long, event_id long, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/events")
+    schema = spark.read.parquet(f"{tmp_path}/events").schema
+    out = streams.timeouts(streams.read_stream(spark, f"{tmp_path}/events", schema), hours=2.0)
+    assert "Pandas" not in out._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r) for r in streams.run_available(out.withColumn("last_at", F.col("last_at").cast("string"))).collect())
+    assert got == [(1, "captured", "2024-01-01 02:00:00"), (2, "captured", "2024-01-01 01:00:00")]
