@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbitgrid.functions.text import worst_of
 from orbitgrid.operators import frames as fr
 from orbitgrid.operators.asset_rules import codes, true
+from orbitgrid.sources.checkpoints import materialize
 
 c = F.col
 #: Frame quality limits.
@@ -204,8 +205,11 @@ def preset_resolution(profiles: DataFrame) -> DataFrame:
 def coverage_report(frames: DataFrame, min_frames: int = 8, min_views: int = 5, x_span: float = 0.10, y_span: float = 0.08, scale: float = 1.15, aspect: float = 0.12) -> DataFrame:
     """Coverage score, status and reasons of each session from readable frames with `is_representative` (see view_dedupe).
 
-    Frames with `readable` false count as unreadable. A strong capture turns hard orbit codes into coaching.
+    Frames with `readable` false count as unreadable. A strong capture turns hard orbit codes into coaching. The
+    columns that count are written first, so that what the frames come from runs once and not for every branch.
     """
+    used = ("session_id", "frame_idx", "readable", "is_representative", "fallback_used", "confidence", "cx", "cy", "area", "aspect")
+    frames = materialize(frames.select(*used), "coverage")
     ok = frames.filter("readable")
     counts = frames.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("readable").alias("readable"))
     stats = ok.groupBy("session_id").agg(

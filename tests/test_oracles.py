@@ -103,3 +103,8 @@ def test_a_stream_of_what_is_there_judges_every_frame(spark, name):
     ids = QUERIES[name](spark, str(FOLDER)).select("event_id")
     events = spark.read.parquet(str(FOLDER / "events.parquet")).select("event_id")
     assert ids.exceptAll(events).isEmpty() and events.exceptAll(ids).isEmpty()
+
+
+def test_coverage_report_folds_its_frames_once(spark):
+    df = QUERIES["coverage_report"](spark, str(FOLDER))
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
