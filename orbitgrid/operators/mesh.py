@@ -182,11 +182,11 @@ def mesh_bounds(vertices: DataFrame) -> DataFrame:
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Faces with the coordinates of their corners a, b and c."""
+    """Faces with the coordinates of their corners a, b and c; a task holds its part of the vertices and sorts no faces."""
     out = faces
     for i, name in enumerate("abc"):
         v = vertices.select("mesh", F.col("v").alias(f"v{i}"), F.struct("x", "y", "z").alias(name))
-        out = out.join(v, ["mesh", f"v{i}"])
+        out = out.join(v.hint("shuffle_hash"), ["mesh", f"v{i}"])
     return out
 
 
@@ -226,15 +226,15 @@ def edge_manifold(faces: DataFrame) -> DataFrame:
     return out.withColumn("manifold_ratio", 1 - F.col("non_manifold") / F.col("edges"))
 
 
-def exact_quantiles(values: DataFrame, keys: tuple[str, ...], col: str, shares: tuple[float, ...], blocks: int = 1024) -> DataFrame:
-    """(keys, mean, sd, q: array) of each key's values: exact quantiles, interpolated between neighbours, mean and population deviation.
+def exact_quantiles(values: DataFrame, keys: tuple[str, ...], col: str, shares: tuple[float, ...], blocks: int = 1024, weight: str | None = None) -> DataFrame:
+    """(keys, mean, sd, q: array) of each key's values, counted `weight` times: exact quantiles, interpolated between neighbours, mean and population deviation.
 
     Equal values are counted before the shuffle, and the counts written once. Values are dealt to
     `blocks` ranges of a key's span; cumulative counts of the ranges (`blocks` rows a key at most) tell
     which ranges hold the wanted ranks, and only those are ordered. So no task holds all values of a key.
     """
     keys = list(keys)
-    counts = materialize(values.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("v")).agg(F.count("*").alias("n")), "counts")
+    counts = materialize(values.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("n")), "counts")
     n, v = F.col("n"), F.col("v")
     span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(n * v) / F.sum("n")).alias("mean"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(0)
@@ -259,32 +259,43 @@ def exact_quantiles(values: DataFrame, keys: tuple[str, ...], col: str, shares:
     return values_at.select(*keys, "mean", sd.alias("sd"), F.array(*map(value, shares)).alias("q"))
 
 
-#: Most faces of a mesh whose quantiles one task may take from counts in its memory.
-HELD_FACES = 1_000_000
+#: Most faces of a mesh whose edges and ratios one task may hold.
+HELD_FACES = 100_000
+#: Edges and ratios that are dealt to a task, about.
+TASK_VALUES = 250_000
 
 
-def edge_aspect_stats(vertices: DataFrame, faces: DataFrame, held: int = HELD_FACES) -> DataFrame:
+def edge_aspect_stats(vertices: DataFrame, faces: DataFrame, held: int = HELD_FACES, per_task: int = TASK_VALUES) -> DataFrame:
     """Median, 99th percentile and variation of unique edge lengths; the same percentiles of longest over shortest edge of faces.
 
     Edge lengths come from the corners that the faces carry, so vertices are joined once for each corner.
-    Meshes of up to `held` faces take `percentile`, larger ones `exact_quantiles`; both are exact.
+    Meshes of up to `held` faces are dealt whole and take `percentile`, larger ones are dealt by edge and take
+    `exact_quantiles`; both are exact. Tasks grow in number with the faces, so what each holds does not.
     """
     ab, bc, ca = _length("a", "b"), _length("b", "c"), _length("c", "a")
-    sides = materialize(corners(vertices, faces).select("mesh", "v0", "v1", "v2", ab.alias("ab"), bc.alias("bc"), ca.alias("ca")), "sides")
-    edge = lambda i, j, length: F.struct(F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), F.col(length).alias("l"))
-    kinds = ("mesh", "kind")
-
-    def values(rows: DataFrame) -> DataFrame:
-        el = rows.select("mesh", F.inline(F.array(edge("v0", "v1", "ab"), edge("v1", "v2", "bc"), edge("v0", "v2", "ca")))).groupBy("mesh", "p", "q").agg(F.min("l").alias("v"))
-        ratio = rows.select("mesh", F.greatest("ab", "bc", "ca").alias("long"), F.least("ab", "bc", "ca").alias("short")).filter("short > 1e-9")
-        return el.select("mesh", F.lit("edge").alias("kind"), "v").unionByName(ratio.select("mesh", F.lit("aspect").alias("kind"), (F.col("long") / F.col("short")).alias("v")))
-
-    large = sides.groupBy("mesh").agg(F.count("*").alias("n")).filter(F.col("n") > held).select("mesh")
-    some = not large.isEmpty()
-    small = sides.join(large, "mesh", "left_anti") if some else sides
-    both = values(small).groupBy(*kinds).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
-    if some:
-        both = both.unionByName(exact_quantiles(values(sides.join(large, "mesh", "left_semi")), kinds, "v", (0.5, 0.99)))
+    sizes = materialize(faces.groupBy("mesh").agg(F.count("*").alias("n")), "sizes")
+    large, n = sizes.filter(F.col("n") > held).select("mesh"), F.col("n")
+    n_large, n_small = (x or 0 for x in sizes.agg(F.sum(F.when(n > held, n)), F.sum(F.when(n <= held, n))).first())
+    least = faces.sparkSession.sparkContext.defaultParallelism
+
+    def values(some: DataFrame, n_faces: int, whole: bool) -> DataFrame:
+        """(mesh, kind, v, n): each edge once, each ratio as often as it occurs."""
+        sides = corners(vertices, some).select("mesh", "v0", "v1", "v2", ab.alias("ab"), bc.alias("bc"), ca.alias("ca"))
+        tasks = max(least, -(-4 * n_faces // per_task))
+        sides = sides.repartition(tasks, "mesh") if whole else sides  # a third of the bytes of its edges
+        shortest = F.least("ab", "bc", "ca")
+        ratio = F.when(shortest > 1e-9, F.greatest("ab", "bc", "ca") / shortest)
+        value = lambda kind, i, j, r, v: F.struct(F.lit(kind).alias("kind"), F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), r.alias("r"), v.alias("v"))
+        edge = lambda i, j, length: value("edge", i, j, F.lit(None).cast("double"), F.col(length))
+        rows = sides.select("mesh", F.inline(F.array(edge("v0", "v1", "ab"), edge("v1", "v2", "bc"), edge("v0", "v2", "ca"), value("aspect", "v0", "v1", ratio, ratio))))
+        rows = rows if whole else rows.repartition(tasks, "mesh", "p", "q")
+        counts = rows.groupBy("mesh", "kind", "p", "q", "r").agg(F.min("v").alias("v"), F.count("*").alias("n"))
+        return counts.select("mesh", "kind", "v", F.when(F.col("kind") == "edge", F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"))
+
+    small = faces.join(large, "mesh", "left_anti") if n_large else faces
+    both = values(small, n_small, True).groupBy("mesh", "kind").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.99)), F.col("n")).alias("q"))
+    if n_large:
+        both = both.unionByName(exact_quantiles(values(faces.join(large, "mesh", "left_semi"), n_large, False), ("mesh", "kind"), "v", (0.5, 0.99), weight="n"))
     of = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
     return both.groupBy("mesh").agg(
         of("edge", F.col("q")[0]).alias("edge_p50"), of("edge", F.col("q")[1]).alias("edge_p99"), of("edge", F.when(F.col("mean") > 1e-12, F.col("sd") / F.col("mean")).otherwise(0.0)).alias("edge_cv"),

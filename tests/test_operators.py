@@ -256,6 +256,17 @@ def test_large_meshes_have_the_same_quantiles(spark):
         assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(rows(mesh.edge_aspect_stats(vertices, faces, held)), want, strict=True))
 
 
+def test_tasks_of_mesh_values_grow_with_the_faces(spark):
+    def stats(n, **most):
+        vertices = spark.range(50).select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<long>")).alias("mesh")).select("mesh", "v", *((F.col("v") * k % 11).cast("double").alias(a) for a, k in (("x", 3), ("y", 5), ("z", 7))))
+        faces = spark.range(n).select((F.col("id") % 20).alias("mesh"), *((F.col("id") * k % 50).alias(f"v{i}") for i, k in enumerate((3, 7, 11))))
+        return mesh.edge_aspect_stats(vertices, faces, **most)
+
+    few, many = stats(1_000, per_task=500), stats(4_000, per_task=500)
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (8, 32)
+    assert rows(many) == rows(stats(4_000)) and len(rows(many)) == 20
+
+
 def test_normalization_edges(spark):
     table = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 1e-4, 0.0, 0.0), (2, -2000.0, 5.0, 0.0), (2, 2000.0, 6.0, 9.0), (3, None, None, None)], "mesh long, x double, y double, z double")
     got = {r.mesh: (r.largest_axis, r.issues, r.warnings, r.flat_on_ground) for r in mesh.normalization_audit(table).collect()}
