@@ -85,8 +85,9 @@ class Memo:
     @contextmanager
     def holding(self, keys: set[bytes], learned: Callable[[list[bytes]], list[bytes]]) -> Iterator[dict[bytes, bytes]]:
         """A dict with all `keys`; `learned` gives the ids of new ones. Keys over MEMO_PIECE are forgotten again after."""
-        long = [k for k in keys if len(k) > MEMO_PIECE]
-        absent = self.missing(keys.difference(long) if long else keys)
+        absent = self.missing(keys)
+        if long := [k for k in absent if len(k) > MEMO_PIECE]:
+            absent = [k for k in absent if len(k) <= MEMO_PIECE]
         made = learned([*absent, *long])
         self.add(absent, made[: len(absent)])
         self.new.update(zip(long, made[len(absent) :], strict=True))
@@ -119,10 +120,13 @@ class PairIndex:
         pairs = sorted(rank.items())
         self.pairs = np.array([k for k, _ in pairs], np.int64)
         self.pair_rank = np.array([r for _, r in pairs], np.int64)
+        #: the rank of each pair of bytes (a last byte is 256 more, no byte 512), so that a new sequence needs no search
+        codes = np.r_[self.of_byte, self.of_last, -1]
+        self.first_rank = self.ranks_of(np.repeat(codes, 513), np.tile(codes, 513)).astype(np.int32)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it is no merge or touches a word's edge."""
-        pair = left << 20 | right
+        pair = left.astype(np.int64) << 20 | right
         i = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pairs[i] == pair), self.pair_rank[i], -1)
 
@@ -130,16 +134,20 @@ class PairIndex:
         """Ids (int32, little-endian bytes) of each word, by one pair index over all of them."""
         if not words:
             return []
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids, stop = self.encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        return [ids[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+
+    def encode_bytes(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids (int32, little-endian bytes) of the words that lie in `raw` one after the other, and where each word's ids end."""
         ends = np.cumsum(lengths + 1)
-        seq = np.full(int(ends[-1]) + 1, -1, np.int64)  # a -1 stands before, between and after words
+        seq = np.full(int(ends[-1]) + 1, -1, np.int32)  # a -1 stands before, between and after words
         inside = np.ones(len(seq), bool)
         inside[0] = False
         inside[ends] = False
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        seq[inside] = self.of_byte[raw]
-        stop = ends[lengths > 0]
-        seq[stop - 1] = self.of_last[raw[(np.cumsum(lengths) - 1)[lengths > 0]]]
+        code = np.full(len(seq), 512, np.int32)
+        code[inside] = raw
+        code[ends[lengths > 0] - 1] += 256
+        seq[inside] = np.r_[self.of_byte, self.of_last][code[inside]]
         before = np.arange(-1, len(seq) - 1)
         after = np.arange(1, len(seq) + 1)
         at: dict[int, list[np.ndarray]] = {}
@@ -161,7 +169,10 @@ class PairIndex:
                     at[r] = [places[i:j]]
                     heapq.heappush(active, r)
 
-        enter(np.arange(len(seq) - 1), self.ranks_of(seq[:-1], seq[1:]))
+        ranks = self.first_rank[code[:-1] * 513 + code[1:]]
+        del code, inside  # as long as the texts
+        enter(np.arange(len(seq) - 1), ranks)
+        del ranks
         while active:
             now = heapq.heappop(active)
             left, right, made = self.merge[now]
@@ -181,12 +192,10 @@ class PairIndex:
             n = after[q]
             after[p], before[n] = n, p
             back = before[p]
-            enter(back, self.ranks_of(seq[back], seq[p]))
-            enter(p, self.ranks_of(seq[p], seq[after[p]]))
+            places = np.concatenate((back, p))
+            enter(places, self.ranks_of(seq[places], seq[np.concatenate((p, n))]))
         keep = seq >= 0
-        ids = seq[keep].astype("<i4").tobytes()
-        stop = (np.cumsum(keep)[ends] * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+        return seq[keep].astype("<i4").tobytes(), np.cumsum(keep)[ends] * 4
 
     @staticmethod
     def apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:

@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ PACK_BYTES, PACK_DOCS = 1 << 20, 1024
 SHARD_BYTES = 128 << 20
 #: Punctuation that may stand in a run after a word and is one pre-token then.
 MARKS = b".,;:!?#*$%&|"
+#: Of each word of a line: its LETTERS and the marks after them, both empty where it is no such word.
+WIDE = re.compile(rf"^(?:({LETTERS.pattern})([{re.escape(MARKS.decode())}]*)|[^\n]+)$", re.MULTILINE)
+#: Of each byte: 0 an ASCII letter, 1 one of MARKS, 2 any other.
+KIND = np.array([0 if bytes((b,)).isalpha() else 1 if b in MARKS else 2 for b in range(256)], np.uint8)
 #: What a file must say for words to be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -84,29 +89,36 @@ class WordEncoder:
     def library(self, words: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    @staticmethod
-    def lower(letters: bytes) -> bytes | None:
-        """Lower-cased letters; None if there is anything else or nothing."""
-        if letters.isalpha():  # ASCII
-            return letters.lower()
-        if letters.isascii() or not LETTERS.fullmatch(text := letters.decode()):
-            return None
-        return text.lower().encode()
-
     def learned(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word: those of its letters and of the marks after them, or of the whole where it is no such word."""
-        letters = [w.rstrip(MARKS) for w in words]
-        lower = [x.lower() if x.isalpha() else self.lower(x) for x in letters]
-        marks = [w[len(x) :] if len(x) < len(w) else None for w, x in zip(words, letters, strict=True)]
-        other = [w for w, x in zip(words, lower, strict=True) if x is None]
-        distinct = list({*lower, *marks} - {None})
-        ids: dict[bytes | None, bytes] = dict(zip(distinct, self.index.encode_words(distinct), strict=True))
-        ids[None] = b""
-        made = [ids[x] + ids[m] if m else ids[x] for x, m in zip(lower, marks, strict=True)]
-        if other:
-            whole = iter(self.library(other))
-            made = [next(whole) if x is None else y for x, y in zip(lower, made, strict=True)]
-        return made
+        made = np.empty(len(words), object)
+        if not words:
+            return []
+        raw = np.frombuffer(b"".join(words).lower(), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        kind = KIND[raw]
+        odd = kind == 2
+        odd[1:] |= (kind[1:] == 0) & (kind[:-1] == 1)  # a letter after a mark
+        odd[starts] = kind[starts] != 0
+        fits = ~np.logical_or.reduceat(odd, starts)  # ASCII letters and marks
+        n_marks = np.add.reduceat(kind == 1, starts, dtype=np.int64)[fits]
+        n_letters = lengths[fits] - n_marks
+        other = np.flatnonzero(~fits)
+        found = WIDE.findall(b"\n".join([words[i] for i in other.tolist()]).decode()) if len(other) else []
+        is_wide = np.fromiter((bool(x) for x, _ in found), bool, len(other))
+        wide, whole = other[is_wide], other[~is_wide].tolist()
+        lower = "\n".join([x for x, _ in found if x]).lower().encode().split(b"\n") if len(wide) else []
+        parts = list(chain.from_iterable(zip(lower, [m.encode() for x, m in found if x], strict=True)))
+        if whole:
+            made[whole] = self.library([words[i] for i in whole])
+        raw = np.concatenate((raw[np.repeat(fits, lengths)], np.frombuffer(b"".join(parts), np.uint8)))
+        cut = np.concatenate((np.stack((n_letters, n_marks), 1), np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2)))
+        if len(cut):
+            ids, stop = self.index.encode_bytes(raw, cut[cut > 0])
+            stop = stop[np.cumsum((cut > 0).sum(1)) - 1].tolist()  # of whole words
+            made[np.r_[np.flatnonzero(fits), wide]] = [ids[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+        return made.tolist()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, a library or held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -1000,3 +1001,18 @@ def test_new_words_are_learned_in_order_beside_special_and_long_ones():
         with memo.holding(keys, learned) as known:
             assert all(known[k] == k[::-1] for k in keys)
     assert seen == [[b"ab", b"cd"], [b"ef", b"g" * 99 + b"h"], [b"ij"], [b"kl"]] and b"g" * 99 + b"h" not in memo.new
+
+
+def test_new_words_are_encoded_in_bulk():
+    import cProfile
+
+    encoder = token_store.WordEncoder(token_store.tokenizer_path("word_bpe_49k.json"))
+    letters = ["\u00e9", "\u023a", "\u0416", "\u00d1", "\u0130", "\u212a", "a", "B", "9", ".", ",", "'", "]", "\u00a0"]
+    mixed = ["".join(x) for x in itertools.product(letters, repeat=3)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)]
+    assert encoder.encode([w.encode() for w in mixed]) == want
+    words = [f"{a}\u00e9{b}{c}".encode() for a, b, c in itertools.product("abcdefghijklmnopqrst", "abcdefghijklmnopqrst", "abcdefghij")]
+    profile = cProfile.Profile()
+    profile.runcall(encoder.learned, words)
+    calls = {x.code.co_name if hasattr(x.code, "co_name") else x.code: x.callcount for x in profile.getstats()}
+    assert not [name for name, n in calls.items() if n >= len(words) and ("isalpha" in name or "fullmatch" in name or "rstrip" in name or name == "lower")]
