@@ -66,10 +66,14 @@ def ranking_score(sharpness: Column, luminance: Column, color: Column) -> Column
 
 
 def mask_outlier_reject(frames: DataFrame, z: float = 3.0) -> DataFrame:
-    """Reject masks that are too small, touch the border with a large component, or jump in time (z columns)."""
+    """Reject masks that are too small, touch the border with a large component, or jump in time (z columns).
+
+    A z equal to the limit is not over it, whatever last digits the order of its sums gave it.
+    """
+    limit = z + 1e-12
     found = codes(
-        (c("occupancy") < 0.01, "mask_too_small"), (true(c("border_largest")) & (c("occupancy") > 0.2), "large_border_touching_component"), (c("occupancy_z") > z, "temporal_occupancy_outlier"),
-        ((c("cx_z") > z) | (c("cy_z") > z), "temporal_centroid_jump"),
+        (c("occupancy") < 0.01, "mask_too_small"), (true(c("border_largest")) & (c("occupancy") > 0.2), "large_border_touching_component"), (c("occupancy_z") > limit, "temporal_occupancy_outlier"),
+        ((c("cx_z") > limit) | (c("cy_z") > limit), "temporal_centroid_jump"),
     )
     return frames.withColumn("rejection_reasons", found).withColumn("accepted", F.size("rejection_reasons") == 0)
 

@@ -397,6 +397,21 @@ def test_benchmark_results_are_not_overwritten(spark, tmp_path):
     assert spark.read.json(f"{out}/json").count() == 1
 
 
+@pytest.mark.parametrize("feature, reason", [("occupancy", "temporal_occupancy_outlier"), ("cx", "temporal_centroid_jump"), ("cy", "temporal_centroid_jump")])
+@pytest.mark.parametrize("hundredths, at", [([18, 23, 33, 13, 3], 33), ([32, 36, 14, 3, 20], 3), ([55, 19, 54, 28, 33, 51], 19)])
+def test_mask_at_the_limit_is_no_outlier_in_any_order(spark, feature, reason, hundredths, at):
+    """`at` lies exactly 1.5 deviations from the mean; one hundredth further out is over the limit."""
+    further = at + (1 if at > sum(hundredths) / len(hundredths) else -1)
+    orders = (hundredths, sorted(hundredths), sorted(hundredths, reverse=True))
+    sessions = [[x if v == at else v for v in order] for x in (at, further) for order in orders]
+    table = spark.createDataFrame([(i, v, v / 100) for i, values in enumerate(sessions) for v in values], "session_id long, hundredths long, value double").coalesce(1)
+    scored = frames.temporal_zscore(table, ("value",)).withColumns({"border_largest": F.lit(False), "occupancy": F.lit(0.5)})
+    judged = session_rules.mask_outlier_reject(scored.withColumns({f"{c}_z": F.col("value_z") if c == feature else F.lit(0.0) for c in ("occupancy", "cx", "cy")}), 1.5)
+    got = {(r.session_id, r.hundredths): (r.rejection_reasons, r.accepted) for r in judged.collect()}
+    assert [got[i, at] for i in (0, 1, 2)] == [([], True)] * 3
+    assert [got[i, further] for i in (3, 4, 5)] == [([reason], False)] * 3
+
+
 def test_log_lines_that_are_no_json(spark, tmp_path):
     (tmp_path / "x.log").write_text('{"level": "ERROR", "message": "m"}\nplain text\n\n{broken\n')
     got = rows(files.scan_log_lines(spark, str(tmp_path)), "level", "message")
